@@ -24,23 +24,16 @@ CONTACT_ROLES = ("contractor", "subcontractor", "authorized agent", "architect",
 OWNER_ROLES = ("owner", "applicant", "tenant")
 
 
+# A ten-digit number, or eleven digits with a leading 1.
+_NUMBER = r"^1?(\d{3})(\d{3})(\d{4})$"
+_NO_NUMBER = r"^(?!1?\d{10}$).*$"
+_LAYOUT = "($1) $2-$3"
+
+
 def clean_phone(col: Column) -> Column:
     """``(ddd) ddd-dddd`` for ten digits (or eleven with a leading 1), else the trimmed text."""
-    digits = F.regexp_replace(col, r"(?U)\D", "")
-    ten = F.when(F.length(digits) == 10, digits).when(
-        (F.length(digits) == 11) & digits.startswith("1"), F.substr(digits, F.lit(2))
-    )
-    return F.coalesce(
-        F.concat(
-            F.lit("("),
-            F.substr(ten, F.lit(1), F.lit(3)),
-            F.lit(") "),
-            F.substr(ten, F.lit(4), F.lit(3)),
-            F.lit("-"),
-            F.substr(ten, F.lit(7)),
-        ),
-        null_if_empty(strip(col)),
-    )
+    digits = F.regexp_replace(F.regexp_replace(col, r"(?U)\D", ""), _NO_NUMBER, "")
+    return F.coalesce(null_if_empty(F.regexp_replace(digits, _NUMBER, _LAYOUT)), null_if_empty(strip(col)))
 
 
 def normalize_license(col: Column) -> Column:
@@ -51,15 +44,13 @@ def normalize_license(col: Column) -> Column:
 
 
 def extract_email(col: Column) -> Column:
-    return null_if_empty(F.regexp_extract(col, EMAIL, 0))
+    return F.regexp_substr(col, F.lit(EMAIL))
 
 
 def extract_phone(col: Column) -> Column:
     """First separated phone number, else the first bare ten-digit run, formatted."""
-    hit = F.coalesce(
-        null_if_empty(F.regexp_extract(col, PHONE, 0)), null_if_empty(F.regexp_extract(col, BARE_PHONE, 0))
-    )
-    return clean_phone(hit)
+    hit = F.coalesce(F.regexp_substr(col, F.lit(PHONE)), F.regexp_substr(col, F.lit(BARE_PHONE)))
+    return F.regexp_replace(F.regexp_replace(hit, r"(?U)\D", ""), _NUMBER, _LAYOUT)
 
 
 def contact_rank(role: Column) -> Column:
@@ -70,90 +61,113 @@ def contact_rank(role: Column) -> Column:
     return rank.otherwise(len(CONTACT_ROLES))
 
 
-def _value(contact: Column, key: str) -> Column:
-    return F.try_element_at(contact, F.lit(key))
+class Contact:
+    """Named values of one contact, from a map column or from the columns of a contact table."""
 
+    def __init__(self, values: Column | None = None, columns: dict[str, Column] | None = None):
+        self._values, self._columns = values, columns
 
-def all_values(contact: Column) -> Column:
-    """Every non-empty value of a contact map, in key order, as one text."""
-    keys = F.array_sort(F.map_keys(contact))
-    return F.array_join(F.transform(keys, lambda k: null_if_empty(F.try_element_at(contact, k))), " ")
+    def __getitem__(self, key: str) -> Column:
+        if self._columns is None:
+            return F.try_element_at(self._values, F.lit(key))
+        return self._columns.get(key, F.lit(None).cast("string"))
 
+    def everything(self) -> Column:
+        """Every non-empty value, in key order, as one text."""
+        if self._columns is None:
+            keys = F.array_sort(F.map_keys(self._values))
+            return F.array_join(F.transform(keys, lambda k: null_if_empty(F.try_element_at(self._values, k))), " ")
+        return F.concat_ws(" ", *[null_if_empty(self._columns[k]) for k in sorted(self._columns)])
 
-def contact_email(contact: Column) -> Column:
-    return F.coalesce(extract_email(_value(contact, "email")), extract_email(all_values(contact)))
+    def firm(self) -> Column:
+        return first_present(self["firm_name"], self["company_name"])
 
+    def name(self) -> Column:
+        """Firm, else person; NULL for placeholders."""
+        person = join_parts(self["first_name"], self["last_name"])
+        return drop_placeholder(squeeze(F.coalesce(self.firm(), person)), PLACEHOLDER_CONTACT_NAMES)
 
-def contact_phone(contact: Column) -> Column:
-    return F.coalesce(extract_phone(_value(contact, "phone")), extract_phone(all_values(contact)))
+    def license(self) -> Column:
+        return clean_license(first_present(self["license1"], self["license2"]))
 
+    def email(self) -> Column:
+        return F.coalesce(extract_email(self["email"]), extract_email(self.everything()))
 
-def rank_contact(contact: Column, position: Column) -> Column:
-    """Sortable STRUCT(rank, no_firm, no_license, position, company) of one permit contact.
+    def phone(self) -> Column:
+        return F.coalesce(extract_phone(self["phone"]), extract_phone(self.everything()))
 
-    NULL when the contact names nobody, or is an owner-like person with neither firm nor licence.
-    The smallest struct of a permit is its best contact.
-    """
-    firm = first_present(_value(contact, "firm_name"), _value(contact, "company_name"))
-    person = join_parts(_value(contact, "first_name"), _value(contact, "last_name"))
-    name = drop_placeholder(squeeze(F.coalesce(firm, person)), PLACEHOLDER_CONTACT_NAMES)
-    role = F.lower(F.coalesce(_value(contact, "role"), F.lit("")))
-    license_number = clean_license(first_present(_value(contact, "license1"), _value(contact, "license2")))
-    owner_like = role.contains(OWNER_ROLES[0])
-    for hint in OWNER_ROLES[1:]:
-        owner_like = owner_like | role.contains(hint)
-    eligible = name.isNotNull() & ~(owner_like & firm.isNull() & license_number.isNull())
-    return F.when(
-        eligible,
-        F.struct(
-            contact_rank(role).alias("rank"),
-            F.when(firm.isNull(), 1).otherwise(0).alias("no_firm"),
-            F.when(license_number.isNull(), 1).otherwise(0).alias("no_license"),
-            position.alias("position"),
+    def company(self) -> Column:
+        return F.struct(
+            self.name().alias("name"),
+            self.license().alias("license_number"),
+            self.email().alias("email"),
+            self.phone().alias("phone"),
+        )
+
+    def rank(self, position: Column) -> Column:
+        """Sortable STRUCT(rank, no_firm, no_license, position); the smallest of a permit is its best contact.
+
+        NULL when the contact names nobody, or is an owner-like person with neither firm nor licence.
+        """
+        role = F.lower(F.coalesce(self["role"], F.lit("")))
+        firm, license_number = self.firm(), self.license()
+        person_only = firm.isNull() & license_number.isNull() & role.rlike("|".join(OWNER_ROLES))
+        return F.when(
+            self.name().isNotNull() & ~person_only,
             F.struct(
-                name.alias("name"),
-                license_number.alias("license_number"),
-                contact_email(contact).alias("email"),
-                contact_phone(contact).alias("phone"),
-            ).alias("company"),
-        ),
-    )
+                contact_rank(role).alias("rank"),
+                firm.isNull().alias("no_firm"),
+                license_number.isNull().alias("no_license"),
+                position.alias("position"),
+            ),
+        )
 
 
 def best_contact(contacts: Column) -> Column:
-    """Company of the best contact in an array of contact maps; no shuffle."""
-    ranked = F.array_compact(F.transform(contacts, lambda c, i: rank_contact(c, i)))
-    return F.array_min(ranked)["company"]
+    """Company of the best contact in an array of contact maps; no shuffle.
 
+    Only the winner's e-mail and phone are looked for.
+    """
+    ranked = F.transform(contacts, lambda c, i: Contact(c).rank(i))
+    winner = F.array_min(F.array_compact(ranked))["position"]
+    company = F.transform(F.array_compact(F.array(F.get(contacts, winner))), lambda c: Contact(c).company())
+    return F.get(company, F.lit(0))
 
-def best_point_of_contact(contacts: Column, agency: Column) -> Column:
-    """Company for a solicitation: first reachable contact, primary ones first, else the bare agency."""
 
-    def reach(c: Column, i: Column) -> Column:
-        email, phone = contact_email(c), contact_phone(c)
-        name = F.coalesce(agency, null_if_empty(squeeze(_value(c, "fullName"))))
-        return F.when(
-            (email.isNotNull() | phone.isNotNull()) & name.isNotNull(),
-            F.struct(
-                F.when(F.lower(_value(c, "type")) == "primary", 0).otherwise(1).alias("secondary"),
-                i.alias("position"),
-                F.struct(
-                    name.alias("name"),
-                    F.lit(None).cast("string").alias("license_number"),
-                    email.alias("email"),
-                    phone.alias("phone"),
-                ).alias("company"),
-            ),
-        )
+def best_point_of_contact(contacts: Column, agency: Column) -> Column:
+    """Company for a solicitation: first reachable contact, primary ones first, else the bare agency.
 
-    reachable = F.array_min(F.array_compact(F.transform(contacts, reach)))["company"]
+    ``agency`` should be a plain column: it is looked at once per contact.
+    """
+    reach = F.transform(
+        contacts,
+        lambda c, i: F.struct(
+            F.when(F.lower(F.try_element_at(c, F.lit("type"))) == "primary", 0).otherwise(1).alias("secondary"),
+            i.alias("position"),
+            F.coalesce(agency, null_if_empty(squeeze(F.try_element_at(c, F.lit("fullName"))))).alias("name"),
+            Contact(c).email().alias("email"),
+            Contact(c).phone().alias("phone"),
+        ),
+    )
+    usable = F.filter(reach, lambda r: r["name"].isNotNull() & (r["email"].isNotNull() | r["phone"].isNotNull()))
+    none = F.lit(None).cast("string")
     bare = F.when(
         agency.isNotNull(),
         F.struct(
+            F.lit(1).alias("secondary"),
+            F.lit(0).alias("position"),
             agency.alias("name"),
-            F.lit(None).cast("string").alias("license_number"),
-            F.lit(None).cast("string").alias("email"),
-            F.lit(None).cast("string").alias("phone"),
+            none.alias("email"),
+            none.alias("phone"),
+        ),
+    )
+    best = F.array_compact(F.array(F.coalesce(F.array_min(usable), bare)))
+    return F.get(
+        F.transform(
+            best,
+            lambda r: F.struct(
+                r["name"].alias("name"), none.alias("license_number"), r["email"].alias("email"), r["phone"].alias("phone")
+            ),
         ),
+        F.lit(0),
     )
-    return F.coalesce(reachable, bare)

@@ -5,44 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.functions.contacts import rank_contact
+from siteledger.functions.contacts import Contact
 from siteledger.operators.joins import spread_join
 
 
-def contact_map(contacts: DataFrame, skip: tuple[str, ...] = ()) -> Column:
-    names = [c for c in contacts.columns if c not in skip]
+def contact_map(contacts: DataFrame) -> Column:
+    names = contacts.columns
     return F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`").cast("string") for n in names])
     )
 
 
-def permit_contacts(contacts: DataFrame, key: str, position: Column | None = None) -> DataFrame:
+def permit_contacts(contacts: DataFrame, key: str, position: str | None = None) -> DataFrame:
     """Per permit: number of contacts, order-free digest of all of them, and the best one.
 
     Everything is a mergeable aggregate, so a permit with any number of contacts is reduced on
-    the map side. ``position`` breaks ties; without it the contact's own values do.
+    the map side, and e-mail and phone are looked for in the winner only. The column ``position``
+    breaks ties; without it the contact's own values do.
     """
-    contact = contact_map(contacts, skip=("_position",))
-    place = position if position is not None else F.to_json(contact)
-    hashed = F.xxhash64(F.to_json(contact))
-    staged = contacts.select(
-        F.col(key).cast("string").alias("_permit"), rank_contact(contact, place).alias("_ranked"), hashed.alias("_hash")
+    names = [c for c in contacts.columns if c != position]
+    texts = contacts.select(
+        F.col(key).cast("string").alias("_permit"),
+        F.struct(*[F.col(f"`{n}`").cast("string").alias(n) for n in names]).alias("_row"),
+        (F.col(position) if position else F.lit(0)).alias("_position"),
     ).where(F.length("_permit") > 0)
+
+    def contact() -> Contact:
+        return Contact(columns={n: F.col("_row")[n] for n in names})
+
+    staged = texts.select("_permit", "_row", "_position", F.xxhash64(*[F.col("_row")[n] for n in names]).alias("_hash"))
+    rank = contact().rank(F.col("_position"))
+    winner = staged.withColumn("_rank", F.when(rank.isNotNull(), F.struct(rank, F.col("_row"))))
     digest = F.concat_ws(
         ":",
         F.count("*").cast("string"),
         F.bit_xor("_hash").cast("string"),
         F.sum(F.pmod("_hash", F.lit(1 << 31))).cast("string"),
     )
-    return staged.groupBy("_permit").agg(
-        F.count("*").alias("contact_count"),
-        digest.alias("contact_digest"),
-        F.min("_ranked")["company"].alias("contact"),
+    summed = winner.groupBy("_permit").agg(
+        F.count("*").alias("contact_count"), digest.alias("contact_digest"), F.min("_rank")["_row"].alias("_row")
     )
+    company = F.when(F.col("_row").isNotNull(), contact().company())
+    return summed.select("_permit", "contact_count", "contact_digest", company.alias("contact"))
 
 
 def attach_contacts(
-    permits: DataFrame, permit_key: str, contacts: DataFrame, contact_key: str, position: Column | None = None
+    permits: DataFrame, permit_key: str, contacts: DataFrame, contact_key: str, position: str | None = None
 ) -> DataFrame:
     """Permits left-joined with their contact summary; permits without contacts keep NULLs."""
     summary = permit_contacts(contacts, contact_key, position).withColumnRenamed("_permit", permit_key)

@@ -152,7 +152,8 @@ def normalize_opportunities(raw: DataFrame, cfg: SourceConfig) -> DataFrame:
         "city": F.coalesce(null_if_empty(title_case(squeeze(city))), F.lit(cfg.jurisdiction)),
         "county": F.lit(None).cast("string"),
     }
-    return _projects(staged, parts, K.best_point_of_contact(contacts, agency_name(fields)))
+    staged = staged.withColumn("_agency", agency_name(fields))
+    return _projects(staged, parts, K.best_point_of_contact(contacts, F.col("_agency")))
 
 
 def normalize(raw: DataFrame, cfg: SourceConfig) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteledger.plans import reporting
+from siteledger.plans import ingest, reporting
 
-MODULES = (reporting,)
+MODULES = (reporting, ingest)
 
 
 def queries() -> dict:

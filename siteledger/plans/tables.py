@@ -15,9 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A table for expensive row work: dealt out to all cores when it has fewer splits than cores."""
+    df = table(spark, sf_dir, name)
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def orders_with_customers(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """Orders with their customer, nation and region."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders = wide_table(spark, sf_dir, "orders") if wide else table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
