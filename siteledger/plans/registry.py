@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteledger.plans import ingest, reporting
+from siteledger.plans import ingest, reporting, state
 
-MODULES = (reporting, ingest)
+MODULES = (reporting, ingest, state)
 
 
 def queries() -> dict:
