@@ -152,6 +152,14 @@ class Groups:
         self.of[self.of == max(a, b)] = min(a, b)
 
 
+# Below this many pairs the plain score is quicker than setting up the bounds.
+_FEW_PAIRS = 400
+
+
+def _at_least(a: str, b: str, threshold: float) -> bool:
+    return (a == b and threshold <= 100 and bool(a.strip())) or token_set_score(a, b) >= threshold
+
+
 def tile_links(
     addresses: list[str],
     titles: list[str],
@@ -169,6 +177,16 @@ def tile_links(
     """
     groups = Groups(labels)
     links: list[tuple[int, int]] = []
+    if len(left) * len(right) <= _FEW_PAIRS:
+        for i in left.tolist():
+            for j in right.tolist():
+                if groups.of[i] != groups.of[j] and (
+                    _at_least(addresses[i], addresses[j], address_threshold)
+                    and _at_least(titles[i], titles[j], title_threshold)
+                ):
+                    groups.join(i, j)
+                    links.append((i, j))
+        return links
     names = sorted(set(addresses))
     place = {a: k for k, a in enumerate(names)}
     of_row = np.array([place[a] for a in addresses])

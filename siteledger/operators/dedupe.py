@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from siteledger.functions.address import block_key, normalize_address
 from siteledger.functions.similarity import tile_links, token_set, token_set_similarity
 from siteledger.operators.components import connected_components
-from siteledger.operators.joins import largest, spread_join
+from siteledger.operators.joins import dealt, largest, spread_join
 from siteledger.session import cut
 
 ADDRESS_THRESHOLD = 92.0
@@ -87,7 +87,7 @@ def _block_components(reps: DataFrame, address_threshold: float, title_threshold
             {"node": [nodes[i] for i in linked], "component": [nodes[find(i)] for i in linked]}, dtype=object
         )
 
-    return reps.groupBy("block").applyInPandas(compare, "node string, component string")
+    return dealt(reps, "block").groupBy("block").applyInPandas(compare, "node string, component string")
 
 
 def _hub_links(reps: DataFrame, title_threshold: float) -> DataFrame:
@@ -197,9 +197,8 @@ def _tile_links(chunked: DataFrame, address_threshold: float, title_threshold: f
         return pd.DataFrame({"src": [nodes[i] for i, _ in links], "dst": [nodes[j] for _, j in links]}, dtype=object)
 
     rows = chunked.join(routed, ["block", "owner", "chunk"])
-    return rows.select("tile", "side", "node", "address", "title", "label").groupBy("tile").applyInPandas(
-        compare, "src string, dst string"
-    )
+    wanted = rows.select("tile", "side", "node", "address", "title", "label")
+    return dealt(wanted, "tile").groupBy("tile").applyInPandas(compare, "src string, dst string")
 
 
 def _large_components(reps: DataFrame, address_threshold: float, title_threshold: float, tile_rows: int) -> DataFrame:

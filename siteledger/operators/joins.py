@@ -49,3 +49,11 @@ def spread_join(
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(flagged, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return salted.drop("_hot").join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned by ``keys`` for work that is heavy per row: the count follows the cores,
+    because the bytes say little about the work and must not merge partitions."""
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(count, *keys)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteledger.plans import ingest, reporting, state
+from siteledger.plans import ingest, reporting, resolve, state
 
-MODULES = (reporting, ingest, state)
+MODULES = (reporting, ingest, state, resolve)
 
 
 def queries() -> dict:
