@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteledger.plans import ingest, reporting, resolve, state
+from siteledger.plans import enrichment, ingest, reporting, resolve, state, streams
 
-MODULES = (reporting, ingest, state, resolve)
+MODULES = (reporting, ingest, state, resolve, enrichment, streams)
 
 
 def queries() -> dict:
