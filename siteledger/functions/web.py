@@ -52,16 +52,18 @@ def site_candidates(name: Column, max_candidates: int = 6, min_token_len: int =
 
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
+# Scheme and host; path without the last step's parameters, trailing slashes, query and fragment.
+_SITE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)((?:/[^/?#]*?)*?)/*(?:;[^/?#]*)?(?:[?#].*)?$"
 
 
 def normalize_website(col: Column) -> Column:
     """``scheme://host/path`` in lower-case scheme and host, no query, no trailing slash."""
-    trimmed = null_if_empty(strip(col))
-    full = F.when(trimmed.rlike("(?i)^https?://"), trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
-    scheme = F.lower(F.regexp_extract(full, _URL, 1))
-    host = F.lower(F.regexp_extract(full, _URL, 2))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(full, _URL, 3), ";[^/]*$", ""), "/+$", "")
-    return F.when(F.length(host) > 0, F.concat(scheme, F.lit("://"), host, path))
+    full = F.regexp_replace(strip(col), "^(?![hH][tT][tT][pP][sS]?://)", "https://")
+
+    def part(group: int) -> Column:
+        return F.get(F.regexp_extract_all(full, F.lit(_SITE), F.lit(group)), F.lit(0))
+
+    return F.concat(F.lower(part(1)), part(2))
 
 
 def site_root(website: Column) -> Column:

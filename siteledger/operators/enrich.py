@@ -15,6 +15,7 @@ from siteledger.operators.joins import spread_join
 from siteledger.operators.leads import enrichment_targets
 from siteledger.operators.upsert import merge_companies
 from siteledger.schemas import RESULT, conform
+from siteledger.session import cut
 
 # An enrichment provider: companies -> one result row per company.
 Provider = Callable[[DataFrame], DataFrame]
@@ -79,7 +80,7 @@ def parsed_pages(pages: DataFrame, hints: tuple[str, ...] = W.LINK_HINTS, max_li
     )
 
 
-def _one_per_url(pages: DataFrame) -> DataFrame:
+def unique_pages(pages: DataFrame) -> DataFrame:
     """A URL crawled more than once counts as one page: the one with the greatest text."""
     rest = [c for c in pages.columns if c != "page_url"]
     best = F.max_by(F.struct(*rest), F.struct("text", "email", "phone")).alias("_p")
@@ -89,12 +90,11 @@ def _one_per_url(pages: DataFrame) -> DataFrame:
 def known_site_result(companies: DataFrame, pages: DataFrame) -> DataFrame:
     """First page with a contact among the home page, the links on it and the standard paths.
 
-    ``pages`` comes from ``parsed_pages``. E-mail and phone are taken from the same page.
+    ``pages`` comes from ``parsed_pages`` and ``unique_pages``. E-mail and phone are taken from the same page.
     """
     sites = companies.select("company_key", W.normalize_website(F.col("website")).alias("site"))
     wanted = sites.where("site is not null").select("site").distinct()
-    unique = _one_per_url(pages.select("page_url", "text", "email", "phone", "links"))
-    home = wanted.join(unique.select(F.col("page_url").alias("site"), "links"), "site", "left").withColumn(
+    home = wanted.join(pages.select(F.col("page_url").alias("site"), "links"), "site", "left").withColumn(
         "standard", W.candidate_urls(F.col("site"))
     )
     # Pages are tried in this order: home, links found on home, then the standard paths.
@@ -105,7 +105,7 @@ def known_site_result(companies: DataFrame, pages: DataFrame) -> DataFrame:
     )
     tries = home.select("site", F.posexplode(order).alias("rank", "try_url"))
     tries = tries.select("site", "rank", "try_url", W.normalize_website(F.col("try_url")).alias("page_url"))
-    found = tries.join(unique.select("page_url", "email", "phone"), "page_url")
+    found = tries.join(pages.select("page_url", "email", "phone"), "page_url")
     first = (
         found.groupBy("site")
         .agg(
@@ -142,19 +142,22 @@ def discover_sites(companies: DataFrame, pages: DataFrame, max_candidates: int =
         W.company_tokens(F.col("name")).alias("tokens"),
         F.posexplode(W.site_candidates(F.col("name"), max_candidates, min_token_len)).alias("rank", "page_url"),
     )
-    unique = _one_per_url(pages.select("page_url", "text", "email", "phone"))
-    matched = guesses.join(unique.select("page_url", "text"), "page_url").where(
+    matched = guesses.join(pages.select("page_url", "text"), "page_url").where(
         W.page_matches(F.col("tokens"), F.col("text"), F.col("page_url"))
     )
     return matched.groupBy("company_key").agg(F.min_by("page_url", "rank").alias("site"))
 
 
 def web_result(companies: DataFrame, pages: DataFrame, max_candidates: int = 6, min_token_len: int = 4) -> DataFrame:
-    """Known website first; a company without one is looked up under its guessed addresses."""
+    """Known website first; a company without one is looked up under its guessed addresses.
+
+    ``pages`` comes from ``parsed_pages``; it is parsed once, written, and read by every step.
+    """
+    pages = cut(unique_pages(pages))
     known = companies.where(W.normalize_website(F.col("website")).isNotNull())
     unknown = companies.where(W.normalize_website(F.col("website")).isNull())
     found = discover_sites(unknown, pages, max_candidates, min_token_len)
-    guessed = unknown.join(found, "company_key", "left").withColumn("website", F.col("site"))
+    guessed = cut(unknown.join(found, "company_key", "left").withColumn("website", F.col("site")))
     first = known_site_result(known.unionByName(guessed.where("site is not null").select(*known.columns)), pages)
     lost = guessed.where("site is null").select(
         "company_key",
@@ -231,10 +234,9 @@ def enrichment_stats(targets: DataFrame, merged: DataFrame) -> DataFrame:
 
 def probe_pages(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     """(url, company_name) pairs -> contact on that page and whether it speaks of the company."""
-    unique = _one_per_url(pages.select("page_url", "text", "email", "phone"))
     keyed = pairs.withColumn("page_url", F.coalesce(W.normalize_website(F.col("url")), F.col("url")))
     matches = W.page_matches(W.company_tokens(F.col("company_name")), F.col("text"), F.col("page_url"))
-    return keyed.join(unique, "page_url").select(
+    return keyed.join(pages, "page_url").select(
         F.col("page_url").alias("url"),
         "company_name",
         "email",

@@ -43,8 +43,11 @@ def spread_join(
     if hot is None:
         hot = hot_keys(left, keys, min_rows)
     flagged = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
+    # Rows without a key match nothing, so they may go anywhere: they are spread as well.
+    keyless = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
     salted = left.join(flagged, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+        "_salt", F.when(F.coalesce(F.col("_hot"), keyless), salt).otherwise(F.lit(0))
     )
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(flagged, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")

@@ -11,6 +11,7 @@ from siteledger.functions.contacts import normalize_license
 from siteledger.operators import enrich as E
 from siteledger.operators.leads import enrichment_targets
 from siteledger.plans.tables import companies, company_cte, lead_cte, leads, table, wide_table
+from siteledger.session import cut
 from siteledger.sources import files
 
 QUERIES = {}
@@ -104,7 +105,7 @@ ORACLES["web_enrichment"] = f"WITH {_WEB} SELECT * FROM web"
 
 def site_discovery(spark, sf_dir):
     """First guessed home page whose text speaks of the company."""
-    pages = E.parsed_pages(_crawl(spark, sf_dir))
+    pages = E.unique_pages(E.parsed_pages(_crawl(spark, sf_dir)))
     return E.discover_sites(_firms(spark, sf_dir), pages)
 
 
@@ -117,6 +118,7 @@ def _merged(spark, sf_dir):
     wanted = firms.select(normalize_license(F.col("license_number")).alias("license_key"))
     licence = E.license_result(firms, files.license_master(_master(spark, sf_dir), wanted))
     web = E.web_result(_firms(spark, sf_dir), E.parsed_pages(_crawl(spark, sf_dir)))
+    licence, web = cut(licence), cut(web)
     return licence, web, E.merge_results([licence, web])
 
 
@@ -212,7 +214,7 @@ def page_probe(spark, sf_dir):
     """Does each page speak of a company named like its host and its first path step?"""
     pages = _pages(spark, sf_dir)
     pairs = pages.selectExpr("url", "concat('The ', split_part(split_part(url, '/', 3), '.', 1), ' on ', split_part(url, '/', 4), ' the then') AS company_name")
-    return E.probe_pages(pairs.distinct(), E.parsed_pages(pages)).select("url", "company_name", "matches_company")
+    return E.probe_pages(pairs.distinct(), E.unique_pages(E.parsed_pages(pages))).select("url", "company_name", "matches_company")
 
 
 QUERIES["page_probe"] = page_probe
@@ -263,18 +265,15 @@ ORACLES["pending_companies"] = f"""WITH {lead_cte()}, {_TARGETS}, o AS (SELECT *
 def pending_shards(spark, sf_dir):
     """The pending companies dealt to eight workers: every company in exactly one slice."""
     pending = E.pending_companies(leads(spark, sf_dir))
-    slices = [E.shard(pending, n, 8).select("company_key") for n in range(8)]
-    whole = slices[0]
-    for part in slices[1:]:
-        whole = whole.unionByName(part)
-    return whole.groupBy("company_key").agg(F.count("*").alias("slices"))
+    dealt = pending.select("company_key", E.shard_of(F.col("company_key"), 8).alias("worker"))
+    return dealt.where("worker BETWEEN 0 AND 7").groupBy("company_key").agg(F.count_distinct("worker").alias("slices"))
 
 
 QUERIES["pending_shards"] = pending_shards
 ORACLES["pending_shards"] = f"WITH {lead_cte()}, {_TARGETS} SELECT company_key, 1 AS slices FROM t WHERE company_key IS NOT NULL GROUP BY 1"
 
 
-def opportunity_sites(spark, sf_dir):
+def manual_contacts(spark, sf_dir):
     """Hand-found contacts of some companies written back by company name."""
     table_ = S.conform(companies(spark, sf_dir), S.COMPANY)
     found = table(spark, sf_dir, "supplier").selectExpr(
@@ -283,7 +282,7 @@ def opportunity_sites(spark, sf_dir):
     return E.set_contacts(table_, found, F.lit("2001-07-20").cast("timestamp")).select("company_key", "email", "phone", "website")
 
 
-QUERIES["manual_contacts"] = opportunity_sites
+QUERIES["manual_contacts"] = manual_contacts
 ORACLES["manual_contacts"] = f"""WITH {company_cte()} SELECT company_key, email, CASE WHEN s_suppkey IS NOT NULL THEN '(415) 555-0000' END AS phone,
     CASE WHEN s_suppkey IS NOT NULL THEN 'https://found.example.com' ELSE website END AS website
     FROM companies LEFT JOIN supplier ON company_key = lower(replace(s_name, 'Supplier', 'CUSTOMER'))"""
