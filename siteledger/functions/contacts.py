@@ -105,22 +105,25 @@ class Contact:
         )
 
     def rank(self, position: Column) -> Column:
-        """Sortable STRUCT(rank, no_firm, no_license, position); the smallest of a permit is its best contact.
-
-        NULL when the contact names nobody, or is an owner-like person with neither firm nor licence.
-        """
-        role = F.lower(F.coalesce(self["role"], F.lit("")))
-        firm, license_number = self.firm(), self.license()
-        person_only = firm.isNull() & license_number.isNull() & role.rlike("|".join(OWNER_ROLES))
-        return F.when(
-            self.name().isNotNull() & ~person_only,
-            F.struct(
-                contact_rank(role).alias("rank"),
-                firm.isNull().alias("no_firm"),
-                license_number.isNull().alias("no_license"),
-                position.alias("position"),
-            ),
-        )
+        return rank_of(self["role"], self.firm(), self.license(), self.name(), position)
+
+
+def rank_of(role: Column, firm: Column, license_number: Column, name: Column, position: Column) -> Column:
+    """Sortable STRUCT(rank, no_firm, no_license, position); the smallest of a permit is its best contact.
+
+    NULL when the contact names nobody, or is an owner-like person with neither firm nor licence.
+    """
+    role = F.lower(F.coalesce(role, F.lit("")))
+    person_only = firm.isNull() & license_number.isNull() & role.rlike("|".join(OWNER_ROLES))
+    return F.when(
+        name.isNotNull() & ~person_only,
+        F.struct(
+            contact_rank(role).alias("rank"),
+            firm.isNull().alias("no_firm"),
+            license_number.isNull().alias("no_license"),
+            position.alias("position"),
+        ),
+    )
 
 
 def best_contact(contacts: Column) -> Column:

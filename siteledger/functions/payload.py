@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,15 @@ def flat_fields(payload: Column, names: Iterable[str], extra: dict[str, T.DataTy
     return F.from_json(payload, schema)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as column ``name``, computed once per row however often it is used.
+
+    The one-element explode keeps the optimizer from repeating the value inside every filter
+    and expression that looks at one of its fields.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def template_fields(template: str | None) -> list[str]:
     return re.findall(r"\{([^{}]+)\}", template or "")
 

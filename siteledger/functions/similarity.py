@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteledger.functions.text import SPACE
+
 
 def lcs_length(x: str, y: str) -> int:
     """Length of the longest common subsequence, a machine word of positions at a time."""
@@ -69,7 +71,7 @@ def token_set_similarity(left: Column, right: Column) -> Column:
 
 def token_set(text: Column) -> Column:
     """Normal form of a token set: distinct tokens, sorted, joined by blanks."""
-    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: F.length(t) > 0)
+    tokens = F.filter(F.split(text, f"{SPACE}+"), lambda t: F.length(t) > 0)
     return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
 
 
@@ -152,12 +154,40 @@ class Groups:
         self.of[self.of == max(a, b)] = min(a, b)
 
 
-# Below this many pairs the plain score is quicker than setting up the bounds.
-_FEW_PAIRS = 400
+# Up to this many pairs the plain score is quicker than setting up the bounds.
+_FEW_PAIRS = 1024
+
+
+class Scorer:
+    """Pair checks over few texts: tokens are split once and equal text pairs are scored once."""
+
+    def __init__(self, texts: list[str], threshold: float):
+        place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        self.of = [place[t] for t in texts]
+        self.sets = [frozenset(t.split()) for t in place]
+        self.length = [_joined_length(s) for s in self.sets]
+        self.threshold = threshold
+        self.known: dict[tuple[int, int], bool] = {}
 
+    def similar(self, i: int, j: int) -> bool:
+        pair = (self.of[i], self.of[j])
+        if pair not in self.known:
+            self.known[pair] = self._check(*pair)
+        return self.known[pair]
 
-def _at_least(a: str, b: str, threshold: float) -> bool:
-    return (a == b and threshold <= 100 and bool(a.strip())) or token_set_score(a, b) >= threshold
+    def _check(self, i: int, j: int) -> bool:
+        a, b, t = self.sets[i], self.sets[j], self.threshold
+        if not a or not b:
+            return False
+        common, la, lb = a & b, self.length[i], self.length[j]
+        if common:
+            if len(common) in (len(a), len(b)):
+                return 100.0 >= t
+            s = _joined_length(common)
+            if 100.0 - 100.0 * (la - s) / (s + la) >= t or 100.0 - 100.0 * (lb - s) / (s + lb) >= t:
+                return True
+        total = la + lb
+        return 100.0 - 100.0 * abs(la - lb) / total >= t and _whole_ratio(a, b, total) >= t
 
 
 def tile_links(
@@ -178,12 +208,10 @@ def tile_links(
     groups = Groups(labels)
     links: list[tuple[int, int]] = []
     if len(left) * len(right) <= _FEW_PAIRS:
+        place, title = Scorer(addresses, address_threshold), Scorer(titles, title_threshold)
         for i in left.tolist():
             for j in right.tolist():
-                if groups.of[i] != groups.of[j] and (
-                    _at_least(addresses[i], addresses[j], address_threshold)
-                    and _at_least(titles[i], titles[j], title_threshold)
-                ):
+                if groups.of[i] != groups.of[j] and place.similar(i, j) and title.similar(i, j):
                     groups.join(i, j)
                     links.append((i, j))
         return links

@@ -11,6 +11,10 @@ PLACEHOLDER_CONTACT_NAMES = ("owner owner", "owner", "none", "n/a")
 PLACEHOLDER_LICENSES = ("OWN", "OWNER", "NONE", "000000", "0000000")
 
 
+# The characters that count as whitespace.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def null_if_empty(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
@@ -24,12 +28,12 @@ def first_present(*cols: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim any whitespace, not only spaces."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def squeeze(col: Column) -> Column:
     """Collapse whitespace runs to one space and trim."""
-    return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col, f"{SPACE}+", " "))
 
 
 def join_parts(*cols: Column, sep: str = " ") -> Column:

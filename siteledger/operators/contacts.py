@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.functions.contacts import Contact
+from siteledger.functions.contacts import Contact, rank_of
+from siteledger.functions.payload import once
 from siteledger.operators.joins import spread_join
 
 
@@ -30,12 +31,18 @@ def permit_contacts(contacts: DataFrame, key: str, position: str | None = None)
         (F.col(position) if position else F.lit(0)).alias("_position"),
     ).where(F.length("_permit") > 0)
 
-    def contact() -> Contact:
-        return Contact(columns={n: F.col("_row")[n] for n in names})
-
-    staged = texts.select("_permit", "_row", "_position", F.xxhash64(*[F.col("_row")[n] for n in names]).alias("_hash"))
-    rank = contact().rank(F.col("_position"))
-    winner = staged.withColumn("_rank", F.when(rank.isNotNull(), F.struct(rank, F.col("_row"))))
+    contact = Contact(columns={n: F.col("_row")[n] for n in names})
+    named = once(
+        texts,
+        "_who",
+        F.struct(contact.firm().alias("firm"), contact.license().alias("license"), contact.name().alias("name")),
+    )
+    rank = rank_of(contact["role"], F.col("_who.firm"), F.col("_who.license"), F.col("_who.name"), F.col("_position"))
+    winner = named.select(
+        "_permit",
+        F.xxhash64(*[F.col("_row")[n] for n in names]).alias("_hash"),
+        F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("_row"))).alias("_rank"),
+    )
     digest = F.concat_ws(
         ":",
         F.count("*").cast("string"),
@@ -45,7 +52,7 @@ def permit_contacts(contacts: DataFrame, key: str, position: str | None = None)
     summed = winner.groupBy("_permit").agg(
         F.count("*").alias("contact_count"), digest.alias("contact_digest"), F.min("_rank")["_row"].alias("_row")
     )
-    company = F.when(F.col("_row").isNotNull(), contact().company())
+    company = F.when(F.col("_row").isNotNull(), contact.company())
     return summed.select("_permit", "contact_count", "contact_digest", company.alias("contact"))
 
 

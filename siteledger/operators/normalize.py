@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from siteledger.config import OPPORTUNITIES, FieldMap, SourceConfig
 from siteledger.functions import contacts as K
 from siteledger.functions import dates
-from siteledger.functions.payload import STRINGS, digest, flat_fields
+from siteledger.functions.payload import STRINGS, digest, flat_fields, once
 from siteledger.functions.text import (
     address_parts,
     clean_license,
@@ -86,7 +86,7 @@ def normalize_permits(raw: DataFrame, cfg: SourceConfig) -> DataFrame:
     """Permits of one source mapped through its field map."""
     fm = cfg.field_map
     columns = fm.columns()
-    staged = raw.withColumn("_f", flat_fields(F.col("payload"), columns, {"_contacts": STRINGS}))
+    staged = once(raw, "_f", flat_fields(F.col("payload"), columns, {"_contacts": STRINGS}))
     fields = F.col("_f")
     address = address_parts(*[fields[c] for c in fm.address])
     description = null_if_empty(strip(first_present(*[fields[c] for c in fm.description])))
@@ -133,7 +133,7 @@ def agency_name(fields: Column) -> Column:
 def normalize_opportunities(raw: DataFrame, cfg: SourceConfig) -> DataFrame:
     """Solicitations; the county stays NULL because the place of performance names none."""
     extra: dict[str, T.DataType] = {"placeOfPerformance": PLACE, "pointOfContact": STRINGS, "_contacts": STRINGS}
-    staged = raw.withColumn("_f", flat_fields(F.col("payload"), _NOTICE, extra))
+    staged = once(raw, "_f", flat_fields(F.col("payload"), _NOTICE, extra))
     fields = F.col("_f")
     place = fields["placeOfPerformance"]
     city = null_if_empty(place["city"]["name"])
@@ -152,7 +152,7 @@ def normalize_opportunities(raw: DataFrame, cfg: SourceConfig) -> DataFrame:
         "city": F.coalesce(null_if_empty(title_case(squeeze(city))), F.lit(cfg.jurisdiction)),
         "county": F.lit(None).cast("string"),
     }
-    staged = staged.withColumn("_agency", agency_name(fields))
+    staged = once(staged, "_agency", agency_name(fields))
     return _projects(staged, parts, K.best_point_of_contact(contacts, F.col("_agency")))
 
 

@@ -29,6 +29,8 @@ def local_session(cpus: int | str = "*", memory: str = "12g", app: str = "sitele
             builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", "8")
+        # Eight small partitions on eight cores: merging them by size would leave cores idle.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

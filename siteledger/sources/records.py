@@ -69,7 +69,7 @@ def _finish(df: DataFrame, name: str, record_id: Column, source_url: Column, con
 def _identified(df: DataFrame, name: str, cfg: C.SourceConfig, template: str | None, contact: bool = False) -> DataFrame:
     fm = cfg.field_map
     wanted = [fm.record_id, *([fm.permit_number] if fm.permit_number else []), *P.template_fields(template)]
-    staged = df.withColumn("_f", P.flat_fields(F.col("payload"), wanted))
+    staged = P.once(df, "_f", P.flat_fields(F.col("payload"), wanted))
     ids = [F.col("_f")[fm.record_id]] + ([F.col("_f")[fm.permit_number]] if fm.permit_number else [])
     return _finish(staged, name, first_present(*ids), P.fill_template(template, F.col("_f")), contact)
 
@@ -173,7 +173,7 @@ def opportunities(name: str, cfg: C.SourceConfig, responses: DataFrame) -> DataF
     records = extract_records(responses, "opportunitiesData")
     template = cfg.source_url_template
     wanted = ["noticeId", "uiLink", "naicsCode", "type", *P.template_fields(template)]
-    staged = records.withColumn("_f", P.flat_fields(F.col("payload"), wanted, {"placeOfPerformance": PLACE}))
+    staged = P.once(records, "_f", P.flat_fields(F.col("payload"), wanted, {"placeOfPerformance": PLACE}))
     if cfg.naics_codes:
         staged = staged.where(F.col("_f.naicsCode").isin(*cfg.naics_codes))
     if cfg.ptype:
