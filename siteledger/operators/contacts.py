@@ -61,7 +61,7 @@ def attach_contacts(
 ) -> DataFrame:
     """Permits left-joined with their contact summary; permits without contacts keep NULLs."""
     summary = permit_contacts(contacts, contact_key, position).withColumnRenamed("_permit", permit_key)
-    return permits.join(summary, permit_key, "left")
+    return spread_join(permits, summary, [permit_key], F.struct(*permits.columns))
 
 
 def contact_pages(contacts: DataFrame, key: str, page_size: int = 1000) -> DataFrame:

@@ -223,15 +223,15 @@ def duplicate_plan(
     """
     prepared = prepare(records, block)
     reps = cut(_representatives(prepared))
-    sizes = reps.groupBy("block").agg(F.count("*").alias("n"))
-    large = cut(sizes.where(F.col("n") > tile_rows).select("block"))
-    several = sizes.where(F.col("n").between(2, tile_rows)).select("block")
+    sizes = cut(reps.groupBy("block").agg(F.count("*").alias("n")))
+    crowd = largest(sizes, ["block"], "n")
     compared = reps.select("block", "node", "address", "title")
-    components = _block_components(compared.join(several, "block", "left_semi"), address_threshold, title_threshold)
-    if not large.isEmpty():
-        components = components.unionByName(
-            _large_components(compared.join(large, "block", "left_semi"), address_threshold, title_threshold, tile_rows)
-        )
+    sized = spread_join(compared, sizes.where("n > 1"), ["block"], F.col("node"), how="inner", hot=crowd)
+    usual = sized.where(F.col("n") <= tile_rows).drop("n")
+    components = _block_components(usual, address_threshold, title_threshold)
+    if not sizes.where(F.col("n") > tile_rows).isEmpty():
+        large = cut(sized.where(F.col("n") > tile_rows).drop("n"))
+        components = components.unionByName(_large_components(large, address_threshold, title_threshold, tile_rows))
     grouped = reps.select("node", "best", "copies").join(components, "node", "left")
     grouped = grouped.where("component is not null or copies > 1").withColumn(
         "component", F.coalesce("component", "node")

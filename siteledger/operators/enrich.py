@@ -142,7 +142,8 @@ def discover_sites(companies: DataFrame, pages: DataFrame, max_candidates: int =
         W.company_tokens(F.col("name")).alias("tokens"),
         F.posexplode(W.site_candidates(F.col("name"), max_candidates, min_token_len)).alias("rank", "page_url"),
     )
-    matched = guesses.join(pages.select("page_url", "text"), "page_url").where(
+    texts = pages.select("page_url", "text")
+    matched = spread_join(guesses, texts, ["page_url"], F.col("company_key"), how="inner").where(
         W.page_matches(F.col("tokens"), F.col("text"), F.col("page_url"))
     )
     return matched.groupBy("company_key").agg(F.min_by("page_url", "rank").alias("site"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteledger.functions import dates
 from siteledger.functions.payload import fill_template
 from siteledger.functions.text import cap_text, has_contact, null_if_empty
+from siteledger.operators.joins import spread_join
 from siteledger.schemas import CATEGORIES, OTHER
 
 LEAD_ORDER = ("source", "source_record_id")
@@ -18,7 +19,7 @@ def with_companies(projects: DataFrame, companies: DataFrame) -> DataFrame:
     side = companies.select(
         "company_key", F.col("name").alias("company_name"), "email", "phone", "website", "license_number"
     )
-    return projects.join(side, "company_key", "left")
+    return spread_join(projects, side, ["company_key"], F.struct(*LEAD_ORDER))
 
 
 def exportable(leads: DataFrame, category: str | None = None) -> DataFrame:

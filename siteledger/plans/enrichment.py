@@ -286,3 +286,20 @@ QUERIES["manual_contacts"] = manual_contacts
 ORACLES["manual_contacts"] = f"""WITH {company_cte()} SELECT company_key, email, CASE WHEN s_suppkey IS NOT NULL THEN '(415) 555-0000' END AS phone,
     CASE WHEN s_suppkey IS NOT NULL THEN 'https://found.example.com' ELSE website END AS website
     FROM companies LEFT JOIN supplier ON company_key = lower(replace(s_name, 'Supplier', 'CUSTOMER'))"""
+
+
+def leads_with_companies(spark, sf_dir):
+    """Projects left-joined with their companies; some name a company nobody knows."""
+    from siteledger.operators.leads import with_companies
+
+    projects = table(spark, sf_dir, "orders").selectExpr(
+        "'orders' AS source", "CAST(o_orderkey AS STRING) AS source_record_id",
+        "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE concat('customer#', lpad(CAST(o_custkey AS STRING), 9, '0')) END AS company_key",
+    )
+    known = companies(spark, sf_dir).where("website IS NOT NULL")
+    return with_companies(projects, known).select("source_record_id", "company_name", "email", "license_number")
+
+
+QUERIES["leads_with_companies"] = leads_with_companies
+ORACLES["leads_with_companies"] = f"""WITH {company_cte()} SELECT CAST(o_orderkey AS VARCHAR) AS source_record_id, c.name AS company_name, c.email, c.license_number
+    FROM orders LEFT JOIN companies c ON c.website IS NOT NULL AND o_orderstatus <> 'P' AND c.company_key = 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteledger.plans import enrichment, ingest, reporting, resolve, state, streams
+from siteledger.plans import enrichment, ingest, pipeline, reporting, resolve, state, streams
 
-MODULES = (reporting, ingest, state, resolve, enrichment, streams)
+MODULES = (reporting, ingest, state, resolve, enrichment, streams, pipeline)
 
 
 def queries() -> dict:

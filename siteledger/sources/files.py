@@ -9,6 +9,7 @@ from siteledger.config import FieldMap
 from siteledger.functions import payload as P
 from siteledger.functions.contacts import normalize_license
 from siteledger.functions.text import null_if_empty, strip
+from siteledger.operators.joins import spread_join
 from siteledger.schemas import COMPANY_STRUCT
 
 ORDER = "_order"
@@ -55,7 +56,7 @@ def permit_rows(table: DataFrame, source: str, field_map: FieldMap) -> DataFrame
         ORDER,
     )
     first = rows.groupBy("source_record_id").agg(F.min(ORDER).alias("_first"))
-    joined = rows.join(first, "source_record_id")
+    joined = spread_join(rows, first, ["source_record_id"], F.col(ORDER), how="inner")
     return joined.select(*[c for c in rows.columns if c != ORDER], (F.col(ORDER) != F.col("_first")).alias("skipped"))
 
 

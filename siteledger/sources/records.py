@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from siteledger import config as C
 from siteledger.functions import dates, geo, payload as P
 from siteledger.functions.text import first_present, null_if_empty
+from siteledger.operators.joins import spread_join
 from siteledger.schemas import COMPANY_STRUCT, texts
 
 Reader = Callable[[str, C.SourceConfig, DataFrame], DataFrame]
@@ -137,7 +138,7 @@ def merge_details(records: DataFrame, details: DataFrame) -> DataFrame:
         .groupBy("_case")
         .agg(F.max("_detail").alias("_detail"))
     )
-    joined = left.join(right, "_case", "left").withColumns(
+    joined = spread_join(left, right, ["_case"], F.col("payload")).withColumns(
         {
             "_base": F.from_json("payload", flat),
             "_more": F.transform_keys(F.from_json("_detail", flat), lambda k, v: F.concat(F.lit("detail_"), k)),
