@@ -82,7 +82,8 @@ def is_new(first_seen: Column, today: str, window_days: int = 7) -> Column:
 def epoch_ms_day(col: Column) -> Column:
     """ISO day of an epoch-milliseconds number given as text; other text is kept."""
     millis = F.when(col.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), col.try_cast("double").cast("bigint"))
-    return F.coalesce(F.timestamp_millis(millis).cast("date").cast("string"), col)
+    days = F.floor(millis / 86_400_000).cast("int")
+    return F.coalesce(F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"), col)
 
 
 def us_date(col: Column) -> Column:

@@ -184,7 +184,7 @@ FEATURE_CONFIG = C.SourceConfig(
 def feature_layer_permits(spark, sf_dir):
     """Events as layer features; the issue date is an epoch number, or text for some types."""
     attributes = """named_struct('OBJECTID', event_id, 'EventType', event_type, 'UserId', user_id,
-        'IssuedDate', unix_millis(CAST(ts AS TIMESTAMP)), 'Props', props)"""
+        'IssuedDate', timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts), 'Props', props)"""
     texts = """named_struct('OBJECTID', event_id, 'EventType', event_type, 'UserId', user_id,
         'IssuedDate', CAST(CAST(ts AS DATE) AS STRING), 'Props', props)"""
     events = wide_table(spark, sf_dir, "events")
