@@ -218,6 +218,11 @@ def page_probe(spark, sf_dir):
 
 
 QUERIES["page_probe"] = page_probe
+ORACLES["page_probe"] = f"""WITH p AS (SELECT rtrim(regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', ''), '/') AS url, lower({_TEXT}) AS t,
+      concat('The ', split_part(split_part(url, '/', 3), '.', 1), ' on ', split_part(url, '/', 4), ' the then') AS company_name FROM pages),
+    k AS (SELECT *, list_filter(regexp_extract_all(lower(company_name), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN
+      ('co', 'company', 'corp', 'corporation', 'inc', 'incorporated', 'llc', 'lp', 'ltd', 'the')) AS tokens FROM p)
+    SELECT url, company_name, len(list_filter(tokens, lambda w: length(w) > 2 AND contains(t, w))) >= 2 AS matches_company FROM k"""
 
 
 def site_candidates(spark, sf_dir):

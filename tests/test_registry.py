@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 def test_every_query_is_registered_once_and_checked():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"dedupe_parts", "page_probe", "pipeline_tail"}
+    assert set(queries) - set(oracles) == {"dedupe_parts", "pipeline_tail"}
 
 
 def test_entry_runs(spark):
