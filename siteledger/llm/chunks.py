@@ -32,8 +32,8 @@ class Chunks:
     bits: int
 
 
-def chunked(docs: DataFrame) -> Chunks:
-    """Whole texts of ``docs`` (doc_id, text), dealt by hash to chunks of about ``CHUNK_BYTES``.
+def chunked(docs: DataFrame, carried: tuple[str, ...] = ()) -> Chunks:
+    """Whole texts of ``docs`` (doc_id, text and ``carried``), dealt by hash to chunks of about ``CHUNK_BYTES``.
 
     The number of chunks follows the bytes of the table, so a chunk is as large at any scale; one text is never split.
     """
@@ -41,7 +41,7 @@ def chunked(docs: DataFrame) -> Chunks:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(2 * partitions, -(-size // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("chunk")
-    df = docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    df = docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
     return Chunks(df, max(1, (count - 1).bit_length()))
 
 
@@ -51,6 +51,12 @@ def texts_of(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return ids, [b"" if t is None else t for t in table.column("text").to_pylist()]
 
 
+def ordered(rows: pa.Table) -> pa.Table:
+    """A chunk's rows by id and text: a chunk that is read again has to ask the same in the same order."""
+    ids, texts = texts_of(rows)
+    return rows.take(pa.array(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])), pa.int64()))
+
+
 def replies(table: pa.Table | None, step: int, kind: str) -> np.ndarray:
     """The answers of one exchange, in the order of the keys that the chunk had sent."""
     if table is None or not table.num_rows:
@@ -79,7 +85,7 @@ def exchange(
 
     def send(rows: pa.Table, known: pa.Table | None = None) -> pa.Table:
         chunk = rows.column("chunk")[0].as_py() if rows.num_rows else 0
-        keys, records = emit(rows, known)
+        keys, records = emit(ordered(rows), known)
         buckets = (keys >> shift).astype(np.int64)
         cuts = np.flatnonzero(np.diff(buckets)) + 1
         starts = np.concatenate(([0], cuts)) if len(buckets) else np.empty(0, np.int64)
@@ -118,4 +124,4 @@ def exchange(
 
 def with_answers(chunks: Chunks, known: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``finish`` over every chunk's rows and the answers it got."""
-    return chunks.df.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(lambda rows, told: finish(rows, told), schema)
+    return chunks.df.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(lambda rows, told: finish(ordered(rows), told), schema)

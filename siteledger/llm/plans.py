@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siteledger.llm import jaccard, suffix_dedup
+from siteledger.llm import jaccard, language, mixing, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +27,20 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
 QUERIES["op7_ngram_jaccard"] = op7_ngram_jaccard
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(_documents(spark, sf_dir)).drop("source")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    held = language.held_out(3, 1)
+    docs = _documents(spark, sf_dir)
+    model = language.fit(docs, ~held)
+    return language.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+QUERIES["op5_mixing"] = op5_mixing
+QUERIES["op6_language_id"] = op6_language_id
