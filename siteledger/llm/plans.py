@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import jaccard, language, mixing, suffix_dedup
+from siteledger.llm import decontaminate, jaccard, language, merkle, mixing, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_mixing"] = op5_mixing
 QUERIES["op6_language_id"] = op6_language_id
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text."""
+    return merkle.fingerprints(_documents(spark, sf_dir))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, and where."""
+    return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES["op2_fingerprints"] = op2_fingerprints
+QUERIES["op8_decontamination"] = op8_decontamination
