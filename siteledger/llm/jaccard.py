@@ -164,5 +164,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component; rows without doc_id all stay."""
+    found = near_duplicates(docs)
+    kept = found.where("component_id = doc_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi")
+    if not repeated_ids(docs).isEmpty():
+        named = named.dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def repeated_ids(sets: DataFrame) -> DataFrame:
     return sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

@@ -323,5 +323,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(label, f"{_ddl(docs)}lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their own columns only."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in batches:
+            rejected = shared.value.predict(batch.column("text").to_pylist())[3]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def _ddl(df: DataFrame) -> str:
     return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema.fields)

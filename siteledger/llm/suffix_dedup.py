@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siteledger.llm import chunks as C
 from siteledger.llm.hashing import PLACE, SLICE, doubling, mix, sliding_min
@@ -32,7 +33,7 @@ LENGTH = 50
 _RANK = np.dtype("<u4")
 _SEGMENT = np.dtype([("k", "<u4"), ("s", "<u8"), ("d", "<i8")])
 _STRING = np.dtype([("k", "<u8"), ("d", "<i8")])
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, alive boolean"
 
 
 class _Runs:
@@ -185,8 +186,42 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     than all others; rows of one doc_id don't remove from each other. An empty table gives no rows; other columns of
     ``docs`` are ignored.
     """
-    chunks = C.chunked(docs)
+    return _removed(docs, ()).drop("alive")
+
+
+def rewritten(docs: DataFrame) -> DataFrame:
+    """``docs`` with the kept text in place of text, and n_chars that of it; rows of which nothing is left go.
+
+    Whole characters are kept if any of their bytes is. Rows that lose nothing, also NULL and empty ones, stay as they
+    are; all other columns pass through.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    packed = docs.select("doc_id", "text", F.struct("doc_id", *others).alias("carried"))
+    found = _removed(packed, ("carried",)).where("alive")
+    kept = F.col("kept").cast("string")
+    fields = {"text": kept, "doc_id": F.col("carried.doc_id")}
+    if "n_chars" in others:
+        length = F.length(kept).cast(docs.schema["n_chars"].dataType)
+        fields["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("carried.n_chars"))
+    columns = [fields[c] if c in fields else F.col("carried").getField(c) for c in docs.columns]
+    return found.select(*[x.alias(c) for x, c in zip(columns, docs.columns, strict=True)])
+
+
+def _whole_characters(text: bytes, removed: np.ndarray) -> bytes:
+    """What is left of ``text``; a character of which some bytes stay keeps all of them."""
+    data = np.frombuffer(text, np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(starts) or starts[0]:
+        starts = np.concatenate(([0], starts))
+    gone = np.logical_and.reduceat(removed, starts)
+    return data[~np.repeat(gone, np.diff(np.append(starts, len(data))))].tobytes()
+
+
+def _removed(docs: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """The rows of ``remove_repeats``; with ``carried``, that column as it is and kept in whole characters."""
+    chunks = C.chunked(docs, carried)
     shift = 64 - chunks.bits - 32
+    schema = SCHEMA + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def ranks(rows, _):
         _, _, _, rank, _, owner, _ = _grouped(C.texts_of(rows)[1], False)
@@ -218,23 +253,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         n = len(chunk.runs.data)
         depth = np.bincount(begin, minlength=n + 1)[: n + 1] - np.bincount(end, minlength=n + 1)[: n + 1]
         removed = np.cumsum(depth)[:n] > 0
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for a, b, text in zip(chunk.runs.offsets[:-1], chunk.runs.offsets[1:], chunk.texts, strict=True):
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "alive")}
+        nulls = rows.column("text").is_null().to_pylist()
+        for a, b, text, null in zip(chunk.runs.offsets[:-1], chunk.runs.offsets[1:], chunk.texts, nulls, strict=True):
             mask = removed[a:b]
             kept = chunk.runs.data[a:b][~mask].tobytes() if mask.any() else text
+            if carried and mask.any():
+                kept = _whole_characters(text, mask)
+            out["alive"].append(bool(kept) or not text)
             out["n_bytes"].append(len(text))
             out["n_removed"].append(len(text) - len(kept))
             out["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept)
-        return pa.table({"doc_id": rows.column("doc_id"), **out}).cast(_ARROW)
+            out["kept"].append(None if null else kept)
+        plain = pa.table({"doc_id": rows.column("doc_id"), **out}).cast(_ARROW)
+        return plain.append_column("carried", rows.column("carried")) if carried else plain
 
     one = C.exchange(chunks, 1, ranks, _shared, _RANK)
     two = C.exchange(chunks, 2, segments, _settle_segments, _SEGMENT, one)
     three = C.exchange(chunks, 3, strings, _settle_strings, _STRING, one.unionByName(two))
-    return C.with_answers(chunks, one.unionByName(two).unionByName(three), finish, SCHEMA)
+    return C.with_answers(chunks, one.unionByName(two).unionByName(three), finish, schema)
 
 
 _ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("alive", pa.bool_())]
 )
