@@ -26,7 +26,7 @@ REPLY = "chunk long, step int, bucket long, reply binary"
 
 @dataclass(frozen=True)
 class Chunks:
-    """``df`` has (chunk, doc_id, text as bytes); keys are dealt to ``2 ** bits`` buckets."""
+    """``df`` has (chunk, doc_id, text as bytes); keys are dealt to ``2 ** bits`` buckets, fewer than there are chunks."""
 
     df: DataFrame
     bits: int
@@ -42,7 +42,7 @@ def chunked(docs: DataFrame, carried: tuple[str, ...] = ()) -> Chunks:
     count = max(2 * partitions, -(-size // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("chunk")
     df = docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
-    return Chunks(df, max(1, (count - 1).bit_length()))
+    return Chunks(df, max(1, (count - 1).bit_length() - 1))
 
 
 def texts_of(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
@@ -72,14 +72,16 @@ def exchange(
     chunks: Chunks,
     step: int,
     emit: Callable[[pa.Table, pa.Table | None], tuple[np.ndarray, np.ndarray]],
-    settle: Callable[[np.ndarray], np.ndarray],
+    settle: Callable[..., np.ndarray],
     record: np.dtype,
     known: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Answers (chunk, step, bucket, reply) to what every chunk asks.
 
     ``emit(rows, known)`` gives a chunk's ascending 64-bit routing keys and one record for each; ``settle`` gets the
-    records of a bucket from all chunks and gives an array of answers, one for each record.
+    records of a bucket from all chunks and gives an array of answers, one for each record. With ``facts`` (bucket and
+    more columns), ``settle`` gets the bucket's rows of it as well.
     """
     shift, kind = np.uint64(64 - chunks.bits), np.dtype(record)
 
@@ -99,9 +101,9 @@ def exchange(
             }
         )
 
-    def answer(rows: pa.Table) -> pa.Table:
+    def answer(rows: pa.Table, *told: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, kind) for x in rows.column("records").to_pylist()]
-        said = settle(np.concatenate(parts))
+        said = settle(np.concatenate([np.empty(0, kind), *parts]), *told)
         ends = np.cumsum([len(p) for p in parts])
         blobs = [said[e - len(p) : e].tobytes() for p, e in zip(parts, ends, strict=True)]
         return pa.table(
@@ -119,7 +121,10 @@ def exchange(
         asked = own.applyInArrow(lambda rows: send(rows), sent)
     else:
         asked = own.cogroup(known.groupBy("chunk")).applyInArrow(lambda rows, told: send(rows, told), sent)
-    return asked.groupBy("bucket").applyInArrow(lambda rows: answer(rows), REPLY)
+    by_bucket = asked.groupBy("bucket")
+    if facts is None:
+        return by_bucket.applyInArrow(lambda rows: answer(rows), REPLY)
+    return by_bucket.cogroup(facts.groupBy("bucket")).applyInArrow(lambda rows, told: answer(rows, told), REPLY)
 
 
 def with_answers(chunks: Chunks, known: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
