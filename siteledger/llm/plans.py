@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import decontaminate, jaccard, language, merkle, mixing, suffix_dedup
+from siteledger.llm import decontaminate, jaccard, language, lattice, merkle, mixing, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_fingerprints"] = op2_fingerprints
 QUERIES["op8_decontamination"] = op8_decontamination
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the lattice model and under the plain word model."""
+    return lattice.scores(_documents(spark, sf_dir), language.held_out(7, 2))
+
+
+QUERIES["op4_lm_scores"] = op4_lm_scores
