@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import decontaminate, jaccard, language, lattice, merkle, mixing, suffix_dedup
+from siteledger.llm import decontaminate, jaccard, language, lattice, merkle, mixing, quality, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,14 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_lm_scores"] = op4_lm_scores
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of two thirds of them."""
+    held = language.held_out(3, 1)
+    docs = _documents(spark, sf_dir)
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return quality.scored(docs.select("doc_id", held.alias("held_out"), "text"), net).drop("text")
+
+
+QUERIES["op3_quality"] = op3_quality
