@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import decontaminate, jaccard, language, lattice, merkle, mixing, quality, suffix_dedup
+from siteledger.llm import decontaminate, html_blocks, jaccard, language, lattice, merkle, mixing, quality, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_quality"] = op3_quality
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES["op10_main_text"] = op10_main_text
