@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import decontaminate, html_blocks, jaccard, language, lattice, merkle, mixing, quality, suffix_dedup
+from siteledger.llm import decontaminate, html_blocks, jaccard, language, lattice, merkle, mixing, quality, suffix_dedup, token_rollup
+from siteledger.session import cut, scratch_path
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,25 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_main_text"] = op10_main_text
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after inserts of all documents, deletes, revised texts, and batches that come twice.
+
+    Batch 1 inserts every document, batch 2 deletes those whose doc_id ends with 3, batch 3 brings those that end with 5
+    with a longer text and batch 4 inserts the deleted ones that end with 13, 33, ... again.
+    """
+    docs = _documents(spark, sf_dir)
+    tokenizers = {"words-1": token_rollup.words, "byte-bpe-50k": token_rollup.byte_pairs()}
+    root = scratch_path(spark, "token-rollup")
+    counts = cut(token_rollup.counted(docs, tokenizers))
+    ends = lambda n, k: F.pmod("doc_id", F.lit(n)) == k
+    longer = docs.where(ends(10, 5)).withColumn("text", F.concat_ws(" ", "text", F.lit("appended words")))
+    gone, back = token_rollup.deletes(counts.where(ends(10, 3))), token_rollup.inserts(counts.where(ends(20, 13)))
+    revised = token_rollup.revisions(counts.where(ends(10, 5)), token_rollup.counted(longer, tokenizers))
+    for batch, changes in ((1, token_rollup.inserts(counts)), (2, gone), (3, revised), (2, gone), (4, back), (4, back)):
+        token_rollup.commit(changes, root, batch)
+    return token_rollup.totals(spark, root, [1, 2, 3, 2, 4, 4])
+
+
+QUERIES["op9_token_rollup"] = op9_token_rollup
