@@ -45,6 +45,17 @@ def chunked(docs: DataFrame, carried: tuple[str, ...] = ()) -> Chunks:
     return Chunks(df, max(1, (count - 1).bit_length() - 1))
 
 
+def in_batches(docs: DataFrame, function: Callable, extra: str = "") -> DataFrame:
+    """``docs`` through ``mapInArrow`` with all its columns, whatever their names, and the columns of ``extra`` after them.
+
+    ``function`` finds the text under its name; other columns keep their place.
+    """
+    inner = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema.fields, strict=True))
+    out = docs.toDF(*inner).mapInArrow(function, ddl + extra)
+    return out.toDF(*docs.columns, *out.columns[len(inner) :])
+
+
 def texts_of(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """The ids (``NO_ID`` for NULL) and the bytes (empty for NULL) of a chunk's rows."""
     ids = table.column("doc_id").fill_null(int(NO_ID)).to_numpy()

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.llm.chunks import in_batches
 from siteledger.llm.hashing import BYTE, LOWER, STEP, mix
 
-#: The masks: 1 compares a token, 0 ignores it. The last is plain, for short stretches.
-MASKS = ("1110110101", "1101011011", "1011001111", "111111")
+#: The masks: 1 compares a token, 0 ignores it. Together they find 13 tokens with any two inner ones replaced.
+MASKS = ("1001110011", "11010111", "110010111", "111111")
 #: Tokens an overlap needs, of shorter items all, and the share of them that must be equal.
 LEAST_OVERLAP, LEAST_EQUAL = 13, 0.8
 #: Items of fewer tokens are phrases that clean texts contain, and are not looked for.
@@ -108,17 +109,20 @@ class Items:
 
 
 def _stretch(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
-    """The best stretch of an alignment if it is long and equal enough: overlap, equal tokens, both starts."""
+    """The longest stretch of an alignment that is equal enough, if it is long enough: overlap, equal tokens, both starts."""
     low, high = max(0, -shift), min(len(item), len(words) - shift)
     equal = words[low + shift : high + shift] == item[low:high]
-    gain = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
-    least = np.minimum.accumulate(gain)
-    end = int((gain - least).argmax())
-    start = int(gain[: end + 1].argmin())
-    overlap, same = end - start, int(equal[start:end].sum())
-    if overlap < min(LEAST_OVERLAP, len(item)) or same < LEAST_EQUAL * overlap:
+    # A stretch is equal enough if these gains sum to 0 or more; the least sum so far gives the earliest start of each end.
+    gain = np.concatenate(([0.0], np.cumsum(equal - LEAST_EQUAL)))
+    starts = np.searchsorted(-np.minimum.accumulate(gain), -gain - 1e-9)
+    end = int((np.arange(len(gain)) - starts).argmax())
+    inside = np.flatnonzero(equal[starts[end] : end])
+    if not len(inside):
         return None
-    return overlap, same, low + start + shift, low + start
+    start, overlap = int(starts[end] + inside[0]), int(inside[-1] - inside[0] + 1)
+    if overlap < min(LEAST_OVERLAP, len(item)):
+        return None
+    return overlap, len(inside), low + start + shift, low + start
 
 
 def _blocks(benchmark: DataFrame, block_tokens: int):
@@ -178,7 +182,7 @@ def _finder(items):
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with all their columns; one pass for each block of items."""
     for items in _blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), block_tokens):
-        docs = docs.mapInArrow(_keeper(items), docs.schema)
+        docs = in_batches(docs, _keeper(items))
     return docs
 
 

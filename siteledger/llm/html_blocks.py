@@ -186,6 +186,8 @@ def grow(rows: tuple[tuple[float, ...], ...], depth: int = 6) -> Tree:
 def main_text(html: str | None, tree: Tree) -> str:
     """The content blocks of a page in page order, joined by two newlines."""
     found = list(blocks(html or ""))
+    if not found:
+        return ""
     none = Block("", 0, 0.0, 0, 0)
     kept = []
     for before, own, after in zip([none, *found[:-1]], found, [*found[1:], none], strict=True):

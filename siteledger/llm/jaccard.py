@@ -105,25 +105,48 @@ def _needed(n: str) -> Column:
     return F.ceil(F.lit(PERCENT) * F.col(n) / 100)
 
 
-def _opened(classes: DataFrame) -> DataFrame:
-    """All links between classes (rep, comp, tokens) of different components, by the token-group matrix."""
+def _crossing(classes: DataFrame) -> DataFrame:
+    """Classes that may have a partner in another component: rep, comp, n, their tokens that cross, and ``own``.
+
+    ``own`` counts the tokens that no other component has. With a partner's, they are in the union but not in the
+    intersection, so 80 % need ``|cross| >= 4 * (own + own of the partner)``: a bound on the partner's ``own``, which is
+    checked for every token against the least ``own`` of other components that have it. A passage that makes up most of
+    many texts so costs nothing as long as the rest of these texts differs too much.
+    """
     spread = classes.select("rep", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     crossing = spread.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-    kept = spread.join(crossing, "token")
-    enough = kept.groupBy("rep", "comp", "n").agg(F.collect_list("token").alias("cross"))
-    active = cut(enough.where(F.size("cross") >= _needed("n")))
+    kept = spread.join(crossing, "token").groupBy("rep", "comp", "n").agg(F.collect_list("token").alias("cross"))
+    own = F.col("n") - F.size("cross")
+    factor = PERCENT // (100 - PERCENT)
+    enough = cut(kept.where(F.size("cross") >= _needed("n")).withColumn("own", own).withColumn("reach", F.floor(F.size("cross") / factor) - own))
+    tokens = enough.select("rep", "comp", "n", "own", "reach", F.explode("cross").alias("token"))
+    # The least ``own`` by token and slot of components; a slot with several components stands for all of them.
+    slots = tokens.groupBy("token", F.pmod(F.xxhash64("comp"), F.lit(16)).alias("slot")).agg(
+        F.min("own").alias("own"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    )
+    options = slots.groupBy("token").agg(F.collect_list(F.struct("own", "low", "high")).alias("options"))
+    partner = F.exists("options", lambda x: (x["own"] <= F.col("reach")) & ((x["low"] != F.col("comp")) | (x["high"] != F.col("comp"))))
+    usable = tokens.join(options, "token").where(partner).groupBy("rep", "comp", "n", "own", "reach").agg(F.collect_list("token").alias("cross"))
+    return cut(usable.where(F.size("cross") >= _needed("n")))
+
+
+def _opened(classes: DataFrame) -> DataFrame:
+    """All links between classes (rep, comp, tokens) of different components, by the token-group matrix."""
+    active = _crossing(classes)
     sizes = active.groupBy("comp").agg(F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / PART))
     grouped = active.join(sizes, "comp").withColumn("part", part)
-    matrix = cut(grouped.select("comp", "part", F.explode("cross").alias("token")).distinct())
+    least = grouped.groupBy("comp", "part").agg(F.min("own").alias("least"))
+    matrix = cut(grouped.select("comp", "part", F.explode("cross").alias("token")).distinct().join(least, ["comp", "part"]))
     rarity = matrix.groupBy("token").agg(F.count("*").alias("groups"))
-    query = active.select("rep", "comp", "n", F.explode("cross").alias("token")).join(rarity, "token")
-    ranked = query.groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("cross"))
+    query = active.select("rep", "comp", "n", "reach", F.explode("cross").alias("token")).join(rarity, "token")
+    ranked = query.groupBy("rep", "comp", "n", "reach").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("cross"))
     probes = ranked.select(
-        "rep", "comp", F.explode(F.slice("cross", F.lit(1), (F.size("cross") - _needed("n") + 1).cast("int"))).alias("probe")
-    ).select("rep", "comp", F.col("probe.token").alias("token"))
-    groups = matrix.select(F.col("comp").alias("other"), "part", "token")
-    met = probes.join(groups, "token").where("comp != other").select("rep", "other", "part").distinct()
+        "rep", "comp", "reach", F.explode(F.slice("cross", F.lit(1), (F.size("cross") - _needed("n") + 1).cast("int"))).alias("probe")
+    ).select("rep", "comp", "reach", F.col("probe.token").alias("token"))
+    groups = matrix.select(F.col("comp").alias("other"), "part", "least", F.col("token").alias("held"))
+    meets = (F.col("token") == F.col("held")) & (F.col("comp") != F.col("other")) & (F.col("least") <= F.col("reach"))
+    met = probes.join(groups, meets).select("rep", "other", "part").distinct()
     unions = matrix.groupBy(F.col("comp").alias("other"), "part").agg(F.collect_list("token").alias("held"))
     bound = met.join(active.select("rep", "n", "cross"), "rep").join(unions, ["other", "part"])
     open_ = bound.where(F.size(F.array_intersect("cross", "held")) >= _needed("n")).select("rep", "other", "part")
@@ -167,11 +190,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of ``docs``, with all its columns, for each component; rows without doc_id all stay."""
     found = near_duplicates(docs)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
+    kept = found.where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     if not repeated_ids(docs).isEmpty():
         named = named.dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return named.union(docs.where("doc_id IS NULL"))
 
 
 def repeated_ids(sets: DataFrame) -> DataFrame:

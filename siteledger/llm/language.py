@@ -19,6 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.llm.chunks import in_batches
 from siteledger.llm.hashing import mix
 
 ORDER = 4
@@ -320,7 +321,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, score, entropy, rejected = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(label, f"{_ddl(docs)}lang_pred string, score double, cross_entropy double, rejected boolean")
+    return in_batches(docs, label, ", lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
@@ -332,8 +333,4 @@ def recognised(docs: DataFrame, model: Model) -> DataFrame:
             rejected = shared.value.predict(batch.column("text").to_pylist())[3]
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(keep, docs.schema)
-
-
-def _ddl(df: DataFrame) -> str:
-    return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+    return in_batches(docs, keep)

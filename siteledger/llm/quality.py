@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteledger.llm.chunks import in_batches
+
 WIDTH, STRIDE, CHUNK = 8, 4, 512
 EMBED, FILTERS, HIDDEN = 8, 32, 16
 #: The network is fitted on at most so many labelled rows, and so many bytes of text; rows are picked by seeded hash.
@@ -192,12 +194,10 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    extra = ", score double, predicted int"
 
     def score(batches):
         for batch in batches:
             p = score_texts(shared.value, [(t or "").encode() for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, ddl + extra)
+    return in_batches(docs, score, ", score double, predicted int")

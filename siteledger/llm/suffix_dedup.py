@@ -195,16 +195,16 @@ def rewritten(docs: DataFrame) -> DataFrame:
     Whole characters are kept if any of their bytes is. Rows that lose nothing, also NULL and empty ones, stay as they
     are; all other columns pass through.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    packed = docs.select("doc_id", "text", F.struct("doc_id", *others).alias("carried"))
-    found = _removed(packed, ("carried",)).where("alive")
-    kept = F.col("kept").cast("string")
-    fields = {"text": kept, "doc_id": F.col("carried.doc_id")}
-    if "n_chars" in others:
-        length = F.length(kept).cast(docs.schema["n_chars"].dataType)
-        fields["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("carried.n_chars"))
-    columns = [fields[c] if c in fields else F.col("carried").getField(c) for c in docs.columns]
-    return found.select(*[x.alias(c) for x, c in zip(columns, docs.columns, strict=True)])
+    names = docs.columns
+    inner = [c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(names)]
+    plain = docs.toDF(*inner)
+    carried = plain.select("doc_id", "text", F.struct(*[c for c in inner if c != "text"]).alias("carried"))
+    found = _removed(carried, ("carried",)).where("alive").withColumn("text", F.col("kept").cast("string"))
+    columns = [F.col("text") if c == "text" else F.col(f"carried.{c}").alias(c) for c in inner]
+    if "n_chars" in inner:
+        length = F.length("text").cast(plain.schema["n_chars"].dataType)
+        columns[inner.index("n_chars")] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("carried.n_chars")).alias("n_chars")
+    return found.select(*columns).toDF(*names)
 
 
 def _whole_characters(text: bytes, removed: np.ndarray) -> bytes:
