@@ -94,15 +94,18 @@ def us_date(col: Column) -> Column:
 
 
 def fetch_since(
-    explicit: Column, watermark: Column, today: Column, requested_days: Column, max_lookback_days: int | None = 90
+    explicit: Column, watermark: Column, today: Column, requested_days: Column, max_lookback_days: int | None = None
 ) -> Column:
-    """Start of the fetch window: explicit, else watermark, else the look-back; floored at the maximum."""
-    given = F.coalesce(null_if_blank(explicit), null_if_blank(watermark))
-    if max_lookback_days is None:
-        return F.coalesce(given, F.date_sub(today, requested_days).cast("string"))
-    floor = F.date_sub(today, max_lookback_days).cast("string")
-    lookback = F.date_sub(today, F.least(requested_days, F.lit(max_lookback_days))).cast("string")
-    return F.coalesce(F.when(given.isNotNull(), F.greatest(given, floor)), lookback)
+    """Start of the fetch window: explicit, else watermark, else the look-back.
+
+    ``max_lookback_days`` limits the look-back and how old a watermark may be, never an explicit start.
+    """
+    mark = null_if_blank(watermark)
+    if max_lookback_days is not None:
+        floor = F.date_sub(today, max_lookback_days).cast("string")
+        mark = F.when(mark.isNotNull(), F.greatest(mark, floor))
+        requested_days = F.least(requested_days, F.lit(max_lookback_days))
+    return F.coalesce(null_if_blank(explicit), mark, F.date_sub(today, requested_days).cast("string"))
 
 
 def null_if_blank(col: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siteledger.functions.web import LINK_HINTS
 
-# Elements whose text nobody sees.
+# Elements whose text nobody sees; links in them count.
 HIDDEN = frozenset(("script", "style", "noscript", "template"))
 
 PAGE_STRUCT = "struct<text:string,hrefs:array<string>,links:array<string>>"
@@ -27,7 +27,7 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self._hidden += 1
-        elif tag == "a" and not self._hidden:
+        elif tag == "a":
             self.hrefs.extend(value or "" for name, value in attrs if name == "href")
 
     def handle_endtag(self, tag):
@@ -39,10 +39,10 @@ class _Page(HTMLParser):
             self.texts.append(data)
 
 
-def _links(hrefs: list[str], website: str, hints: tuple[str, ...], max_links: int) -> list[str]:
+def _links(hrefs: list[str], website: str, hints: tuple[str, ...], max_links: int | None) -> list[str]:
     """Distinct same-host links whose path or text hints at a contact page."""
     try:
-        host = urlsplit(website).netloc
+        host = urlsplit(website).netloc.lower()
     except ValueError:
         return []
     found: dict[str, None] = {}
@@ -57,15 +57,15 @@ def _links(hrefs: list[str], website: str, hints: tuple[str, ...], max_links: in
         path = target.path.rsplit("/", 1)
         path[-1] = path[-1].split(";", 1)[0]
         clean_path = "/".join(path)
-        if target.netloc != host or not any(hint in f"{clean_path} {href}".lower() for hint in hints):
+        if target.netloc.lower() != host or not any(hint in f"{clean_path} {href}".lower() for hint in hints):
             continue
-        found[f"{target.scheme}://{target.netloc}{clean_path.rstrip('/') or '/'}"] = None
-        if len(found) >= max_links:
+        found[f"{target.scheme}://{target.netloc.lower()}{clean_path.rstrip('/') or '/'}"] = None
+        if max_links is not None and len(found) >= max_links:
             break
     return list(found)
 
 
-def parse_page(html: str | None, url: str | None, hints: tuple[str, ...], max_links: int) -> dict:
+def parse_page(html: str | None, url: str | None, hints: tuple[str, ...], max_links: int | None = None) -> dict:
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -76,7 +76,7 @@ def parse_page(html: str | None, url: str | None, hints: tuple[str, ...], max_li
     }
 
 
-def page_parts(html: Column, url: Column, hints: tuple[str, ...] = LINK_HINTS, max_links: int = 4) -> Column:
+def page_parts(html: Column, url: Column, hints: tuple[str, ...] = LINK_HINTS, max_links: int | None = None) -> Column:
     """STRUCT(text, hrefs, links) of a page fetched from ``url``."""
 
     @F.pandas_udf(PAGE_STRUCT)

@@ -12,14 +12,6 @@ from siteledger.functions.rules import DEFAULT_RULES, Rule, classify
 from siteledger.schemas import OTHER
 
 
-def unclassified(projects: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows without a category, oldest first."""
-    rows = projects.where("category is null")
-    if limit:
-        return rows.orderBy("first_seen", "source", "source_record_id").limit(limit)
-    return rows
-
-
 def classify_projects(projects: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Fill category and confidence of rows still without one, in one projection."""
     staged = projects.withColumn("_c", F.when(F.col("category").isNull(), classify(F.col("description"), rules)))
@@ -41,25 +33,33 @@ def refine_other(
     """Second opinion for rows the rules left at OTHER.
 
     ``judge`` takes a batch of texts and returns a frame with category, confidence and reason
-    (NULL category keeps the rule result). It sees every distinct text once; a batch that fails
-    keeps the rule result too.
+    (NULL category keeps the rule result). It sees every distinct text, once unless a text of its
+    batch makes it fail: then the batch is tried in halves, so only failing texts keep the rule
+    result, whatever the batch size.
     """
+    columns = ["category", "confidence", "reason"]
+
+    def verdicts_of(texts: pd.Series) -> list[pd.DataFrame]:
+        try:
+            return [judge(texts)[columns].reset_index(drop=True)]
+        except Exception:
+            if len(texts) <= 1:
+                return [pd.DataFrame({c: [None] * len(texts) for c in columns})]
+            half = len(texts) // 2
+            return verdicts_of(texts.iloc[:half]) + verdicts_of(texts.iloc[half:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                verdict = judge(batch[text])[["category", "confidence", "reason"]].reset_index(drop=True)
-            except Exception:
-                verdict = pd.DataFrame({c: [None] * len(batch) for c in ("category", "confidence", "reason")})
+            found = verdicts_of(batch[text])
+            verdict = pd.DataFrame({c: [x for part in found for x in part[c]] for c in columns}, dtype=object)
+            verdict["confidence"] = verdict["confidence"].astype("float64")
             verdict.columns = ["_category", "_confidence", "_reason"]
             yield pd.concat([batch[["_key"]].reset_index(drop=True), verdict], axis=1)
 
     keyed = rows.withColumn("_key", F.when(F.col("category") == OTHER, F.sha2(F.col(text), 256)))
     distinct = keyed.where("_key is not null").groupBy("_key").agg(F.first(text).alias(text))
     verdicts = distinct.mapInPandas(run, "_key string, _category string, _confidence double, _reason string")
-    from siteledger.operators.joins import spread_join
-
-    joined = spread_join(keyed, verdicts, ["_key"], F.struct("source", "source_record_id"))
+    joined = keyed.join(verdicts, "_key", "left")
     took = F.col("_category").isNotNull()
     out = {
         "category": F.coalesce("_category", "category"),

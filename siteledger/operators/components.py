@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.operators.joins import largest, spread_join
 from siteledger.session import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    counted = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    least = counted.select("u", F.least("u", "m").alias("m"))
-    linked = spread_join(both, least, ["u"], F.col("v"), how="inner", hot=largest(counted, ["u"], "n"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    linked = both.join(least, "u")
     return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest of them."""
-    counted = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    least = counted.select("u", "m")
-    linked = spread_join(edges, least, ["u"], F.col("v"), how="inner", hot=largest(counted, ["u"], "n"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    linked = edges.join(least, "u")
     down = linked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siteledger.functions.contacts import Contact, rank_of
 from siteledger.functions.payload import once
-from siteledger.operators.joins import spread_join
 
 
 def contact_map(contacts: DataFrame) -> Column:
@@ -61,7 +60,7 @@ def attach_contacts(
 ) -> DataFrame:
     """Permits left-joined with their contact summary; permits without contacts keep NULLs."""
     summary = permit_contacts(contacts, contact_key, position).withColumnRenamed("_permit", permit_key)
-    return spread_join(permits, summary, [permit_key], F.struct(*permits.columns))
+    return permits.join(summary, permit_key, "left")
 
 
 def contact_pages(contacts: DataFrame, key: str, page_size: int = 1000) -> DataFrame:
@@ -76,7 +75,7 @@ def contact_pages(contacts: DataFrame, key: str, page_size: int = 1000) -> DataF
     )
     staged = staged.withColumn("_hash", F.xxhash64(F.to_json("contact"), F.monotonically_increasing_id()))
     sizes = staged.groupBy("permit").agg(F.count("*").alias("_n"))
-    sized = spread_join(staged, sizes, ["permit"], F.col("_hash"))
+    sized = staged.join(sizes, "permit", "left")
     pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / page_size))
     return (
         sized.withColumns({"pages": pages, "page": F.pmod(F.col("_hash"), pages)})

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from siteledger.functions.address import block_key, normalize_address
 from siteledger.functions.similarity import tile_links, token_set, token_set_similarity
 from siteledger.operators.components import connected_components
-from siteledger.operators.joins import dealt, largest, spread_join
+from siteledger.operators.joins import dealt
 from siteledger.session import cut
 
 ADDRESS_THRESHOLD = 92.0
@@ -110,9 +110,8 @@ def _hub_links(reps: DataFrame, title_threshold: float) -> DataFrame:
     )
     keyed = reps.select("node", "block", F.explode(F.transform(proving, lambda p: F.md5(F.concat_ws("\u0001", "address", p)))).alias("hub"))
     hubs = keyed.groupBy("block", "hub").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1")
-    return spread_join(keyed, hubs.select("block", "hub", "dst"), ["block", "hub"], F.col("node"), how="inner").where(
-        "node != dst"
-    ).select(F.col("node").alias("src"), "dst")
+    linked = keyed.join(hubs.select("block", "hub", "dst"), ["block", "hub"]).where("node != dst")
+    return linked.select(F.col("node").alias("src"), "dst")
 
 
 def _chunks(reps: DataFrame, tile_rows: int) -> DataFrame:
@@ -129,8 +128,7 @@ def _chunks(reps: DataFrame, tile_rows: int) -> DataFrame:
         .groupBy("block")
         .agg(F.ceil(F.sum("n") / tile_rows).cast("int").alias("shared_chunks"))
     )
-    placed = spread_join(reps, own, ["block", "label"], F.col("node"))
-    placed = spread_join(placed, rest, ["block"], F.col("node"))
+    placed = reps.join(own, ["block", "label"], "left").join(rest, "block", "left")
     owned = F.col("own_chunks").isNotNull()
     return placed.select(
         "node",
@@ -221,12 +219,11 @@ def duplicate_plan(
 
     The canonical record of a component has a company, else was seen first, else has the lowest id.
     """
-    prepared = prepare(records, block)
+    prepared = cut(prepare(records, block))
     reps = cut(_representatives(prepared))
     sizes = cut(reps.groupBy("block").agg(F.count("*").alias("n")))
-    crowd = largest(sizes, ["block"], "n")
     compared = reps.select("block", "node", "address", "title")
-    sized = spread_join(compared, sizes.where("n > 1"), ["block"], F.col("node"), how="inner", hot=crowd)
+    sized = compared.join(sizes.where("n > 1"), "block")
     usual = sized.where(F.col("n") <= tile_rows).drop("n")
     components = _block_components(usual, address_threshold, title_threshold)
     if not sizes.where(F.col("n") > tile_rows).isEmpty():
@@ -238,10 +235,9 @@ def duplicate_plan(
     )
     grouped = cut(grouped)
     canonical = grouped.groupBy("component").agg(F.min("best")["id"].alias("canonical_id"))
-    targets = spread_join(grouped.select("node", "component"), canonical, ["component"], F.col("node"), how="inner")
+    targets = grouped.select("node", "component").join(canonical, "component")
     members = prepared.select("id", "node")
-    hot = largest(reps, ["node"], "copies")
-    pairs = spread_join(members, targets.select("node", "canonical_id"), ["node"], F.col("id"), how="inner", hot=hot)
+    pairs = members.join(targets.select("node", "canonical_id"), "node")
     return pairs.where("id != canonical_id").select("id", "canonical_id")
 
 

@@ -11,7 +11,6 @@ from siteledger.functions import web as W
 from siteledger.functions.contacts import clean_phone, normalize_license
 from siteledger.functions.html import page_parts
 from siteledger.functions.text import company_key, join_parts, null_if_empty
-from siteledger.operators.joins import spread_join
 from siteledger.operators.leads import enrichment_targets
 from siteledger.operators.upsert import merge_companies
 from siteledger.schemas import RESULT, conform
@@ -41,7 +40,7 @@ def license_result(companies: DataFrame, master: DataFrame | None) -> DataFrame:
         status = F.when(F.col("license_key").isNull(), SKIPPED).otherwise(PENDING)
         detail = F.when(F.col("license_key").isNull(), "No numeric license number").otherwise("License file not found")
         return conform(keyed.select("company_key", F.lit("license").alias("provider"), status.alias("status"), detail.alias("detail")), RESULT)
-    joined = spread_join(keyed, master.withColumn("_hit", F.lit(True)), ["license_key"], F.col("company_key"))
+    joined = keyed.join(master.withColumn("_hit", F.lit(True)), "license_key", "left")
     key, hit = F.col("license_key"), F.col("_hit")
     phone = clean_phone(F.col("BusinessPhone"))
     business = F.coalesce(null_if_empty(F.col("FullBusinessName")), null_if_empty(F.col("BusinessName")), F.col("name"))
@@ -67,12 +66,26 @@ def license_result(companies: DataFrame, master: DataFrame | None) -> DataFrame:
     return conform(rows, RESULT)
 
 
-def parsed_pages(pages: DataFrame, hints: tuple[str, ...] = W.LINK_HINTS, max_links: int = 4) -> DataFrame:
-    """Crawled pages (url, html) -> page_url, text, email, phone, links; the HTML is parsed once."""
-    keyed = pages.select(W.normalize_website(F.col("url")).alias("page_url"), "url", "html").where("page_url is not null")
-    parts = keyed.select("page_url", page_parts(F.col("html"), F.col("url"), hints, max_links).alias("p"))
+def keyed_pages(pages: DataFrame) -> DataFrame:
+    """Crawled pages (url, html and, if known, fetched_at) under their normal address."""
+    fetched = F.col("fetched_at").cast("timestamp") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
+    keyed = pages.select(W.normalize_website(F.col("url")).alias("page_url"), fetched.alias("fetched_at"), "html")
+    return keyed.where("page_url is not null")
+
+
+def parsed_pages(pages: DataFrame, hints: tuple[str, ...] = W.LINK_HINTS, max_links: int | None = None) -> DataFrame:
+    """Crawled pages (url, html) -> page_url, fetched_at, text, email, phone, links; the HTML is parsed once.
+
+    Links are resolved against the normal address. ``max_links`` keeps only the first ones of a page.
+    """
+    return _parsed(keyed_pages(pages), hints, max_links)
+
+
+def _parsed(keyed: DataFrame, hints: tuple[str, ...] = W.LINK_HINTS, max_links: int | None = None) -> DataFrame:
+    parts = keyed.select("page_url", "fetched_at", page_parts(F.col("html"), F.col("page_url"), hints, max_links).alias("p"))
     return parts.select(
         "page_url",
+        "fetched_at",
         F.col("p.text").alias("text"),
         W.page_email(F.col("p.text"), F.col("p.hrefs")).alias("email"),
         W.page_phone(F.col("p.text"), F.col("p.hrefs")).alias("phone"),
@@ -81,9 +94,9 @@ def parsed_pages(pages: DataFrame, hints: tuple[str, ...] = W.LINK_HINTS, max_li
 
 
 def unique_pages(pages: DataFrame) -> DataFrame:
-    """A URL crawled more than once counts as one page: the one with the greatest text."""
+    """A URL crawled more than once counts as one page: the newest, of equally old ones that with the greatest text."""
     rest = [c for c in pages.columns if c != "page_url"]
-    best = F.max_by(F.struct(*rest), F.struct("text", "email", "phone")).alias("_p")
+    best = F.max_by(F.struct(*rest), F.struct("fetched_at", "text", "email", "phone")).alias("_p")
     return pages.groupBy("page_url").agg(best).select("page_url", "_p.*")
 
 
@@ -115,7 +128,7 @@ def known_site_result(companies: DataFrame, pages: DataFrame) -> DataFrame:
             F.count("*").alias("fetched"),
         )
     )
-    joined = spread_join(sites, first, ["site"], F.col("company_key"))
+    joined = sites.join(first, "site", "left")
     status = F.when(F.col("site").isNull(), SKIPPED).when(F.col("c").isNull(), NOT_FOUND).otherwise(UPDATED)
     detail = (
         F.when(F.col("site").isNull(), F.lit("No website"))
@@ -143,18 +156,35 @@ def discover_sites(companies: DataFrame, pages: DataFrame, max_candidates: int =
         F.posexplode(W.site_candidates(F.col("name"), max_candidates, min_token_len)).alias("rank", "page_url"),
     )
     texts = pages.select("page_url", "text")
-    matched = spread_join(guesses, texts, ["page_url"], F.col("company_key"), how="inner").where(
+    matched = guesses.join(texts, "page_url").where(
         W.page_matches(F.col("tokens"), F.col("text"), F.col("page_url"))
     )
     return matched.groupBy("company_key").agg(F.min_by("page_url", "rank").alias("site"))
 
 
-def web_result(companies: DataFrame, pages: DataFrame, max_candidates: int = 6, min_token_len: int = 4) -> DataFrame:
+def wanted_pages(companies: DataFrame, crawl: DataFrame, max_candidates: int = 6, min_token_len: int = 4) -> DataFrame:
+    """Parsed pages of a crawl (url, html) that ``companies`` can ask for; no other page is parsed or shuffled.
+
+    First the home pages and standard paths of known and guessed sites, then what the home pages link to.
+    """
+    keyed = keyed_pages(crawl)
+    known = companies.select(W.normalize_website(F.col("website")).alias("site")).where("site is not null")
+    guesses = companies.select(F.explode(W.site_candidates(F.col("name"), max_candidates, min_token_len)).alias("site"))
+    sites = known.unionByName(guesses.select(W.normalize_website(F.col("site")).alias("site"))).distinct()
+    tries = sites.select(F.explode(W.candidate_urls(F.col("site"))).alias("url"))
+    first = tries.select(W.normalize_website(F.col("url")).alias("page_url")).distinct()
+    home = cut(unique_pages(_parsed(keyed.join(first, "page_url", "left_semi"))))
+    links = home.select(F.explode("links").alias("url")).select(W.normalize_website(F.col("url")).alias("page_url")).distinct()
+    more = keyed.join(links.join(first, "page_url", "left_anti"), "page_url", "left_semi")
+    return cut(home.unionByName(unique_pages(_parsed(more))))
+
+
+def web_result(companies: DataFrame, crawl: DataFrame, max_candidates: int = 6, min_token_len: int = 4) -> DataFrame:
     """Known website first; a company without one is looked up under its guessed addresses.
 
-    ``pages`` comes from ``parsed_pages``; it is parsed once, written, and read by every step.
+    ``crawl`` holds fetched pages (url, html, fetched_at if known); only wanted ones are parsed, once.
     """
-    pages = cut(unique_pages(pages))
+    pages = wanted_pages(companies, crawl, max_candidates, min_token_len)
     known = companies.where(W.normalize_website(F.col("website")).isNotNull())
     unknown = companies.where(W.normalize_website(F.col("website")).isNull())
     found = discover_sites(unknown, pages, max_candidates, min_token_len)
@@ -205,9 +235,9 @@ def attempts(targets: DataFrame, results: list[DataFrame], now: Column) -> DataF
         both = part if both is None else both.unionByName(part)
     leads = targets.select("source", "source_record_id", "company_key")
     listed = both.groupBy("company_key").agg(F.collect_list(F.struct("provider", "status", "detail")).alias("_a"))
-    tried = spread_join(
-        leads.where("company_key is not null"), listed, ["company_key"], F.struct("source", "source_record_id"), how="inner"
-    ).select("source", "source_record_id", F.explode("_a").alias("a"))
+    tried = (
+        leads.where("company_key is not null").join(listed, "company_key").select("source", "source_record_id", F.explode("_a").alias("a"))
+    )
     skipped = leads.where("company_key is null").select(
         "source",
         "source_record_id",
@@ -222,7 +252,7 @@ def enrichment_stats(targets: DataFrame, merged: DataFrame) -> DataFrame:
     """Checked, updated, pending and skipped leads."""
     flags = merged.select("company_key", "updated")
     leads = targets.select("source", "source_record_id", "company_key")
-    joined = spread_join(leads, flags, ["company_key"], F.struct("source", "source_record_id"))
+    joined = leads.join(flags, "company_key", "left")
     skipped = F.col("company_key").isNull()
     updated = F.coalesce(F.col("updated"), F.lit(False))
     return joined.agg(
@@ -255,7 +285,7 @@ def pending_companies(leads: DataFrame, category: str | None = None) -> DataFram
         F.min_by("license_number", order).alias("license_number"),
         F.min_by("website", order).alias("website"),
         F.min_by("city", order).alias("city"),
-        F.min_by(F.left(F.coalesce("description", F.lit("")), F.lit(80)), order).alias("sample_project"),
+        F.min_by(F.coalesce("description", F.lit("")), order).alias("sample_project"),
     )
 
 

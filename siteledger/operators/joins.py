@@ -1,57 +1,8 @@
-"""Joins that hold when one key owns a large share of the rows."""
+"""Partitioning for work that is heavy per row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-# Only the HOT_KEYS largest keys can be hot: a proven bound for the broadcast below. Every key
-# after them owns at most 1/HOT_KEYS of the rows and needs no spreading.
-HOT_KEYS = 200
-HOT_ROWS = 100_000
-SPREAD = 64
-
-
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys with at least ``min_rows`` rows; at most ``HOT_KEYS`` rows come back."""
-    return largest(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n", min_rows)
-
-
-def largest(counts: DataFrame, keys: list[str], n: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The ``HOT_KEYS`` largest of already counted keys."""
-    return counts.where(F.col(n) >= min_rows).orderBy(F.desc(n), *keys).limit(HOT_KEYS).select(*keys)
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    spread_by: Column,
-    how: str = "left",
-    parts: int = SPREAD,
-    min_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join of many ``left`` rows to few ``right`` rows per key, hot keys spread over tasks.
-
-    Left rows of a hot key get a salt from ``spread_by`` (a hash of row values, so a retried
-    task salts alike); only the hot keys' right rows are repeated once per salt. ``hot`` may name
-    the hot keys when they are known already; it must come from ``largest``.
-    """
-    if how not in ("left", "inner"):
-        raise ValueError("only left and inner joins can be spread")
-    if hot is None:
-        hot = hot_keys(left, keys, min_rows)
-    flagged = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
-    # Rows without a key match nothing, so they may go anywhere: they are spread as well.
-    keyless = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
-    salted = left.join(flagged, keys, "left").withColumn(
-        "_salt", F.when(F.coalesce(F.col("_hot"), keyless), salt).otherwise(F.lit(0))
-    )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(flagged, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return salted.drop("_hot").join(repeated, [*keys, "_salt"], how).drop("_salt")
+from pyspark.sql import DataFrame
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from siteledger.functions import dates
 from siteledger.functions.payload import fill_template
 from siteledger.functions.text import cap_text, has_contact, null_if_empty
-from siteledger.operators.joins import spread_join
 from siteledger.schemas import CATEGORIES, OTHER
 
 LEAD_ORDER = ("source", "source_record_id")
@@ -19,7 +18,7 @@ def with_companies(projects: DataFrame, companies: DataFrame) -> DataFrame:
     side = companies.select(
         "company_key", F.col("name").alias("company_name"), "email", "phone", "website", "license_number"
     )
-    return spread_join(projects, side, ["company_key"], F.struct(*LEAD_ORDER))
+    return projects.join(side, "company_key", "left")
 
 
 def exportable(leads: DataFrame, category: str | None = None) -> DataFrame:
@@ -99,8 +98,8 @@ def failure_lines(spark, reason: str) -> DataFrame:
     return spark.createDataFrame([(0, FAILURE_LINE.format(reason=reason))], "line_no int, line string")
 
 
-def web_leads(leads: DataFrame, today: str, window_days: int = 7, cap: int = 300) -> DataFrame:
-    """Lead rows of the viewer document, with ``is_new`` and the ISO week."""
+def web_leads(leads: DataFrame, today: str, window_days: int = 7, cap: int | None = None) -> DataFrame:
+    """Lead rows of the viewer document, with ``is_new`` and the ISO week; ``cap`` shortens the shown description."""
     week = dates.iso_week(F.col("first_seen"))
 
     def text(name: str) -> Column:
@@ -113,7 +112,7 @@ def web_leads(leads: DataFrame, today: str, window_days: int = 7, cap: int = 300
         text("city").alias("city"),
         text("county").alias("county"),
         text("address").alias("address"),
-        cap_text(text("description"), cap).alias("desc"),
+        (cap_text(text("description"), cap) if cap else text("description")).alias("desc"),
         text("email").alias("email"),
         text("phone").alias("phone"),
         text("source").alias("source"),
@@ -202,8 +201,8 @@ def search(
 
 
 def page(rows: DataFrame, number: int, size: int = 50) -> DataFrame:
-    """One page of the new-first order."""
-    return new_first(rows).offset((max(1, number) - 1) * size).limit(size)
+    """One page of the new-first order; a number past either end gives the first or last page."""
+    return new_first(rows).offset((min(max(1, number), last_page(rows, size)) - 1) * size).limit(size)
 
 
 def last_page(rows: DataFrame, size: int = 50) -> int:

@@ -173,4 +173,5 @@ def companies_of(projects: DataFrame) -> DataFrame:
         F.col("company_phone").alias("phone"),
         "source",
         "source_record_id",
+        *(["fetched_at"] if "fetched_at" in projects.columns else []),
     ).where("company_key is not null")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.functions.dates import epoch_ms_day, parse_date
+
 # Column-name hints, permit terms and date columns in priority order.
 CONTRACTOR_WORDS = (
     "contractor", "contracting", "licensee", "license_no", "license_number", "license_num", "licensenumber",
@@ -14,6 +16,7 @@ OWNER_WORDS = (
     "owner", "owner_name", "applicant", "applicant_name", "applicant_first", "applicant_last", "project_name", "homeowner",
 )
 PERMIT_TERMS = ("building permit", "permit", "construction permit")
+DATE_COLUMNS = ("issued_date", "issue_date", "data_loaded_at", "received_date", "most_recent_issued_received_date", "application_date")
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -62,13 +65,17 @@ def is_relevant(city: Column, haystack: Column, terms: tuple[str, ...] = PERMIT_
     return (F.contains(text, place) | F.contains(bare, tight)) & _any(text, terms)
 
 
-def freshness(table: DataFrame, candidates: list[str], keys: list[str]) -> DataFrame:
-    """Newest value of the first candidate date column that has one, per key."""
+def freshness(table: DataFrame, keys: list[str], candidates: tuple[str, ...] = DATE_COLUMNS) -> DataFrame:
+    """Newest value of the first candidate date column that has a readable one, per key.
+
+    Values are compared as days, whatever their layout (ISO, US, epoch milliseconds), and given as they are.
+    """
     present = [c for c in candidates if c in table.columns]
-    newest = F.coalesce(*[F.max(F.col(c).cast("string")) for c in present]) if present else F.lit(None).cast("string")
-    return table.groupBy(*keys).agg(newest.alias("latest_date"))
 
+    def newest(name: str) -> Column:
+        text = F.col(name).cast("string")
+        day = parse_date(epoch_ms_day(text))
+        return F.max_by(F.when(day.isNotNull(), text), F.when(day.isNotNull(), F.struct(day, text)))
 
-def findings_report(findings: DataFrame) -> DataFrame:
-    """Findings in city order, for export."""
-    return findings.orderBy("city", "dataset")
+    found = F.coalesce(*[newest(c) for c in present]) if present else F.lit(None).cast("string")
+    return table.groupBy(*keys).agg(found.alias("latest_date"))

@@ -113,12 +113,22 @@ def upsert_projects(
 _COMPANY_FILL = ["license_number", "website", "email", "phone"]
 
 
-def consolidate_companies(rows: DataFrame, order: Column, fill: list[str] | None = None) -> DataFrame:
+def sighting_order(rows: DataFrame) -> Column:
+    """Order of company sightings: fetch time, then source, then record id (of numbers the larger one)."""
+    fetched = F.col("fetched_at") if "fetched_at" in rows.columns else F.lit(None).cast("timestamp")
+    return F.struct(
+        fetched.alias("fetched_at"), F.col("source").alias("source"), F.length("source_record_id").alias("digits"), F.col("source_record_id").alias("id")
+    )
+
+
+def consolidate_companies(
+    rows: DataFrame, order: Column | None = None, fill: list[str] | None = None, extra: tuple[Column, ...] = ()
+) -> DataFrame:
     """One row per company: latest name, and per field the latest value that is not NULL."""
     columns = fill or _COMPANY_FILL
-    staged = rows.withColumn("_ord", order)
+    staged = rows.withColumn("_ord", sighting_order(rows) if order is None else order)
     aggs = [F.expr(f"max_by({c}, _ord) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in columns]
-    return staged.groupBy("company_key").agg(F.max_by("name", "_ord").alias("name"), *aggs)
+    return staged.groupBy("company_key").agg(F.max_by("name", "_ord").alias("name"), *aggs, *extra)
 
 
 def upsert_companies(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
@@ -126,7 +136,7 @@ def upsert_companies(current: DataFrame, incoming: DataFrame, now: Column) -> Da
     info = ["address", "license_status", "license_classification"]
     old = S.conform(current, S.COMPANY).select(
         "company_key", "name", *_COMPANY_FILL, *info, "first_seen", "updated_at",
-        F.struct(F.lit(0).alias("gen"), F.lit("").alias("source"), F.lit("").alias("id")).alias("_o"),
+        F.lit(None).cast("struct<fetched_at:timestamp,source:string,digits:int,id:string>").alias("_o"),
     )
     new = incoming.select(
         "company_key",
@@ -135,17 +145,12 @@ def upsert_companies(current: DataFrame, incoming: DataFrame, now: Column) -> Da
         *[F.lit(None).cast("string").alias(c) for c in info],
         F.lit(None).cast("timestamp").alias("first_seen"),
         now.alias("updated_at"),
-        F.struct(F.lit(1).alias("gen"), F.col("source"), F.col("source_record_id").alias("id")).alias("_o"),
-    )
-    both = old.unionByName(new)
-    fill = [*_COMPANY_FILL, *info]
-    aggs = [F.expr(f"max_by({c}, _o) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in fill]
-    merged = both.groupBy("company_key").agg(
-        F.max_by("name", "_o").alias("name"),
-        *aggs,
-        F.coalesce(F.min("first_seen"), F.max("updated_at")).alias("first_seen"),
-        F.max("updated_at").alias("updated_at"),
+        sighting_order(incoming).alias("_o"),
     )
+    times = (F.coalesce(F.min("first_seen"), F.max("updated_at")).alias("first_seen"), F.max("updated_at").alias("updated_at"))
+    # Known rows come before every sighting.
+    order = F.struct(F.col("_o").isNotNull(), F.col("_o"))
+    merged = consolidate_companies(old.unionByName(new), order, [*_COMPANY_FILL, *info], times)
     return S.conform(merged, S.COMPANY)
 
 

@@ -88,7 +88,7 @@ def _firms(spark, sf_dir) -> DataFrame:
 
 def web_enrichment(spark, sf_dir):
     """Known sites, else guessed ones: first page with a contact, in order home, linked, standard."""
-    result = E.web_result(_firms(spark, sf_dir), E.parsed_pages(_crawl(spark, sf_dir)))
+    result = E.web_result(_firms(spark, sf_dir), _crawl(spark, sf_dir))
     return result.select("company_key", "status", "email", "phone", "website", "detail")
 
 
@@ -105,8 +105,8 @@ ORACLES["web_enrichment"] = f"WITH {_WEB} SELECT * FROM web"
 
 def site_discovery(spark, sf_dir):
     """First guessed home page whose text speaks of the company."""
-    pages = E.unique_pages(E.parsed_pages(_crawl(spark, sf_dir)))
-    return E.discover_sites(_firms(spark, sf_dir), pages)
+    firms = _firms(spark, sf_dir)
+    return E.discover_sites(firms, E.wanted_pages(firms, _crawl(spark, sf_dir)))
 
 
 QUERIES["site_discovery"] = site_discovery
@@ -117,7 +117,7 @@ def _merged(spark, sf_dir):
     firms = companies(spark, sf_dir)
     wanted = firms.select(normalize_license(F.col("license_number")).alias("license_key"))
     licence = E.license_result(firms, files.license_master(_master(spark, sf_dir), wanted))
-    web = E.web_result(_firms(spark, sf_dir), E.parsed_pages(_crawl(spark, sf_dir)))
+    web = E.web_result(_firms(spark, sf_dir), _crawl(spark, sf_dir))
     licence, web = cut(licence), cut(web)
     return licence, web, E.merge_results([licence, web])
 
@@ -197,32 +197,36 @@ ORACLES["page_contacts"] = f"""WITH t AS (SELECT page_id, {_TEXT} AS t FROM page
 
 
 def contact_links(spark, sf_dir):
-    """Up to four distinct same-site links per page whose path hints at a contact page."""
+    """All distinct same-site links per page whose path hints at a contact page."""
     from siteledger.functions.html import page_parts
 
-    parts = _pages(spark, sf_dir).select("page_id", page_parts(F.col("html"), F.col("url"), HINTS, 4).alias("p"))
+    parts = _pages(spark, sf_dir).select("page_id", page_parts(F.col("html"), F.col("url"), HINTS).alias("p"))
     return parts.select("page_id", F.posexplode("p.links").alias("position", "link")).select(
         "page_id", (F.col("position") + 1).cast("bigint").alias("position"), "link"
     )
 
 
 QUERIES["contact_links"] = contact_links
-ORACLES["contact_links"] = f"{_LINK_SQL} SELECT page_id, k AS position, link FROM r WHERE k <= 4"
+ORACLES["contact_links"] = f"{_LINK_SQL} SELECT page_id, k AS position, link FROM r"
 
 
 def page_probe(spark, sf_dir):
     """Does each page speak of a company named like its host and its first path step?"""
     pages = _pages(spark, sf_dir)
     pairs = pages.selectExpr("url", "concat('The ', split_part(split_part(url, '/', 3), '.', 1), ' on ', split_part(url, '/', 4), ' the then') AS company_name")
-    return E.probe_pages(pairs.distinct(), E.unique_pages(E.parsed_pages(pages))).select("url", "company_name", "matches_company")
+    return E.probe_pages(pairs.distinct(), E.unique_pages(E.parsed_pages(pages))).select("url", "company_name", "email", "phone", "matches_company")
 
 
 QUERIES["page_probe"] = page_probe
-ORACLES["page_probe"] = f"""WITH p AS (SELECT rtrim(regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', ''), '/') AS url, lower({_TEXT}) AS t,
+ORACLES["page_probe"] = f"""WITH p AS (SELECT rtrim(regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', ''), '/') AS url, lower({_TEXT}) AS t, {_TEXT} AS raw,
+      regexp_replace(coalesce(nullif(regexp_extract({_TEXT}, '(?:\\+?1[-.\\s]?)?\\(?\\d{{3}}\\)?[-.\\s]\\d{{3}}[-.\\s]\\d{{4}}'), ''),
+        nullif(regexp_extract({_TEXT}, '\\b1?\\d{{10}}\\b'), '')), '\\D', '', 'g') AS d,
       concat('The ', split_part(split_part(url, '/', 3), '.', 1), ' on ', split_part(url, '/', 4), ' the then') AS company_name FROM pages),
     k AS (SELECT *, list_filter(regexp_extract_all(lower(company_name), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN
       ('co', 'company', 'corp', 'corporation', 'inc', 'incorporated', 'llc', 'lp', 'ltd', 'the')) AS tokens FROM p)
-    SELECT url, company_name, len(list_filter(tokens, lambda w: length(w) > 2 AND contains(t, w))) >= 2 AS matches_company FROM k"""
+    SELECT url, company_name, nullif(trim(regexp_extract(raw, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'), '.,;:)'), '') AS email,
+      '(' || left(right(d, 10), 3) || ') ' || left(right(d, 7), 3) || '-' || right(d, 4) AS phone,
+      len(list_filter(tokens, lambda w: length(w) > 2 AND contains(t, w))) >= 2 AS matches_company FROM k"""
 
 
 def site_candidates(spark, sf_dir):
@@ -264,14 +268,17 @@ def pending_companies(spark, sf_dir):
 QUERIES["pending_companies"] = pending_companies
 ORACLES["pending_companies"] = f"""WITH {lead_cte()}, {_TARGETS}, o AS (SELECT *, row_number() OVER (PARTITION BY company_key
       ORDER BY first_seen NULLS FIRST, source, source_record_id) AS rn FROM t WHERE company_key IS NOT NULL)
-    SELECT company_key, company_name, license_number, website, city, left(description, 80) AS sample_project FROM o WHERE rn = 1"""
+    SELECT company_key, company_name, license_number, website, city, description AS sample_project FROM o WHERE rn = 1"""
 
 
 def pending_shards(spark, sf_dir):
-    """The pending companies dealt to eight workers: every company in exactly one slice."""
-    pending = E.pending_companies(leads(spark, sf_dir))
-    dealt = pending.select("company_key", E.shard_of(F.col("company_key"), 8).alias("worker"))
-    return dealt.groupBy("company_key").agg(F.count_distinct("worker").alias("slices"))
+    """The slices of eight workers together: every pending company, each in one slice."""
+    pending = E.pending_companies(leads(spark, sf_dir)).select("company_key")
+    slices = [E.shard(pending, i, 8).withColumn("worker", F.lit(i)) for i in range(8)]
+    together = slices[0]
+    for part in slices[1:]:
+        together = together.unionByName(part)
+    return together.groupBy("company_key").agg(F.count("*").alias("slices"))
 
 
 QUERIES["pending_shards"] = pending_shards

@@ -57,7 +57,7 @@ def run_tail(
     """Classify, mark duplicates, enrich the contactless companies.
 
     Returns the new state, the lead view and the attempt log. ``master`` is the keyed licence
-    file, ``pages`` come from ``parsed_pages``.
+    file, ``pages`` are crawled pages (url, html).
     """
     projects = CL.classify_projects(state.projects, rules)
     records = projects.select(

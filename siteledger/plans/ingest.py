@@ -286,7 +286,7 @@ def permit_csv(spark, sf_dir):
     )
     rows.write.option("header", True).option("escape", '"').csv(path)
     landed = files.read_csv(spark, path, multi_line=False)
-    read = files.permit_rows(landed, C.csv_source_name("Mountain View"), C.CSV_FIELD_MAP)
+    read = files.permit_rows(landed, C.csv_source({}, "Mountain View")[0], C.CSV_FIELD_MAP)
     address = flat_fields(F.col("payload"), ["address"])["address"]
     return read.groupBy("source_record_id").agg(
         F.count("*").alias("rows_read"), F.count_if("skipped").alias("skipped"), F.max(address).alias("last_address")
@@ -348,7 +348,7 @@ ORACLES["source_watermarks"] = _MARKS
 
 
 def fetch_window(spark, sf_dir):
-    """Start of the next fetch per source: given, else the mark, else the look-back; floored."""
+    """Start of the next fetch per source: given, else the mark, else the look-back; a start of a year ago stays."""
     marks = records.high_water(
         table(spark, sf_dir, "events").selectExpr("event_type AS source", "CAST(CAST(ts AS DATE) AS STRING) AS seen"), F.col("seen")
     )
@@ -360,7 +360,7 @@ def fetch_window(spark, sf_dir):
 
 QUERIES["fetch_window"] = fetch_window
 ORACLES["fetch_window"] = """WITH m AS (SELECT event_type AS source, max(CAST(CAST(ts AS DATE) AS VARCHAR)) AS w FROM events GROUP BY 1)
-    SELECT source, CASE WHEN source = 'click' THEN CAST(DATE '2024-02-15' - 90 AS VARCHAR)
+    SELECT source, CASE WHEN source = 'click' THEN '2023-01-01'
     WHEN source = 'view' THEN CAST(DATE '2024-02-15' - 30 AS VARCHAR) ELSE w END AS since FROM m"""
 
 

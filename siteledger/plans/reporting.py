@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteledger.operators import leads as L
@@ -101,7 +102,7 @@ ORACLES["latest_week_facets"] = _with(
     web=True,
 )
 
-_SEARCH = dict(category="COMMERCIAL_TI", contact=True, query="order for BUILDING")
+_SEARCH = dict(category="COMMERCIAL_TI", contact=True, query="BY customer#0000")
 
 
 def lead_search_page(spark, sf_dir):
@@ -114,7 +115,7 @@ QUERIES["lead_search_page"] = lead_search_page
 ORACLES["lead_search_page"] = _with(
     f"""SELECT source_record_id, company, category, city, date, first_seen, is_new, week FROM web
     WHERE category = 'COMMERCIAL_TI' AND {_CONTACT}
-      AND contains(lower(concat_ws(' ', company, address, "desc", email)), 'order for building')
+      AND contains(lower(concat_ws(' ', company, address, "desc", email)), 'by customer#0000')
     ORDER BY is_new DESC, date DESC, first_seen DESC, category, source DESC, source_record_id DESC LIMIT 50 OFFSET 50""",
     web=True,
 )
@@ -126,11 +127,23 @@ ORACLES["lead_search"] = _with(
     f"SELECT source_record_id, category, city FROM web WHERE city = 'NATION_3' AND NOT {_CONTACT}", web=True
 )
 
-QUERIES["exportable_leads"] = lambda spark, sf: L.lead_order(L.exportable(leads(spark, sf))).select(
-    "source", "source_record_id", "category", "project_date"
-)
+def exportable_leads(spark, sf_dir):
+    """Exportable leads, whether each follows its predecessor in the written order."""
+    from siteledger.session import scratch_path
+
+    path = scratch_path(spark, "ordered-leads")
+    ordered = L.lead_order(L.exportable(leads(spark, sf_dir))).select("source", "source_record_id", "category", "project_date")
+    ordered.withColumn("position", F.monotonically_increasing_id()).write.parquet(path)
+    back = spark.read.parquet(path)
+    # The written position is turned into a place within the category, as ids leave gaps between partitions.
+    place = F.row_number().over(Window.partitionBy("category").orderBy("position"))
+    return back.withColumn("place", place).drop("position")
+
+
+QUERIES["exportable_leads"] = exportable_leads
 ORACLES["exportable_leads"] = _with(
-    "SELECT source, source_record_id, category, project_date FROM leads WHERE duplicate_of IS NULL"
+    """SELECT source, source_record_id, category, project_date, row_number() OVER (PARTITION BY category
+    ORDER BY project_date DESC NULLS LAST, first_seen DESC NULLS LAST, source DESC, source_record_id DESC) AS place FROM leads WHERE duplicate_of IS NULL"""
 )
 
 QUERIES["enrichment_targets"] = lambda spark, sf: L.enrichment_targets(leads(spark, sf)).select(
@@ -196,18 +209,18 @@ ORACLES["column_buckets"] = """WITH c AS (SELECT p_brand AS dataset, p_name AS c
 
 
 def dataset_freshness(spark, sf_dir):
-    """Newest date per order status, preferring the first candidate column that exists."""
+    """Newest date per order status of the first known date column with one; US layout without padding, and epoch numbers."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_linestatus", "CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS issued_date",
-        "CAST(CAST(l_shipdate AS DATE) + 1 AS STRING) AS received_date",
+        "l_linestatus", "CASE WHEN l_linestatus = 'O' THEN 'soon' WHEN l_returnflag = 'R' THEN NULL ELSE date_format(l_shipdate, 'M/d/yyyy') END AS issue_date",
+        "CAST(datediff(CAST(l_shipdate AS DATE), DATE '1970-01-01') * 86400000L AS STRING) AS received_date",
     )
-    return P.freshness(rows, ["missing_date", "issued_date", "received_date"], ["l_linestatus"])
+    return P.freshness(rows, ["l_linestatus"])
 
 
 QUERIES["dataset_freshness"] = dataset_freshness
-ORACLES["dataset_freshness"] = """SELECT l_linestatus, coalesce(
-    max(CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END),
-    max(CAST(CAST(l_shipdate AS DATE) + 1 AS VARCHAR))) AS latest_date FROM lineitem GROUP BY 1"""
+ORACLES["dataset_freshness"] = """WITH m AS (SELECT l_linestatus, max(CAST(l_shipdate AS DATE)) FILTER (l_returnflag <> 'R') AS d, max(CAST(l_shipdate AS DATE)) AS e FROM lineitem GROUP BY 1)
+    SELECT l_linestatus, CASE WHEN l_linestatus = 'O' THEN CAST(CAST(datediff('day', DATE '1970-01-01', e) AS BIGINT) * 86400000 AS VARCHAR)
+    ELSE concat(month(d), '/', day(d), '/', year(d)) END AS latest_date FROM m"""
 
 
 def dataset_relevance(spark, sf_dir):

@@ -134,12 +134,12 @@ def _company_rows(spark, sf_dir):
         "CASE WHEN event_type = 'view' THEN concat('https://u', CAST(event_id AS STRING), '.com') END AS website",
         "CASE WHEN value > 50 THEN concat('e', CAST(event_id AS STRING), '@x.com') END AS email",
         "CASE WHEN event_type = 'error' THEN concat('(415) 555-', right(CAST(event_id + 10000 AS STRING), 4)) END AS phone",
-        "'events' AS source", "lpad(CAST(event_id AS STRING), 12, '0') AS source_record_id",
+        "'events' AS source", "CAST(event_id AS STRING) AS source_record_id",
     )
 
 
 def company_consolidation(spark, sf_dir):
-    return U.consolidate_companies(_company_rows(spark, sf_dir), F.col("source_record_id"))
+    return U.consolidate_companies(_company_rows(spark, sf_dir))
 
 
 QUERIES["company_consolidation"] = company_consolidation
@@ -295,6 +295,8 @@ ORACLES["classify_write_back"] = f"""SELECT CAST(o_orderkey AS VARCHAR) AS sourc
 
 
 def _judge(texts: pd.Series) -> pd.DataFrame:
+    if texts.str.contains("hot").any():
+        raise ValueError("no answer for this batch")
     found = texts.str.contains("bolt")
     return pd.DataFrame(
         {
@@ -306,7 +308,7 @@ def _judge(texts: pd.Series) -> pd.DataFrame:
 
 
 def refine_other(spark, sf_dir):
-    """A caller's batch function gives a second opinion on the distinct texts left at OTHER."""
+    """A second opinion on the distinct texts left at OTHER; the judge fails on whole batches for single texts."""
     parts = table(spark, sf_dir, "part").select(
         F.lit("part").alias("source"), F.col("p_partkey").cast("string").alias("source_record_id"), F.col("p_name").alias("description"),
         classify(F.col("p_name"), RULES).alias("r"),
@@ -318,6 +320,6 @@ def refine_other(spark, sf_dir):
 QUERIES["refine_other"] = refine_other
 ORACLES["refine_other"] = f"""WITH c AS ({ORACLES['classify_rules'].replace('SELECT p_partkey,', 'SELECT p_partkey, p_name,', 1)})
     SELECT CAST(p_partkey AS VARCHAR) AS source_record_id,
-    CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') THEN 'GC_SUBCONTRACT' ELSE category END AS category,
-    CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') THEN 0.7 ELSE confidence END AS confidence,
-    CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') THEN 'judge' ELSE reason END AS reason FROM c"""
+    CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') AND NOT contains(p_name, 'hot') THEN 'GC_SUBCONTRACT' ELSE category END AS category,
+    CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') AND NOT contains(p_name, 'hot') THEN 0.7 ELSE confidence END AS confidence,
+    CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') AND NOT contains(p_name, 'hot') THEN 'judge' ELSE reason END AS reason FROM c"""

@@ -52,7 +52,7 @@ LEAD = {
     "city": "CASE WHEN c_acctbal < 0 THEN '' ELSE n_name END",
     "county": "r_name",
     "address": "concat(CAST(c_custkey AS STRING), ' ', n_name, ' Street')",
-    "description": "concat(o_orderpriority, ' order for ', lower(c_mktsegment), ' by ', c_name)",
+    "description": "concat(o_orderpriority, ' order for ', lower(c_mktsegment), CASE WHEN o_orderstatus = 'F' THEN repeat(' with more scope', 25) ELSE '' END, ' by ', c_name)",
     "project_date": f"CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST({_DAY} AS STRING) END",
     "bid_deadline": f"CASE WHEN o_orderpriority = '1-URGENT' THEN CAST({_DAY} + 30 AS STRING) END",
     "first_seen": f"CASE WHEN o_totalprice < 3000 THEN NULL ELSE concat(CAST({_DAY} AS STRING), 'T08:30:00') END",

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from siteledger.functions.similarity import token_set_score
 from siteledger.operators import dedupe as D
 from siteledger.operators.components import connected_components
-from siteledger.operators.joins import spread_join
 
 SCHEMA = "id bigint, description string, address string, has_company boolean, first_seen string"
 
@@ -134,12 +133,3 @@ def test_components(spark):
             root[a] = root[b] = low
     linked = {n for a, b in edges if a != b for n in (a, b)}
     assert got == {n: r for n, r in root.items() if n in linked}
-
-
-def test_spread_join_equals_join(spark):
-    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "i int, k string")
-    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("zz", 3)], "k string, v int")
-    for how in ("left", "inner"):
-        want = sorted(map(str, left.join(right, "k", how).select("i", "k", "v").collect()))
-        got = spread_join(left, right, ["k"], F.col("i"), how=how, min_rows=10)
-        assert sorted(map(str, got.select("i", "k", "v").collect())) == want

@@ -46,9 +46,9 @@ def test_fetch_window(spark):
     df = spark.createDataFrame(rows, "e string, w string")
     today = F.lit("2026-06-18").cast("date")
     since = dates.fetch_since(F.col("e"), F.col("w"), today, F.lit(30))
-    assert [r[0] for r in df.select(since).collect()] == ["2026-03-20", "2026-05-01", "2026-05-19", "2026-03-20"]
-    free = dates.fetch_since(F.col("e"), F.col("w"), today, F.lit(30), None)
-    assert [r[0] for r in df.select(free).collect()][0] == "2026-01-01"
+    assert [r[0] for r in df.select(since).collect()] == ["2026-01-01", "2026-05-01", "2026-05-19", "2020-01-01"]
+    limited = dates.fetch_since(F.col("e"), F.col("w"), today, F.lit(300), 90)
+    assert [r[0] for r in df.select(limited).collect()] == ["2026-01-01", "2026-05-01", "2026-03-20", "2026-03-20"]
 
 
 def test_contacts(values):

@@ -110,12 +110,12 @@ def test_permit_csv(spark, tmp_path):
         "﻿PermitID,Scope,SiteAddress,IssueDate,Contractor\nP1, Reroof ,\"1 Main, #2\",5/1/2026,Acme\nP1,Again,x,5/2/2026,B\n,No number,y,,\n",
         encoding="utf-8",
     )
-    portals = C.portals_from({"portals": [{"jurisdiction": "Mountain View", "county": "Santa Clara", "field_map": {
+    document = {"portals": [{"jurisdiction": "Mountain View", "county": "Santa Clara", "field_map": {
         "record_id": "PermitID", "permit_number": "PermitID", "description": ["Scope"], "address": ["SiteAddress"], "project_date": ["IssueDate"],
-        "company_name": "Contractor"}}]})
-    portal = C.portal_for(portals, "mountain-view")
-    cfg = C.csv_source_config(portal)
-    assert C.csv_source_name(portal.jurisdiction) == "cpra-mountain-view" and C.portal_for(portals, "x") is None
+        "company_name": "Contractor"}}]}
+    name, cfg = C.csv_source(document, "mountain-view")
+    assert (name, cfg.jurisdiction, cfg.county) == ("cpra-mountain-view", "Mountain View", "Santa Clara")
+    assert C.csv_source(document, "Other")[1].field_map == C.CSV_FIELD_MAP
     rows = files.permit_rows(files.read_csv(spark, str(path)), "cpra-mountain-view", cfg.field_map).cache()
     assert one(files.import_stats(rows)) == {"rows_read": 3, "upserted": 2, "skipped": 1}
     kept = {r["permit_number"]: r for r in normalize(rows.where("not skipped"), cfg).collect()}
