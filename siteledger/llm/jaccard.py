@@ -6,7 +6,7 @@ Tokens are the 64-bit fingerprints of word shingles. Two sets link when ``100 *
 1. Every chunk asks which of its tokens stand in another document. A document with less than 80 % such tokens has no
    partner, which settles all but copies. Equal sets become one class.
 2. *Similar sets are put in groups*: four independent min-hashes bring most partners together, each class is compared
-   with the smallest class of its groups (a star, never all pairs), and linked classes form components. A token that
+   with the most central class of its groups (a star, never all pairs), and linked classes form components. A token that
    stands in one component only can't lead to a new link; classes with too few other tokens are done.
 3. *Token-group matrix* over what is open: components, cut into parts of at most ``PART`` classes, are the groups, and
    each group's token union is stored. A query meets a group by its rarest tokens (so many that a partner must share
@@ -92,11 +92,22 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(_alike("a", "b")).select("src", "dst")
 
 
+def _commonness(classes: DataFrame) -> DataFrame:
+    """(rep, common): how widespread the tokens of a class are on average, in thousandths of powers of two."""
+    tokens = classes.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    spread = tokens.groupBy("token").agg(F.floor(F.log2(F.count("*"))).alias("power"))
+    return tokens.join(spread, "token").groupBy("rep", "n").agg(F.sum("power").alias("power")).select("rep", F.floor(1000 * F.col("power") / F.col("n")).alias("common"))
+
+
 def _stars(classes: DataFrame) -> DataFrame:
-    """Links between each class and the smallest class of the groups it is in."""
-    keys = classes.select("rep", F.posexplode("hashes").alias("k", "hash"))
-    least = keys.groupBy("k", "hash").agg(F.min("rep").alias("dst"))
-    pairs = keys.join(least, ["k", "hash"]).where("rep != dst").select(F.col("rep").alias("src"), "dst").distinct()
+    """Links between each class and the centre of the groups it is in.
+
+    The centre is the class with the most widespread tokens: copies with edits of their own are often too far from one
+    another, but not from the text they were made of, which has no tokens of its own.
+    """
+    keys = classes.join(_commonness(classes), "rep").select("rep", "common", F.posexplode("hashes").alias("k", "hash"))
+    centre = keys.groupBy("k", "hash").agg(F.max_by("rep", F.struct("common", F.bitwise_not("rep"))).alias("dst"))
+    pairs = keys.join(centre, ["k", "hash"]).where("rep != dst").select(F.col("rep").alias("src"), "dst").distinct()
     return _verified(pairs, classes)
 
 
