@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,8 +183,7 @@ FEATURE_CONFIG = C.SourceConfig(
 )
 
 
-def feature_layer_permits(spark, sf_dir):
-    """Events as layer features; the issue date is an epoch number, or text for some types."""
+def _feature_responses(spark, sf_dir):
     attributes = """named_struct('OBJECTID', event_id, 'EventType', event_type, 'UserId', user_id,
         'IssuedDate', timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts), 'Props', props)"""
     texts = """named_struct('OBJECTID', event_id, 'EventType', event_type, 'UserId', user_id,
@@ -190,8 +191,12 @@ def feature_layer_permits(spark, sf_dir):
     events = wide_table(spark, sf_dir, "events")
     as_number = F.to_json(F.expr(f"named_struct('features', array(named_struct('attributes', {attributes})))"))
     as_text = F.to_json(F.expr(f"named_struct('features', array(named_struct('attributes', {texts})))"))
-    responses = events.select(F.when(F.col("event_type") == "view", as_text).otherwise(as_number).alias("response"))
-    raw = records.read_source("events", FEATURE_CONFIG, responses)
+    return events.select(F.when(F.col("event_type") == "view", as_text).otherwise(as_number).alias("response"))
+
+
+def feature_layer_permits(spark, sf_dir):
+    """Events as layer features; the issue date is an epoch number, or text for some types."""
+    raw = records.read_source("events", FEATURE_CONFIG, _feature_responses(spark, sf_dir))
     return normalize(raw, FEATURE_CONFIG).select("source_record_id", "description", "project_date", "address", "city")
 
 
@@ -199,6 +204,46 @@ QUERIES["feature_layer_permits"] = feature_layer_permits
 ORACLES["feature_layer_permits"] = """SELECT CAST(event_id AS VARCHAR) AS source_record_id, event_type AS description,
     CAST(CAST(ts AS DATE) AS VARCHAR) AS project_date, CAST(user_id AS VARCHAR) AS address, 'Lake City' AS city FROM events"""
 
+
+
+def feature_since(spark, sf_dir):
+    """Features from a day on, the day included."""
+    cfg = replace(FEATURE_CONFIG, date_field="IssuedDate")
+    return records.read_source("events", cfg, _feature_responses(spark, sf_dir), since="2024-01-15").select("source_record_id")
+
+
+QUERIES["feature_since"] = feature_since
+ORACLES["feature_since"] = "SELECT CAST(event_id AS VARCHAR) AS source_record_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-15'"
+
+
+def notice_window(spark, sf_dir):
+    """Notices of any place posted from a day on."""
+    cfg = replace(NOTICE_CONFIG, region=None)
+    return records.read_source("notices", cfg, notice_responses(spark, sf_dir), since="1997-06-01").select("source_record_id", "source_url")
+
+
+QUERIES["notice_window"] = notice_window
+ORACLES["notice_window"] = f"""SELECT {_KEY} AS source_record_id,
+    CASE WHEN o_orderstatus = 'F' THEN 'https://ui.example.gov/' ELSE 'https://notices.example.gov/' END || {_KEY} AS source_url
+    FROM {ORDERS_SQL} WHERE {_NAICS} IN ('236220', '237310') AND {_DAY} >= DATE '1997-06-01'"""
+
+
+def permit_array_since(spark, sf_dir):
+    """Array responses after a moment, the moment excluded; some permits have no id of their own."""
+    cfg = C.SourceConfig(
+        type=C.PERMIT_ARRAY, name="orders", jurisdiction="Springfield", date_field="loaded", source_url_template="https://permits.example.gov/{num}",
+        field_map=C.FieldMap(record_id="rid", permit_number="num"),
+    )
+    item = f"""array(named_struct('rid', CASE WHEN o_orderstatus = 'P' THEN '' ELSE {_KEY} END, 'num', concat('P-', {_KEY}),
+        'loaded', CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE concat(CAST({_DAY} AS STRING), 'T00:00:00.000') END))"""
+    responses = wide_table(spark, sf_dir, "orders").select(F.to_json(F.expr(item)).alias("response"))
+    return records.read_source("orders", cfg, responses, since="1997-06-01").select("source_record_id", "source_url")
+
+
+QUERIES["permit_array_since"] = permit_array_since
+ORACLES["permit_array_since"] = f"""SELECT CASE WHEN o_orderstatus = 'P' THEN concat('P-', {_KEY}) ELSE {_KEY} END AS source_record_id,
+    concat('https://permits.example.gov/P-', {_KEY}) AS source_url FROM orders WHERE o_orderpriority <> '5-LOW' AND {_DAY} > DATE '1997-06-01'"""
+
 _CONTACT = {
     "permit_number": "CAST(l_orderkey AS STRING)",
     "role": "CASE WHEN l_returnflag = 'R' THEN 'Owner' WHEN l_linestatus = 'O' THEN 'Subcontractor' ELSE 'Architect' END",

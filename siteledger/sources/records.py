@@ -74,9 +74,24 @@ def _identified(df: DataFrame, name: str, cfg: C.SourceConfig, template: str | N
     return _finish(staged, name, first_present(*ids), P.fill_template(template, F.col("_f")), contact)
 
 
-def permit_array(name: str, cfg: C.SourceConfig, responses: DataFrame, contacts: DataFrame | None = None) -> DataFrame:
-    """Responses that are one JSON array of permits, with an optional contacts table."""
-    records = extract_records(responses)
+def not_before(records: DataFrame, field: str, since: str | None, strict: bool = False) -> DataFrame:
+    """Records whose ``field`` (ISO time, other accepted date, epoch milliseconds) is at or, if ``strict``, after ``since``.
+
+    The sources filter by time themselves, so a record without a readable time is left out as it is there.
+    """
+    if not since:
+        return records
+    value = P.flat_fields(F.col("payload"), [field])[field]
+    time = F.coalesce(F.try_to_timestamp(value), F.try_to_timestamp(dates.date_only(dates.epoch_ms_day(value))))
+    start = F.lit(since).cast("timestamp")
+    return records.where(time > start if strict else time >= start)
+
+
+def permit_array(
+    name: str, cfg: C.SourceConfig, responses: DataFrame, contacts: DataFrame | None = None, since: str | None = None
+) -> DataFrame:
+    """Responses that are one JSON array of permits, with an optional contacts table; later than ``since``."""
+    records = not_before(extract_records(responses), cfg.date_field, since, strict=True)
     if contacts is None or not cfg.field_map.permit_number:
         return _identified(records, name, cfg, cfg.source_url_template)
     from siteledger.operators.contacts import attach_contacts
@@ -86,8 +101,8 @@ def permit_array(name: str, cfg: C.SourceConfig, responses: DataFrame, contacts:
     return _identified(joined, name, cfg, cfg.source_url_template, contact=True)
 
 
-def feature_layer(name: str, cfg: C.SourceConfig, responses: DataFrame) -> DataFrame:
-    """Feature responses: attributes flattened, numeric project dates turned from epoch ms to ISO days."""
+def feature_layer(name: str, cfg: C.SourceConfig, responses: DataFrame, since: str | None = None) -> DataFrame:
+    """Feature responses: attributes flattened, numeric project dates turned from epoch ms to ISO days; from ``since`` on."""
     parsed = responses.select(F.try_parse_json("response").alias("doc"))
     features = parsed.select(
         F.explode(F.try_variant_get("doc", "$.features", "array<variant>")).alias("feature")
@@ -109,6 +124,7 @@ def feature_layer(name: str, cfg: C.SourceConfig, responses: DataFrame) -> DataF
         ),
     )
     records = converted.select(P.canonical_json(F.to_json("_map", {"ignoreNullFields": "false"})).alias("payload"))
+    records = not_before(records, cfg.date_field, since)
     return _identified(records, name, cfg, cfg.source_url_template)
 
 
@@ -168,9 +184,9 @@ def place_columns(place: Column) -> tuple[Column, Column, Column]:
     )
 
 
-def opportunities(name: str, cfg: C.SourceConfig, responses: DataFrame) -> DataFrame:
-    """Solicitations: industry code, notice type and region are filters on the landed rows."""
-    records = extract_records(responses, "opportunitiesData")
+def opportunities(name: str, cfg: C.SourceConfig, responses: DataFrame, since: str | None = None) -> DataFrame:
+    """Solicitations: industry code, notice type, region and first posting day are filters on the landed rows."""
+    records = not_before(extract_records(responses, "opportunitiesData"), "postedDate", since)
     template = cfg.source_url_template
     wanted = ["noticeId", "uiLink", "naicsCode", "type", *P.template_fields(template)]
     staged = P.once(records, "_f", P.flat_fields(F.col("payload"), wanted, {"placeOfPerformance": PLACE}))
