@@ -26,7 +26,8 @@ REPLY = "chunk long, step int, bucket long, reply binary"
 
 @dataclass(frozen=True)
 class Chunks:
-    """``df`` has (chunk, doc_id, text as bytes); keys are dealt to ``2 ** bits`` buckets, fewer than there are chunks."""
+    """``df`` has (chunk, doc_id, text as bytes); keys are dealt to ``2 ** bits`` buckets, a quarter or
+    so of the number of chunks."""
 
     df: DataFrame
     bits: int
@@ -42,7 +43,7 @@ def chunked(docs: DataFrame, carried: tuple[str, ...] = ()) -> Chunks:
     count = max(2 * partitions, -(-size // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("chunk")
     df = docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
-    return Chunks(df, max(1, (count - 1).bit_length() - 1))
+    return Chunks(df, max(1, (count - 1).bit_length() - 2))
 
 
 def in_batches(docs: DataFrame, function: Callable, extra: str = "") -> DataFrame:
