@@ -176,15 +176,16 @@ ORACLES["company_upsert"] = f"""WITH n AS (SELECT {_CONSOLIDATED} FROM events GR
 
 
 def watermark_upsert(spark, sf_dir):
-    """Marks per document source; a source without anything new keeps its mark."""
+    """Marks per document source; a source that brings no mark keeps its own."""
     docs = table(spark, sf_dir, "documents")
     current = docs.groupBy("source").agg(F.lit("2000-01-01").alias("watermark"), F.lit(OLD).cast("timestamp").alias("updated_at"))
-    incoming = docs.where("lang = 'fr'").groupBy("source").agg(F.max(F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("watermark"))
+    brought = F.when((F.col("lang") == "fr") & ~F.col("source").endswith("3"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    incoming = docs.groupBy("source").agg(F.max(brought).alias("watermark"))
     return U.upsert_watermarks(current, incoming, _now()).select("source", "watermark", F.col("updated_at").cast("string").alias("updated_at"))
 
 
 QUERIES["watermark_upsert"] = watermark_upsert
-ORACLES["watermark_upsert"] = f"""WITH i AS (SELECT source, max(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS w FROM documents WHERE lang = 'fr' GROUP BY 1)
+ORACLES["watermark_upsert"] = f"""WITH i AS (SELECT source, max(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS w FROM documents WHERE lang = 'fr' AND NOT ends_with(source, '3') GROUP BY 1)
     SELECT d.source, coalesce(w, '2000-01-01') AS watermark, CASE WHEN w IS NULL THEN '{OLD}' ELSE '{NOW}' END AS updated_at
     FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN i ON i.source = d.source"""
 

@@ -73,7 +73,7 @@ def stream_upsert(spark, sf_dir):
 
     def step(now: str) -> None:
         incremental.run_landing(
-            spark, f"{root}/in", lambda df: records.portal("customers", _CONFIG, _lines(df)), _CONFIG, f"{root}/state", F.lit(now).cast("timestamp")
+            spark, f"{root}/in", lambda df: records.portal("customers", _CONFIG, df), _CONFIG, f"{root}/state", F.lit(now).cast("timestamp")
         )
 
     land("1", "concat('office for ', c_name)", customer)
@@ -89,11 +89,6 @@ def stream_upsert(spark, sf_dir):
     )
 
 
-def _lines(df):
-    """The text writer puts one response per line; a landed file holds many."""
-    return df.select(F.explode(F.split("response", "\n")).alias("response")).where(F.length("response") > 0)
-
-
 QUERIES["stream_upsert"] = stream_upsert
 ORACLES["stream_upsert"] = """SELECT CAST(c_custkey AS VARCHAR) AS source_record_id, false AS changed,
     CASE WHEN c_acctbal < 0 AND c_mktsegment <> 'BUILDING' THEN 'hotel for ' ELSE 'office for ' END || c_name AS description, 'OFFICE_LAB' AS category,

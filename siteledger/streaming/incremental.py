@@ -84,14 +84,16 @@ def run_landing(
     root: str,
     now: Column | None = None,
     watermark: Column | None = None,
+    one_per_line: bool = True,
 ) -> None:
     """Process every landed response not seen before, then stop.
 
-    ``reader`` maps response rows to raw records. Which files were seen is kept in the stream's
+    Files hold one response per line, so a large file is split; without ``one_per_line`` a file is
+    one response and has to fit a task. ``reader`` maps response rows to raw records. Which files were seen is kept in the stream's
     checkpoint below ``root``.
     """
     stamp = now if now is not None else F.current_timestamp()
-    stream = spark.readStream.format("text").option("wholetext", True).load(landing).select(F.col("value").alias("response"))
+    stream = spark.readStream.format("text").option("wholetext", not one_per_line).load(landing).select(F.col("value").alias("response"))
 
     def batch(df: DataFrame, number: int) -> None:
         process_batch(df.sparkSession, reader(df), cfg, root, number, stamp, watermark)
