@@ -41,21 +41,30 @@ SHARED = 0.1
 #: Probability that a word repeats one of the words before it in the text.
 CACHE = 0.05
 _MARK = "▁"
-_BITS = 21
+_BITS = 18
 _BATCH = 1 << 15
 
 
 @dataclass
 class Pieces:
-    """Pieces by length: ascending hashes, piece numbers, and which hashes there can be at all."""
+    """Pieces by length: ascending hashes and piece numbers; ``filters`` tells which hashes there can be at all."""
 
     size: int
     longest: int
     hashes: dict[int, np.ndarray]
     numbers: dict[int, np.ndarray]
-    filters: dict[int, np.ndarray]
     prior: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.filters = {}
+        for length, h in self.hashes.items():
+            self.filters[length] = np.zeros(1 << _BITS, bool)
+            self.filters[length][h >> np.uint64(64 - _BITS)] = True
+
+    def __reduce__(self):
+        """Filters are made anew by whoever gets the pieces: they are larger than all the rest."""
+        return Pieces, (self.size, self.longest, self.hashes, self.numbers, self.prior)
+
     @classmethod
     def read(cls, path: str) -> Pieces:
         """The pieces of a sentencepiece model, lower-case ones only (texts are lower-cased), and all 256 bytes.
@@ -76,17 +85,14 @@ class Pieces:
             weights[raw] = 1.0 / (10.0 + max(0.0, -model.get_score(i)))
         texts = sorted(weights)
         prior = np.array([weights[t] for t in texts])
-        hashes, numbers, filters = {}, {}, {}
+        hashes, numbers = {}, {}
         for length in sorted({len(t) for t in texts}):
             own = [i for i, t in enumerate(texts) if len(t) == length]
             data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8).reshape(-1, length)
             h = _spans(data, length)[:, 0]
             order = np.argsort(h)
             hashes[length], numbers[length] = h[order], np.array(own)[order]
-            seen = np.zeros(1 << _BITS, bool)
-            seen[h >> np.uint64(64 - _BITS)] = True
-            filters[length] = seen
-        return cls(len(texts), max(hashes), hashes, numbers, filters, prior / prior.sum())
+        return cls(len(texts), max(hashes), hashes, numbers, prior / prior.sum())
 
 
 def _spans(data: np.ndarray, length: int) -> np.ndarray:
