@@ -31,6 +31,8 @@ from siteledger.session import cut
 WIDTH = 5
 PERCENT = 80
 PART = 64
+#: Ids (8 bytes each) that may be broadcast.
+MOST_BROADCAST = 1 << 20
 _SETS = "doc_id long, n_shingles long, sig_a long, sig_b long, tokens array<long>, hashes array<long>"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("tokens", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))]
@@ -198,15 +200,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One row of ``docs``, with all its columns, for each component; rows without doc_id all stay."""
-    found = near_duplicates(docs)
-    kept = found.where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    if not repeated_ids(docs).isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id IS NULL"))
+def representatives(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component; rows without doc_id all stay.
+
+    Ids that go are broadcast if there are at most ``most_broadcast``, so texts aren't shuffled again; else they are joined.
+    """
+    found = cut(near_duplicates(docs))
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    side = F.broadcast(gone) if gone.count() <= most_broadcast else gone
+    kept = docs.join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if repeated_ids(found).isEmpty():
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
 
 
 def repeated_ids(sets: DataFrame) -> DataFrame:
-    return sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    return sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
