@@ -19,6 +19,7 @@ All word counts are made in Spark over all documents. Chunks of documents ask fo
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.llm import chunks as C
-from siteledger.llm.hashing import BYTE, STEP, mix, word_hashes, word_spans
+from siteledger.llm.hashing import BYTE, STEP, word_hashes, word_spans
 from siteledger.session import cut
 
 #: Where the vocabulary file is looked for if no path is given.
 VOCABULARY = os.environ.get("SUBWORD_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 #: Pieces that the prior weighs as much as, and rounds of expected counts.
-PRIOR_PIECES, ROUNDS = 100.0, 3
+PRIOR_PIECES, ROUNDS = 100.0, 2
 #: Classes of texts; languages beyond the most frequent ones share the last.
 CLASSES = 8
 #: Part of a class's back-off that goes to words of other classes.
@@ -42,7 +43,7 @@ SHARED = 0.1
 CACHE = 0.05
 _MARK = "▁"
 _BITS = 18
-_BATCH = 1 << 15
+_BATCH, _ROWS = 1 << 15, 1 << 17
 
 
 @dataclass
@@ -59,7 +60,7 @@ class Pieces:
         self.filters = {}
         for length, h in self.hashes.items():
             self.filters[length] = np.zeros(1 << _BITS, bool)
-            self.filters[length][h >> np.uint64(64 - _BITS)] = True
+            self.filters[length][_slot(h)] = True
 
     def __reduce__(self):
         """Filters are made anew by whoever gets the pieces: they are larger than all the rest."""
@@ -95,6 +96,10 @@ class Pieces:
         return cls(len(texts), max(hashes), hashes, numbers, prior / prior.sum())
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h * STEP[59]) >> np.uint64(64 - _BITS)
+
+
 def _spans(data: np.ndarray, length: int) -> np.ndarray:
     """Hash of the ``length`` bytes from every position of every row."""
     n = data.shape[1] - length + 1
@@ -102,7 +107,7 @@ def _spans(data: np.ndarray, length: int) -> np.ndarray:
     letters = BYTE[data]
     for k in range(length):
         out = out * STEP[60] + letters[:, k : k + n]
-    return mix(out)
+    return out
 
 
 def _arcs(data: np.ndarray, pieces: Pieces):
@@ -113,9 +118,8 @@ def _arcs(data: np.ndarray, pieces: Pieces):
         level = letters[:, :n].copy() if level is None else level[:, :n] * STEP[60] + letters[:, length - 1 : length - 1 + n]
         if length not in pieces.hashes:
             continue
-        h = mix(level)
-        row, start = np.nonzero(pieces.filters[length][h >> np.uint64(64 - _BITS)])
-        h = h[row, start]
+        row, start = np.nonzero(pieces.filters[length][_slot(level)])
+        h = level[row, start]
         at = np.minimum(np.searchsorted(pieces.hashes[length], h), len(pieces.hashes[length]) - 1)
         ok = pieces.hashes[length][at] == h
         yield length, row[ok], start[ok], pieces.numbers[length][at[ok]]
@@ -139,9 +143,10 @@ def _grouped(words: list[bytes]):
 
 def _lattice(data: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Number of the piece of each length that ends at each place (place, word, length), one past the last where none is."""
-    most = min(pieces.longest, data.shape[1])
+    arcs = [arc for arc in _arcs(data, pieces) if len(arc[1])]
+    most = max(length for length, *_ in arcs)  # single bytes are pieces, so there is one
     number = np.full((data.shape[1] + 1, len(data), most + 1), pieces.size, np.int32)
-    for length, row, start, piece in _arcs(data, pieces):
+    for length, row, start, piece in arcs:
         number[start + length, row, length] = piece
     return number
 
@@ -196,6 +201,19 @@ def expected_counts(words: list[bytes], pieces: Pieces, logs: np.ndarray) -> np.
     return out
 
 
+def _tables(batches) -> Iterator[pa.Table]:
+    """Arrow batches put together to ``_ROWS`` rows or so, so that words of one length are many."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _ROWS:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _keys_of(texts: list[bytes]):
     """Distinct words of some texts: ascending keys, place of each word's first copy, and each word's key and text."""
     data, starts, ends, owner = word_spans(texts)
@@ -245,7 +263,7 @@ def fit(words: DataFrame, pieces: Pieces, classes: int, rounds: int = ROUNDS) ->
         def expect(batches, shared=shared):
             own, logs = shared.value
             total = np.zeros((classes, own.size))
-            for batch in batches:
+            for batch in _tables(batches):
                 listed = batch.column("word").to_pylist()
                 for k, name in enumerate(names):
                     here = np.flatnonzero(batch.column(name).to_numpy())
@@ -339,11 +357,12 @@ def scores(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> D
 
     def weigh(batches):
         own, weights = shared.value
-        for batch in batches:
+        for batch in _tables(batches):
             found = log_probabilities(batch.column("word").to_pylist(), own, weights)
             counts = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
             p = totals.logs(counts, found)
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("key"), batch.column("learned"), pa.array(list(p), pa.list_(pa.float64()))], ["bucket", "key", "learned", "p"])
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+            yield from pa.table({"bucket": batch.column("bucket"), "key": batch.column("key"), "learned": batch.column("learned"), "p": each}).to_batches()
 
     bucket = F.shiftrightunsigned("key", 64 - chunks.bits).alias("bucket")
     facts = words.select(bucket, "key", "word", *names).mapInArrow(weigh, "bucket long, key long, learned long, p array<double>")
