@@ -5,6 +5,9 @@ of words and its link density, by those of the blocks before and after it, and b
 the article, and within page furniture (navigation, header, footer, aside, form, or an element whose class, id or role
 says advert, cookie notice, sidebar, comments and the like). A decision tree grown on a small labelled table tells
 content from the rest.
+
+What encloses the page's main part or a large article is a wrapper and not furniture, whatever its name; so is a form,
+or an element of such a class, that has most of a page's words.
 """
 
 from __future__ import annotations
@@ -32,6 +35,20 @@ HINTS = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs masthead header footer copyright legal disclaimer comment comments commentlist respond replies reply "
     "discussion disqus login signin signup search searchbox toolbar pagination pager contentinfo complementary form skip hidden".split()
 )
+# Names that say for certain what an element is, and elements that hold no article: wrappers only if most of the page, and no article elsewhere.
+CERTAIN_HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr popup modal overlay newsletter paywall aside "
+    "comments commentlist respond replies disqus contentinfo hidden".split()
+)
+CERTAIN = frozenset("aside dialog select button object canvas audio video".split())
+# Parts of a class name that leave its hint as it is: "ad-slot", "site-footer", but not "section-header", "no-sidebar" or "related-work".
+NEUTRAL = frozenset(
+    "site global main primary secondary mobile desktop sticky top bottom left right container wrapper wrap box block area list links icons tools buttons bar slot unit "
+    "zone posts articles stories inner outer".split()
+)
+TITLED, OWN_PARTS = frozenset("header masthead".split()), frozenset("page post entry article".split())
+#: An article is large with this share of the words of the page's longest, or so many; a named wrapper without one has so many too.
+LARGE, WRAPPER_WORDS = 0.5, 50
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -53,22 +70,79 @@ class Block:
     furniture: int
 
 
+@dataclass
+class Element:
+    """An open or closed element that matters to its blocks; ``furniture`` is 0, 1 or, if it is certain, 2."""
+
+    name: str
+    parent: int
+    furniture: int
+    named: set[str]
+    words: int = 0
+    wraps: bool = False
+
+
+def hints(names: str) -> set[str]:
+    """The hints in a class, id or role: a name counts whole, or if all its hyphenated parts are hints or neutral."""
+    found: set[str] = set()
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if len(p) > 1]
+        said = HINTS.intersection(parts)
+        if said and all(p in HINTS or p in NEUTRAL or (p in OWN_PARTS and not said & TITLED) for p in parts):
+            found |= said
+    return found
+
+
+def _marks(elements: list[Element]) -> list[tuple[int, int]]:
+    """(within an article, within furniture) of each element; parents come before their children."""
+    for e in reversed(elements):
+        if e.parent >= 0:
+            elements[e.parent].words += e.words
+    page = sum(e.words for e in elements if e.parent < 0)
+    inside: list[int] = []
+    apart: list[bool] = []
+    for e in elements:
+        inside.append(int(e.name in ARTICLE or (e.parent >= 0 and inside[e.parent])))
+        apart.append(e.furniture == 2 or (e.parent >= 0 and apart[e.parent]))
+    any_inside = any(inside)
+    free = any(e.name in ARTICLE and not out for e, out in zip(elements, apart, strict=True))
+    longest = max((e.words for e, out in zip(elements, apart, strict=True) if e.name == "article" and not out), default=0)
+    for e in reversed(elements):
+        if e.wraps or e.name == "main" or (e.name == "article" and e.words >= min(LARGE * longest, WRAPPER_WORDS)):
+            e.wraps = True
+            if e.parent >= 0:
+                elements[e.parent].wraps = True
+    marks: list[tuple[int, int]] = []
+    for e, within in zip(elements, inside, strict=True):
+        most = 2 * e.words > page
+        wrapper = e.wraps and (e.furniture < 2 or (most and not free))
+        if most and e.furniture == 1 and (within or not any_inside):
+            wrapper = wrapper or e.name in ("form", "fieldset", "head") or (e.named and e.words >= WRAPPER_WORDS)
+        title = within and e.named <= TITLED and (e.name == "header" or e.name not in FURNITURE)
+        own = e.furniture and not wrapper and not title
+        marks.append((within, int(bool(own) or (e.parent >= 0 and marks[e.parent][1] == 1 and e.name != "main"))))
+    return marks
+
+
 def blocks(html: str) -> Iterator[Block]:
     """Text blocks in page order, white space collapsed and character references decoded; empty blocks are left out."""
-    open_: list[tuple[str, int, int]] = []
+    elements = [Element("", -1, 0, set())]
+    found: list[tuple[str, int, float, int]] = []
+    open_: list[int] = []
     text: list[str] = []
     linked: list[str] = []
     in_link, at = False, 0
 
-    def block() -> Block | None:
+    def block() -> None:
         whole = " ".join(unescape("".join(text)).split())
         links = len(unescape(" ".join(linked)).split())
         text.clear()
         linked.clear()
-        if not whole:
-            return None
-        words = whole.count(" ") + 1
-        return Block(whole, words, min(1.0, links / words), open_[-1][1] if open_ else 0, open_[-1][2] if open_ else 0)
+        if whole:
+            words = whole.count(" ") + 1
+            owner = open_[-1] if open_ else 0
+            elements[owner].words += words
+            found.append((whole, words, min(1.0, links / words), owner))
 
     for token in _TOKEN.finditer(html):
         if token.start() > at:
@@ -91,37 +165,37 @@ def blocks(html: str) -> Iterator[Block]:
         if name == "body" and not closing:
             text.clear()
             open_.clear()  # a head may be left open
-        named = set()
+        named: set[str] = set()
         if not closing and rest:
-            named = {w for m in _NAMED.finditer(rest) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-        hinted = bool(named & HINTS) or (bool(rest) and bool(_HIDDEN.search(rest)))
-        if name in BLOCKS or (name in FURNITURE) or hinted or (closing and any(n == name for n, _, _ in open_[-1:])):
-            done = block()
-            if done:
-                yield done
+            for m in _NAMED.finditer(rest):
+                named |= hints(unescape(m[1] or m[2] or m[3] or ""))
+            if _HIDDEN.search(rest):
+                named.add("hidden")
+        if name in BLOCKS or name in FURNITURE or named or (closing and open_ and elements[open_[-1]].name == name):
+            block()
         if name in VOID:
             continue
         if closing:
             for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
+                if elements[open_[i]].name == name:
                     del open_[i:]
                     break
             if name in BLOCKS:
                 in_link = False
-        elif name in BLOCKS or name in FURNITURE or hinted:
-            if name in ("p", "li", "dd", "dt", "option", "td", "th", "tr") and open_ and open_[-1][0] == name:
+        elif name in BLOCKS or name in FURNITURE or named:
+            if name in ("p", "li", "dd", "dt", "option", "td", "th", "tr") and open_ and elements[open_[-1]].name == name:
                 open_.pop()  # their end tags may be left out
-            article, furniture = open_[-1][1:] if open_ else (0, 0)
-            inside = article or name in ARTICLE
-            page_part = name in FURNITURE and not (name == "header" and inside)
-            named_part = hinted and name not in ("html", "body", "article", "main")
-            open_.append((name, int(inside), int(furniture or page_part or named_part)))
+            named_part = bool(named) and name not in ("html", "body", "article", "main")
+            certain = name in CERTAIN or (named_part and bool(named & CERTAIN_HINTS))
+            elements.append(Element(name, open_[-1] if open_ else 0, 2 if certain else int(name in FURNITURE or named_part), named if named_part else set()))
+            open_.append(len(elements) - 1)
     text.append(html[at:])
     if in_link:
         linked.append(html[at:])
-    done = block()
-    if done:
-        yield done
+    block()
+    marks = _marks(elements)
+    for whole, words, density, owner in found:
+        yield Block(whole, words, density, *marks[owner])
 
 
 #: Features of a block, in the order of the table's columns.

@@ -183,3 +183,29 @@ def test_page_without_article():
     page = f'<body><div><a href="/">Home</a> <a href="/x">More</a></div>{body}<div><a href="/y">Next page</a></div>'
     kept = html_blocks.main_text(page, tree)
     assert kept.count("\n\n") == 3 and "Home" not in kept and "Next page" not in kept
+
+
+def test_wrappers_of_an_article_are_not_furniture():
+    tree = html_blocks.grow(html_blocks.LABELLED)
+    kept = lambda page: html_blocks.main_text(page, tree)
+    title, one, two = "A title of the text", sentence(random.Random(1), 60), sentence(random.Random(2), 60)
+    whole = "\n\n".join((title, one, two))
+    article = f'<article><div class="entry-header"><h1>{title}</h1></div><p>{one}</p><p>{two}</p></article>'
+    names = ("content no-sidebar", "has-sidebar", "with-sidebar", "long-form", "legal-news", "social", "related", "header", "search", "layout sidebar")
+    for start in (*(f'div class="{n}"' for n in names), 'div id="related-work"', "form", "fieldset", "header", 'div style="display:none"', "nav"):
+        page = f'<body><nav><a href="/">Home</a></nav><{start}>{article}</{start.split()[0]}><footer>Copyright of all</footer>'
+        assert kept(page) == whole, start
+    for start in ('h2 class="section-header"', 'h2 id="related-work"', 'p class="legal-news"', 'div class="header"'):
+        assert kept(f"<article><{start}>{title}</{start.split()[0]}><p>{one}</p><p>{two}</p></article>") == whole, start
+    plain = f"<h1>{title}</h1><p>{one}</p><p>{two}</p>"
+    for start in ("form", 'div class="legal"', 'div class="content has-sidebar"'):
+        assert kept(f"<body><{start}>{plain}</{start.split()[0]}><footer>Copyright of all</footer>") == whole, start
+    assert kept(f"<head><title>T</title>{article}") == whole
+    noise = "Words that stand beside the text and are long enough to look like it. " * 8
+    for start in ('div class="ad-slot"', 'div class="site-footer"', 'section id="comments"', 'div class="nav-menu"', "aside", "footer", 'div class="sidebar"'):
+        end = f"</{start.split()[0]}>"
+        assert kept(f"<body>{article}<{start}><p>{noise}</p>{end}") == whole, start
+        assert kept(f"<body><article>{plain}<{start}>{noise[:80]}{end}</article>") == whole, start
+    comments = "".join(f"<article>{noise}</article>" for _ in range(2))
+    assert kept(f'<body><div class="has-comments">{article}<div class="comments">{comments}</div></div>') == whole
+    assert kept(f'<body>{article}<div class="related"><article><a href="/x">Read more</a></article></div>') == whole
