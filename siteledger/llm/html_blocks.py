@@ -49,14 +49,17 @@ NEUTRAL = frozenset(
 TITLED, OWN_PARTS = frozenset("header masthead".split()), frozenset("page post entry article".split())
 #: An article is large with this share of the words of the page's longest, or so many; a named wrapper without one has so many too.
 LARGE, WRAPPER_WORDS = 0.5, 50
-_TOKEN = re.compile(
+# Elements whose text isn't shown as text; they may be in the middle of a sentence.
+UNSEEN = frozenset("svg annotation annotation-xml".split())
+_TOKENS = (
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+%s>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)",
-    re.IGNORECASE | re.DOTALL,
+    r"|<[!?/][^>]*(?:>|\Z)"
 )
+# Within svg and math, a raw element may close itself.
+_TOKEN, _FOREIGN_TOKEN = (re.compile(_TOKENS % own, re.IGNORECASE | re.DOTALL) for own in ("", "(?<!/)"))
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
@@ -124,6 +127,45 @@ def _marks(elements: list[Element]) -> list[tuple[int, int]]:
     return marks
 
 
+def _tokens(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag, without name for comments and raw elements.
+
+    An element of ``UNSEEN`` is one token with all that it holds. If it closes itself, or no end tag comes before the next
+    block-level tag, only its own tag is left out.
+    """
+    tokens: list[tuple[int, int, str, bool, str]] = []
+    open_: list[tuple[str, int]] = []
+    unseen: dict[int, int] = {}
+    at, pattern = 0, _TOKEN
+    while m := pattern.search(html, at):
+        at = m.end()
+        name = (m["name"] or m["name2"] or "").lower()
+        closing = (m["end"] or m["end2"]) == "/"
+        rest = m["rest"] or m["rest2"] or ""
+        if name in UNSEEN or name in ("math", "foreignobject"):
+            if closing:
+                for i in range(len(open_) - 1, -1, -1):
+                    if open_[i][0] == name:
+                        unseen[open_[i][1]] = len(tokens)
+                        del open_[i:]
+                        break
+            elif not rest.endswith("/"):
+                open_.append((name, len(tokens)))
+        elif name in BLOCKS and open_ and not any(n in ("foreignobject", "annotation-xml") for n, _ in open_):
+            open_.clear()
+        pattern = _FOREIGN_TOKEN if open_ else _TOKEN
+        tokens.append((m.start(), at, name, closing, rest))
+    i = 0
+    while i < len(tokens):
+        start, end, name, closing, rest = tokens[i]
+        if name in UNSEEN and i in unseen:
+            i = unseen[i]
+            yield start, tokens[i][1], "", False, ""
+        else:
+            yield start, end, name, closing, rest
+        i += 1
+
+
 def blocks(html: str) -> Iterator[Block]:
     """Text blocks in page order, white space collapsed and character references decoded; empty blocks are left out."""
     elements = [Element("", -1, 0, set())]
@@ -144,18 +186,15 @@ def blocks(html: str) -> Iterator[Block]:
             elements[owner].words += words
             found.append((whole, words, min(1.0, links / words), owner))
 
-    for token in _TOKEN.finditer(html):
-        if token.start() > at:
-            piece = html[at : token.start()]
+    for start, end, name, closing, rest in _tokens(html):
+        if start > at:
+            piece = html[at:start]
             text.append(piece)
             if in_link:
                 linked.append(piece)
-        at = token.end()
-        name = (token["name"] or token["name2"] or "").lower()
-        if not name:
+        at = end
+        if not name or name in UNSEEN:
             continue
-        closing = (token["end"] or token["end2"]) == "/"
-        rest = token["rest"] or token["rest2"] or ""
         if name == "br":
             text.append(" ")
         if name == "a":

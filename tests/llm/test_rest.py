@@ -209,3 +209,18 @@ def test_wrappers_of_an_article_are_not_furniture():
     comments = "".join(f"<article>{noise}</article>" for _ in range(2))
     assert kept(f'<body><div class="has-comments">{article}<div class="comments">{comments}</div></div>') == whole
     assert kept(f'<body>{article}<div class="related"><article><a href="/x">Read more</a></article></div>') == whole
+
+
+def test_svg_and_math_take_no_text_along():
+    tree = html_blocks.grow(html_blocks.LABELLED)
+    kept = lambda inner: html_blocks.main_text(f"<article><p>{inner}</article>", tree)
+    for svg in ('<svg class="i"/>', '<svg class="i" />', "<SVG/>", "<svg><title>T</title><text>label</text></svg>", "<svg><style/><title/><path d=''/></svg>", "<svg><svg><desc>x</desc></svg>y</svg>"):
+        assert kept(f"one {svg} two</p><p>three") == "one two\n\nthree", svg
+        assert kept(f"one {svg} two</p><p>three <svg><g>four</g></svg> five") == "one two\n\nthree five", svg
+    assert kept('one <svg class="i"> two</p><p>three') == "one two\n\nthree"
+    assert kept('one <svg class="i"> two</p><p>three <svg></svg> four') == "one two\n\nthree four"
+    assert kept("one <svg><foreignObject><div>label</div></foreignObject></svg> two") == "one two"
+    assert kept("one <svg><foreignObject><div>two</div><p>three") == "one\n\ntwo\n\nthree"
+    assert kept("one <math/> two <math><mi>x</mi><mo>=</mo><mn>1</mn></math> three") == "one two x=1 three"
+    assert kept('one <math><semantics><mi>x</mi><annotation encoding="application/x-tex">\\alpha</annotation></semantics></math> two') == "one x two"
+    assert kept('one <svg aria-hidden="true"><path/></svg> two') == "one two"
