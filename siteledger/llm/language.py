@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from siteledger.llm.chunks import in_batches
 from siteledger.llm.hashing import mix
+from siteledger.session import cut
 
 ORDER = 4
 #: Bytes of text, over all languages, that the models are fitted on (half as much again calibrates them).
@@ -30,6 +31,10 @@ _PIECE = 1 << 19
 _A = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_A), -1, 2**64))
 _SPACE, _EDGE = 0, 1
+#: Texts are sampled in spans of so many characters or up to twice as many, so that a long text gives more than one.
+SPAN = 1000
+#: A language with fewer calibration characters isn't held to less than what is usual over all languages.
+FEW = 2000
 #: A text is foreign if its cross-entropy is this far (nats, and deviations of its mean) above the calibration texts'.
 REACH, DEVIATIONS = 1.0, 6.0
 
@@ -236,26 +241,53 @@ def kneser_ney(languages: list[str], rows: dict[str, tuple[np.ndarray, np.ndarra
 
 
 def calibrate(model: Model, lang: list[str], total: np.ndarray, count: np.ndarray, square: np.ndarray) -> None:
-    """Sets each language's usual cross-entropy and its spread, and the sharpness at which scores are likeliest."""
+    """Sets each language's usual cross-entropy and its spread, and the sharpness at which scores are likeliest.
+
+    A language without calibration texts rejects nothing.
+    """
     ok = count > 0
     at = np.array([model.languages.index(g) for g in lang], np.int64)[ok]
     total, count, square = total[ok], count[ok], square[ok]
+    rows = np.arange(len(at))
+
+    def moments(mine: np.ndarray) -> tuple[float, float]:
+        n = int(count[mine].sum())
+        if not n:
+            return np.inf, 0.0
+        mean = -total[rows[mine], at[mine]].sum() / n
+        return mean, np.sqrt(max(0.0, square[rows[mine], at[mine]].sum() / n - mean * mean))
+
+    pooled = moments(rows >= 0)
     for j in range(len(model.languages)):
         mine = at == j
-        n = max(1, int(count[mine].sum()))
-        mean = -total[mine, j].sum() / n
-        model.usual[j], model.spread[j] = mean, np.sqrt(max(0.0, square[mine, j].sum() / n - mean * mean))
+        own = moments(mine)
+        model.usual[j], model.spread[j] = np.maximum(own, pooled) if count[mine].sum() < FEW and np.isfinite(own[0]) else own
     if len(at):
         entropy = -total / count[:, None]
         best = (np.inf, 1.0)
         for sharp in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
             x = -sharp * entropy
             x = x - x.max(axis=1, keepdims=True)
-            loss = -(x[np.arange(len(at)), at] - np.log(np.exp(x).sum(axis=1))).mean()
+            loss = -(x[rows, at] - np.log(np.exp(x).sum(axis=1))).mean()
             best = min(best, (loss, sharp))
         model.sharpness = best[1]
 
 
+def _sampled(batches):
+    """Spans (lang, text) with a letter of rows (lang, text, part, seed): each span is picked by seeded hash, ``part`` in a million."""
+    for batch in batches:
+        langs, spans = [], []
+        for lang, text, part, seed in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "part", "seed")), strict=True):
+            n = max(1, len(text) // SPAN)
+            picked = np.flatnonzero(mix(np.arange(1, n + 1, dtype=np.uint64) * _A + np.uint64(seed % 2**64)) % np.uint64(1_000_000) < part)
+            for k in picked.tolist():
+                span = text[k * len(text) // n : (k + 1) * len(text) // n]
+                if any(c.isalpha() for c in span):
+                    langs.append(lang)
+                    spans.append(span)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(spans, pa.string())], ["lang", "text"])
+
+
 def held_out(divisor: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == remainder, F.lit(False))
 
@@ -263,19 +295,25 @@ def held_out(divisor: int, remainder: int) -> Column:
 def fit(docs: DataFrame, learn: Column, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Models of all values of ``lang`` in the rows of ``docs`` (doc_id, text, lang) where ``learn`` holds.
 
-    Each language gives a seeded sample of about an equal share of ``sample_bytes``, two thirds to count n-grams and a
-    third to calibrate; only the distinct n-grams of this bounded sample reach the driver.
+    Each language gives a seeded sample of about an equal share of ``sample_bytes``, in spans of its texts: two thirds to
+    count n-grams and a third to calibrate, equal spans on one side. Of a language's different spans the longest always
+    counts and the shortest of two or more always calibrates. Only the distinct n-grams of this bounded sample reach the
+    driver.
     """
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     found = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).where("size > 0").orderBy("lang").collect()
     languages = [r["lang"] for r in found]
     if not languages:
         return Model([], [], [], [], [], np.empty(0), np.empty(0), np.empty(0))
-    per = sample_bytes / len(languages)
+    per = max(sample_bytes / len(languages), 16 * SPAN)
     part = usable.sparkSession.createDataFrame([(r["lang"], min(1e6, 1e6 * per / r["size"])) for r in found], "lang string, part double")
     # One row a language: small by the number of labels.
-    sample = usable.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("part"))
-    counting = F.pmod(F.xxhash64("text", "doc_id", F.lit(7)), F.lit(3)) > 0
+    dealt = usable.join(F.broadcast(part), "lang").select("lang", "text", "part", F.xxhash64("doc_id", "text").alias("seed"))
+    sample = cut(dealt.mapInArrow(_sampled, "lang string, text string").withColumn("place", F.struct(F.length("text"), F.xxhash64("text"))))
+    ends = sample.groupBy("lang").agg(F.max("place").alias("longest"), F.min("place").alias("shortest"))
+    sample = sample.join(F.broadcast(ends), "lang")
+    by_hash = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(3)) > 0
+    counting = (F.col("place") == F.col("longest")) | (by_hash & (F.col("place") != F.col("shortest")))
     names = [f"c{k}" for k in range(order)]
 
     def count(batches):
@@ -301,8 +339,8 @@ def fit(docs: DataFrame, learn: Column, order: int = ORDER, sample_bytes: int =
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(total), pa.list_(pa.float64())), pa.array(n), pa.array(list(square), pa.list_(pa.float64()))], ["lang", "total", "n", "square"])
 
     seen = sample.where(~counting).select("lang", "text").mapInArrow(measure, "lang string, total array<double>, n long, square array<double>").collect()
-    if seen:
-        calibrate(model, [r["lang"] for r in seen], np.array([r["total"] for r in seen]), np.array([r["n"] for r in seen]), np.array([r["square"] for r in seen]))
+    total, square = (np.array([r[c] for r in seen], float).reshape(len(seen), len(languages)) for c in ("total", "square"))
+    calibrate(model, [r["lang"] for r in seen], total, np.array([r["n"] for r in seen], np.int64), square)
     return model
 
 

@@ -47,6 +47,23 @@ def test_languages_of_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 4
 
 
+@pytest.mark.parametrize("many", [1, 2, 3])
+def test_rare_languages_are_learned_and_kept(spark, many):
+    """Whatever their hashes are: languages of one to three documents, one of them of a single long text."""
+    rng = random.Random(many)
+    rows = [r for r in _corpus(4, 90) if r[2] != "cc"]
+    text = lambda g, n: " ".join("".join(rng.choice(UNITS[g]) for _ in range(2)) for _ in range(n))
+    rare = {f"r{k}": [text("cc", 60).translate({ord("e"): chr(0x430 + 4 * k), ord("u"): chr(0x431 + 4 * k)}) for _ in range(many + 2)] for k in range(8)}
+    docs = rows + [(1000 + 10 * k + i, t, g) for k, (g, ts) in enumerate(rare.items()) for i, t in enumerate(ts)] + [(2000, text("cc", 3000).upper().replace("E", "Я"), "long")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    learn = (language.F.col("doc_id") < 1000) | (language.F.col("doc_id") % 10 < many) | (language.F.col("lang") == "long")
+    model = language.fit(df, learn)
+    assert np.isfinite(model.usual).sum() >= (3 if many == 1 else 11)
+    got = language.identify(df, model).collect()
+    assert [r.doc_id for r in got if r.rejected] == []
+    assert {r.lang for r in got} == {r.lang_pred for r in got} and np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
 def test_no_language_to_learn(spark):
     empty = spark.createDataFrame([], SCHEMA)
     model = language.fit(empty, ~language.held_out(3, 1))
