@@ -20,6 +20,8 @@ WORDS = 8
 SECTION = 4
 _PIECE = r"\s*(?:[^\s]*[^\s.!?][^\S\n]+){0,%d}[^\s]+\s*|\s+" % (WORDS - 1)
 _LEAF = "[0-9a-f]{8}\\.[0-9]+"
+# A leaf and its copies in a sorted list, each with a comma.
+_RUN = "(%s,)\\1*+" % _LEAF
 
 
 def _hex(x: Column, digits: int) -> Column:
@@ -56,14 +58,27 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def _weight(leaves: Column) -> Column:
-    return F.aggregate(leaves, F.lit(0).cast("long"), lambda total, x: total + F.substring(x, 10, 10).cast("long"))
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda total, x: total + F.substring_index(F.substring(x, 10, 20), ",", 1).cast("long"))
+
+
+def _copies(leaves: Column) -> Column:
+    """The leaves with a comma, and behind it the number of the copy if a leaf occurs more than once."""
+    runs = F.regexp_extract_all(F.concat(F.array_join(F.sort_array(leaves), ","), F.lit(",")), F.lit(_RUN), F.lit(0))
+
+    def numbered(run: Column) -> Column:
+        leaf = F.concat(F.substring_index(run, ",", 1), F.lit(","))
+        copies = (F.length(run) / F.length(leaf)).cast("int")
+        return F.when(F.length(run) == F.length(leaf), F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), copies), lambda k: F.when(k == 1, leaf).otherwise(F.concat(leaf, k.cast("string")))))
+
+    return F.flatten(F.transform(runs, numbered))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the characters of two fingerprinted texts that are in common leaves, 0 to 1; a repeated leaf counts once."""
-    left, right = (F.array_distinct(F.regexp_extract_all(F.col(x), F.lit(_LEAF), F.lit(0))) for x in (a, b))
+    """Share of the characters of two fingerprinted texts that are in common leaves, 0 to 1; of a repeated leaf, as many copies as both have."""
+    left, right = (F.regexp_extract_all(F.col(x), F.lit(_LEAF), F.lit(0)) for x in (a, b))
     both = _weight(left) + _weight(right)
-    return F.when(F.col(a) == F.col(b), 1.0).when(both == 0, 0.0).otherwise(2.0 * _weight(F.array_intersect(left, right)) / both)
+    common = _weight(F.array_intersect(_copies(left), _copies(right)))
+    return F.when(F.col(a) == F.col(b), 1.0).when(both == 0, 0.0).otherwise(2.0 * common / both)
 
 
 def _ranges(docs: DataFrame) -> Column:

@@ -44,6 +44,18 @@ def test_fingerprint_locates_the_edit(spark):
     assert len(nodes[0] - nodes[1]) == 1 and len(nodes[1] - nodes[0]) == 1 and r.like > 0.9
 
 
+def test_likeness_counts_copies(spark):
+    x, y = "the line x has seven words.\n", "a line y of its own words.\n"
+    ones = "".join(f"{w}\n" for w in ("one", "two", "six", "ten"))
+    pairs = [(x * 1000 + y, x + y * 1000), (x * 20_000, x * 10_000 + y * 10_000), (x * 3 + ones, ones + x), (ones, ones * 2), (x, y), ("\n", "\n\n"), (x, x)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    both = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "x"), "b", "y")
+    got = [r.like for r in both.select("i", merkle.likeness("x", "y").alias("like")).orderBy("i").collect()]
+    n, m = len(x) - 1, len(y) - 1
+    want = [2 * (n + m) / (1001 * (n + m)), 2 * n / (3 * n + m), 2 * (12 + n) / (24 + 4 * n), 2 * 12 / 36, 0.0, 0.0, 1.0]
+    assert all(abs(g - w) < 1e-9 for g, w in zip(got, want, strict=True)), (got, want)
+
+
 def test_fingerprints_of_few_rows(spark):
     assert merkle.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     one = merkle.fingerprints(documents(spark, [(1, "alone here")])).first()
