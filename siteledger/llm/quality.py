@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.llm.chunks import in_batches
 
 WIDTH, STRIDE, CHUNK = 8, 4, 512
 EMBED, FILTERS, HIDDEN = 8, 32, 16
-#: The network is fitted on at most so many labelled rows, and so many bytes of text; rows are picked by seeded hash.
+#: The network is fitted on at most so many labelled rows, and so many bytes of text; rows are picked by seeded hash, and of
+#: texts longer than their share of the bytes a seeded choice of chunks.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16 << 20
 EPOCHS, BATCH, RATE, SEED = 14, 32, 3e-3, 11
 _HALF = CHUNK // 2
@@ -145,6 +146,9 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network:
 def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
     group, size = [], 0
     for t in texts:
+        if group and len(t) > 2 * _GROUP:
+            yield group
+            group, size = [], 0
         group.append(t)
         size += len(t)
         if size >= _GROUP:
@@ -169,21 +173,52 @@ def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.concatenate(logits).astype(np.float64))) if logits else np.empty(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Network:
-    """A network fitted on labelled rows of ``docs`` where ``learn`` holds: at most ``SAMPLE_ROWS`` and ``SAMPLE_BYTES``.
+def share_of_bytes(sizes: list[int], total: int) -> int:
+    """The greatest length to which texts of these sizes are cut so that they have ``total`` bytes at most."""
+    left = total
+    for i, size in enumerate(sorted(sizes)):
+        even = left // (len(sizes) - i)
+        if size > even:
+            return even
+        left -= size
+    return max(sizes, default=0)
+
+
+def _excerpts(most: int):
+    """Rows (doc_id, text, quality, seed) with texts of ``most`` bytes at most: of longer ones seeded chunks, in their order."""
+
+    def cut_down(batches):
+        for batch in batches:
+            texts = []
+            for text, seed in zip(batch.column("text").to_pylist(), batch.column("seed").to_pylist(), strict=True):
+                if len(text) > most:
+                    n = max(1, most // CHUNK)
+                    chunks = np.sort(np.random.default_rng(seed % 2**64).choice(-(-len(text) // CHUNK), n, replace=False))
+                    text = b"".join(text[k * CHUNK : (k + 1) * CHUNK] for k in chunks.tolist())[:most]
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()), batch.column("quality"), batch.column("seed")], ["doc_id", "text", "quality", "seed"])
+
+    return cut_down
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """A network fitted on labelled rows of ``docs`` where ``learn`` holds: at most ``SAMPLE_ROWS`` and ``sample_bytes``.
 
     Rows are picked in the order of a seeded hash of doc_id; ``labels`` has doc_id and quality, NULL qualities are left
-    out, and of several labels of one doc_id the least counts.
+    out, and of several labels of one doc_id the least counts. If the texts have more than ``sample_bytes``, the longest
+    give seeded chunks only, all to one length; no row goes.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(SEED))
     chosen = known.where(learn).orderBy(order, "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sizes = rows.select("doc_id", "quality", F.octet_length("text").alias("size"), order.alias("place"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = rows.join(F.broadcast(chosen), "doc_id").withColumn("seed", F.xxhash64("doc_id", "text"))
     # Over a sample of bounded size.
-    total = F.sum("size").over(Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    within = F.broadcast(sizes.limit(2 * SAMPLE_ROWS).withColumn("total", total).where(F.col("total") <= SAMPLE_BYTES).select("doc_id").distinct())
-    table = rows.join(within, "doc_id", "left_semi").orderBy(order, "doc_id", "text").limit(2 * SAMPLE_ROWS).select("text", "quality").toArrow()
+    picked = [F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "seed"]
+    sizes = rows.select("doc_id", "seed", F.octet_length("text").alias("size")).orderBy(*picked).limit(2 * SAMPLE_ROWS).select("size").collect()
+    most = share_of_bytes([r["size"] for r in sizes], sample_bytes)
+    few = rows.select("doc_id", "text", F.col("quality").cast("long").alias("quality"), "seed").mapInArrow(_excerpts(most), "doc_id long, text binary, quality long, seed long")
+    table = few.orderBy(*picked, "text").limit(2 * SAMPLE_ROWS).select("text", "quality").toArrow()
     return train(table.column("text").to_pylist(), table.column("quality").to_numpy().astype(np.float32))
 
 

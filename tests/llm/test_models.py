@@ -190,3 +190,27 @@ def test_quality_without_labels(spark):
     docs = documents(spark, texts(4, 5))
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.scored(docs, quality.fit(docs, labels, ~language.held_out(3, 1))).count() == docs.count()
+
+
+def test_long_labelled_texts_end_no_sample(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice(UNITS["aa"]) for _ in range(2)) for _ in range(n))
+    rows = [(i, text(40) if i % 2 else text(40).replace(" ", "$$$ "), i % 2) for i in range(200)]
+    rows += [(300 + i, (text(2000) if i % 2 else text(2000).replace(" ", "$$$ ")) * 20, i % 2) for i in range(4)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, q) for d, _, q in rows], "doc_id long, quality int")
+    net = quality.fit(docs, labels, quality.F.lit(True), sample_bytes=100_000)
+    got = {r.doc_id: r for r in quality.scored(docs, net).collect()}
+    assert np.mean([got[d].predicted == q for d, _, q in rows]) > 0.95
+    assert quality.share_of_bytes([5, 100, 3, 50], 60) == 26 and quality.share_of_bytes([5, 3], 60) == 5
+
+
+def test_long_texts_behind_short_ones_are_scored_in_spans(monkeypatch):
+    net, largest = quality.Network.new(0.5), []
+    whole = quality.Network.forward
+    monkeypatch.setattr(quality.Network, "forward", lambda self, texts: largest.append(sum(map(len, texts))) or whole(self, texts))
+    long = bytes(np.random.default_rng(1).integers(97, 123, 6 * quality._GROUP, dtype=np.uint8))
+    got = quality.score_texts(net, [b"short", long, b"", long, b"end"])
+    assert max(largest) <= 2 * quality._GROUP and len(got) == 5
+    want = 1 / (1 + np.exp(-np.array([net.logits([t])[0] for t in (b"short", long, b"")], np.float64)))
+    assert np.allclose(got[:3], want, atol=1e-6) and got[1] == got[3]
