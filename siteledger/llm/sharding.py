@@ -47,13 +47,15 @@ def _homes(labels: DataFrame, quota: int, step: int) -> DataFrame:
     entry = F.struct((-F.col("n")).alias("less"), F.xxhash64(F.lit(step), "grp", "shard").alias("tie"), "shard")
     listed = counts.groupBy("grp").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(entry)).alias("all"))
     needed = F.ceil(F.col("total") / max(1, quota)).cast("int")
+    if step >= 3:  # what stands in the way of a large group is there to stay: one more shard for the rest of it
+        needed = needed + F.when(needed > 1, 1).otherwise(0)
     return listed.select("grp", F.slice("all", F.lit(1), needed).alias("homes"), F.map_from_arrays("all.shard", "all.less").alias("own"))
 
 
 def _wishes(labels: DataFrame, quota: int, step: int) -> DataFrame:
     """``labels`` with the shard a document wants to move to (NULL: it stays) and the logarithm of its gain."""
     met = labels.join(_homes(labels, quota, step), "grp")
-    home = F.element_at("homes", (F.pmod(F.xxhash64("node"), F.size("homes")) + 1).cast("int"))
+    home = F.element_at("homes", (F.pmod(F.xxhash64(F.lit(step), "mark"), F.size("homes")) + 1).cast("int"))
     away = ~F.array_contains("homes.shard", F.col("shard"))
     gain = F.element_at("own", F.col("shard")) - home["less"] + 1
     return met.select(
@@ -87,8 +89,8 @@ def _round(labels: DataFrame, capacity: list[int], step: int) -> tuple[DataFrame
     limits = labels.sparkSession.createDataFrame([(i, j, n) for (i, j), n in may.items()], "shard int, wanted int, most long")
     movers = wished.where("wanted IS NOT NULL")
     # Large gains first; a group's documents stand together, the largest groups in several buckets.
-    bucket = (64 - F.col("level")) * 256 + hashed("grp", 16) * 16 + F.when(F.col("level") > 12, hashed("node", 16, 1)).otherwise(0)
-    order = ranked(movers, ["shard", "wanted"], bucket, [F.col("grp"), F.col("node")])
+    bucket = (64 - F.col("level")) * 256 + hashed("grp", 16) * 16 + F.when(F.col("level") > 12, hashed("mark", 16, 1)).otherwise(0)
+    order = ranked(movers, ["shard", "wanted"], bucket, [F.col("grp"), F.col("mark"), F.col("node")])
     moved = order.join(F.broadcast(limits), ["shard", "wanted"])
     shard = F.when(F.col("rank") < F.col("most"), F.col("wanted")).otherwise(F.col("shard")).alias("shard")
     now = [c for c in labels.columns if c != "shard"]
@@ -97,9 +99,9 @@ def _round(labels: DataFrame, capacity: list[int], step: int) -> tuple[DataFrame
 
 
 def propagated(linked: DataFrame, capacity: list[int], count: int, rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` (node, grp; both not NULL, node unique; a written table of ``count`` rows) with a shard each."""
+    """``linked`` (node, mark, grp; none NULL, node unique; a written table of ``count`` rows) with a shard each."""
     shards = len(capacity)
-    start = ranked(linked, [], hashed("node", bucket_count(count), 2), [F.col("node")])
+    start = ranked(linked, [], hashed("mark", bucket_count(count), 2), [F.col("mark"), F.col("node")])
     labels = cut(start.select(*linked.columns, F.pmod("rank", F.lit(shards)).cast("int").alias("shard")))
     for step in range(rounds):
         labels, wishes = _round(labels, capacity, step)
@@ -114,7 +116,7 @@ def _filled(single: DataFrame, room: list[int], count: int) -> DataFrame:
     for n in room:
         total += n
         ends.append(total)
-    order = ranked(single, [], hashed("node", bucket_count(count), 3), [F.col("node")])
+    order = ranked(single, [], hashed("mark", bucket_count(count), 3), [F.col("mark"), F.col("node")])
     shard = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("rank")))
     return order.select(*single.columns, shard.cast("int").alias("shard"))
 
@@ -130,7 +132,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, group:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + OVERHEAD).cast("long").alias("size")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size, F.crc32(text.cast("binary")).alias("text_crc32"), (equal_texts() if group is None else group).alias("grp"))
-    nodes = cut(plain.withColumn("node", F.monotonically_increasing_id()))
+    # All choices hang on ``mark``, so another layout of the files gives the same shards; ``node`` tells equal rows apart.
+    nodes = cut(plain.withColumns({"mark": F.xxhash64("doc_id", "grp"), "node": F.monotonically_increasing_id()}))
     copies = nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("copies")).where("copies > 1")
     marked = cut(nodes.join(copies, "grp", "left"))
     single, linked = marked.where("copies IS NULL").drop("copies"), marked.where("copies > 1").drop("copies")
@@ -141,7 +144,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, group:
     for r in labels.groupBy("shard").count().collect():
         room[r.shard] -= r["count"]
     placed = cut(labels.unionByName(_filled(single, room, alone)))
-    slots = ranked(placed, ["shard"], hashed("node", bucket_count((alone + together) // shards, 8), 4), [F.col("node")], "slot")
+    slots = ranked(placed, ["shard"], hashed("mark", bucket_count((alone + together) // shards, 8), 4), [F.col("mark"), F.col("node")], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -40,9 +40,9 @@ def test_shards(spark):
     rows = texts(6, 300) + [(None, "no id"), (None, None), (7000, "twice"), (7000, "twice")]
     got = sharding.sharded(documents(spark, rows), 8).collect()
     check(rows, got, 8)
-    assert all(len(shards) == 1 for shards in parts_of(got).values())
-    again = sharding.sharded(documents(spark, rows), 8).collect()
-    check(rows, again, 8)
+    assert sum(len(shards) > 1 for shards in parts_of(got).values()) <= 2
+    again = sharding.sharded(documents(spark, rows[::-1], 5), 8).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
 def test_large_group_takes_as_few_shards_as_hold_it(spark):
@@ -58,10 +58,10 @@ def test_large_group_takes_as_few_shards_as_hold_it(spark):
 
 def test_all_linked_keep_their_law(spark):
     """Nothing fills the shards up, so documents can only change places; still most groups come together."""
-    rows = [(i, f"pair {i % 400}") for i in range(800)]
+    rows = [(i, f"pair {i % 200}") for i in range(400)]
     got = sharding.sharded(documents(spark, rows), 8).collect()
     check(rows, got, 8)
-    assert sum(len(g) > 1 for g in parts_of(got).values()) < 200
+    assert sum(len(g) > 1 for g in parts_of(got).values()) < 60
 
 
 def test_few_rows(spark):
