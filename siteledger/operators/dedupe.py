@@ -219,7 +219,16 @@ def duplicate_plan(
 
     The canonical record of a component has a company, else was seen first, else has the lowest id.
     """
-    prepared = cut(prepare(records, block))
+    return plan_of(cut(prepare(records, block)), address_threshold, title_threshold, tile_rows)
+
+
+def plan_of(
+    prepared: DataFrame,
+    address_threshold: float = ADDRESS_THRESHOLD,
+    title_threshold: float = TITLE_THRESHOLD,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """The plan of records that went through ``prepare`` (a written table: it is read several times)."""
     reps = cut(_representatives(prepared))
     sizes = cut(reps.groupBy("block").agg(F.count("*").alias("n")))
     compared = reps.select("block", "node", "address", "title")

@@ -9,7 +9,9 @@ from siteledger.functions import address as A
 from siteledger.functions import geo
 from siteledger.functions.similarity import token_set_similarity
 from siteledger.operators import dedupe as D
+from siteledger.operators import dedupe_state as S
 from siteledger.plans.tables import ORDERS_SQL, orders_with_customers, table, wide_table
+from siteledger.session import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -161,3 +163,25 @@ def dedupe_parts(spark, sf_dir):
 
 
 QUERIES["dedupe_parts"] = dedupe_parts
+
+
+def dedupe_delta(spark, sf_dir):
+    """Two deliveries: old versions of some records first, at another address or with another title, then all that is new or changed.
+
+    The plan after both is the plan of the records as they are now.
+    """
+    records = dedupe_records(spark, sf_dir)
+    moved, renamed = F.col("id") % 40 == 1, F.col("id") % 40 == 2
+    first = records.where("source <> 'o'").union(
+        records.where("source = 'o'").where(moved | renamed).withColumns(
+            {"address": F.when(moved, F.concat(F.lit("9"), "address")).otherwise(F.col("address")), "description": F.when(renamed, F.lit("an old title")).otherwise(F.col("description"))}
+        )
+    )
+    root = scratch_path(spark, "dedupe-state")
+    S.deliver(first, root, buckets=64)
+    S.deliver(records.where("source = 'o'"), root, buckets=64)
+    return S.current_plan(spark, root)
+
+
+QUERIES["dedupe_delta"] = dedupe_delta
+ORACLES["dedupe_delta"] = ORACLES["dedupe_permits"]

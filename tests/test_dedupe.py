@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from siteledger.functions.similarity import token_set_score
 from siteledger.operators import dedupe as D
+from siteledger.operators import dedupe_state as S
 from siteledger.operators.components import connected_components
+from siteledger.session import scratch_path
 
 SCHEMA = "id bigint, description string, address string, has_company boolean, first_seen string"
 
@@ -133,3 +136,41 @@ def test_components(spark):
             root[a] = root[b] = low
     linked = {n for a, b in edges if a != b for n in (a, b)}
     assert got == {n: r for n, r in root.items() if n in linked}
+
+
+def delivered(spark, root, rows, **options):
+    S.deliver(spark.createDataFrame(rows, SCHEMA), root, buckets=8, **options)
+    return {r["id"]: r["canonical_id"] for r in S.current_plan(spark, root).collect()}
+
+
+def test_deliveries_equal_the_full_plan(spark):
+    root, rng = scratch_path(spark, "state"), random.Random(8)
+    rows = random_rows(60, 11)
+    now = {r[0]: r for r in rows[:30]}
+    assert delivered(spark, root, rows[:30]) == brute_force(spark, rows[:30])
+    # New records, changed ones (other block, other title, no address any more), and a delivery that comes twice.
+    changed = [record(i, now[i][1], rng.choice(["12 Oak Ave", "77 Pine St", None])) for i in rng.sample(sorted(now), 8)]
+    second = rows[30:50] + changed
+    now |= {r[0]: r for r in second}
+    for _ in range(2):
+        assert delivered(spark, root, second) == brute_force(spark, list(now.values()))
+    third = rows[50:] + [record(rows[31][0], "", "12 Oak Ave")]
+    now |= {r[0]: r for r in third}
+    assert delivered(spark, root, third) == brute_force(spark, list(now.values()))
+
+
+def test_delivery_reads_touched_folders_only(spark):
+    """Files of all folders without a touched block or a delivered id are made unreadable."""
+    root = scratch_path(spark, "state")
+    rows = [record(i, "new roof", f"{100 + i // 2} Oak Ave") for i in range(60)]
+    assert delivered(spark, root, rows) == brute_force(spark, rows)
+    more = [record(1000, "new roof", "100 Oak Ave", True)]
+    expr = [F.pmod(F.xxhash64(x), F.lit(8)) for x in (F.lit(1000).cast("long"), F.lit("100:oak"))]
+    id_bucket, block_bucket = spark.range(1).select(*expr).first()
+    for name, kept in (("places", id_bucket), ("records", block_bucket), ("plan", block_bucket)):
+        for file in Path(root.removeprefix("file:")).glob(f"{name}/bucket=*/*.parquet"):
+            if file.parent.name != f"bucket={kept}":
+                file.write_bytes(b"not a table")
+    S.deliver(spark.createDataFrame(more, SCHEMA), root, buckets=8)
+    kept = spark.read.parquet(f"{root}/plan/bucket={block_bucket}").where("block = '100:oak'")
+    assert {r["id"]: r["canonical_id"] for r in kept.collect()} == {0: 1000, 1: 1000}
