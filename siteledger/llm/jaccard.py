@@ -8,10 +8,12 @@ Tokens are the 64-bit fingerprints of word shingles. Two sets link when ``100 *
 2. *Similar sets are put in groups*: four independent min-hashes bring most partners together, each class is compared
    with the most central class of its groups (a star, never all pairs), and linked classes form components. A token that
    stands in one component only can't lead to a new link; classes with too few other tokens are done.
-3. *Token-group matrix* over what is open: components, cut into parts of at most ``PART`` classes, are the groups, and
-   each group's token union is stored. A query meets a group by its rarest tokens (so many that a partner must share
-   one), ``|Q & union|`` bounds its overlap with every member, and only groups that reach 80 % of Q are opened and
-   compared set by set. Groups of the query's own component stay closed: its classes are connected already.
+3. Each open class is compared with the class of another component that is the centre of most of its tokens; what is
+   linked becomes one component, and its tokens cross no more. This goes on until nothing links.
+4. *Token-group matrix* over what is open then: components, cut into parts of about ``PART`` classes, are the groups, and
+   each group's token union is stored. A query meets a group by tokens that are among the rarest of both (so many that
+   partners must share one), ``|Q & union|`` bounds its overlap with every member, and only groups that reach 80 % of Q
+   are opened and compared set by set. Groups of the query's own component stay closed: they are connected already.
 
 Components come from alternating stars over the links, so neither links nor components pass through the driver.
 """
@@ -81,17 +83,15 @@ def _sets(docs: DataFrame) -> DataFrame:
     return C.with_answers(chunks, told, finish, _SETS)
 
 
-def _alike(a: str, b: str) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= PERCENT * (F.size(a) + F.size(b) - both)
-
-
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose sets are alike."""
-    tokens = classes.select("rep", "tokens")
-    left = pairs.join(tokens.select(F.col("rep").alias("src"), F.col("tokens").alias("a")), "src")
-    both = left.join(tokens.select(F.col("rep").alias("dst"), F.col("tokens").alias("b")), "dst")
-    return both.where(_alike("a", "b")).select("src", "dst")
+    """The pairs (src, dst) whose sets are alike; ``classes`` has (rep, n, tokens).
+
+    ``tokens`` may leave out what no partner of another component has; a set has ``n`` tokens in all.
+    """
+    left = pairs.join(classes.select(F.col("rep").alias("src"), F.col("n").alias("na"), F.col("tokens").alias("a")), "src")
+    both = left.join(classes.select(F.col("rep").alias("dst"), F.col("n").alias("nb"), F.col("tokens").alias("b")), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("src", "dst")
 
 
 def _commonness(classes: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _stars(classes: DataFrame) -> DataFrame:
     keys = classes.join(_commonness(classes), "rep").select("rep", "common", F.posexplode("hashes").alias("k", "hash"))
     centre = keys.groupBy("k", "hash").agg(F.max_by("rep", F.struct("common", F.bitwise_not("rep"))).alias("dst"))
     pairs = keys.join(centre, ["k", "hash"]).where("rep != dst").select(F.col("rep").alias("src"), "dst").distinct()
-    return _verified(pairs, classes)
+    return _verified(pairs, classes.select("rep", F.size("tokens").alias("n"), "tokens"))
 
 
 def _needed(n: str) -> Column:
@@ -119,53 +119,111 @@ def _needed(n: str) -> Column:
 
 
 def _crossing(classes: DataFrame) -> DataFrame:
-    """Classes that may have a partner in another component: rep, comp, n, their tokens that cross, and ``own``.
+    """Classes of (rep, comp, n, tokens) that may have a partner in another component: rep, comp, n, reach, cross.
 
-    ``own`` counts the tokens that no other component has. With a partner's, they are in the union but not in the
-    intersection, so 80 % need ``|cross| >= 4 * (own + own of the partner)``: a bound on the partner's ``own``, which is
-    checked for every token against the least ``own`` of other components that have it. A passage that makes up most of
-    many texts so costs nothing as long as the rest of these texts differs too much.
+    ``cross`` are the tokens that other components have. Common tokens I with a partner are among the ``cross`` of
+    either, and a link needs ``180 I >= 80 (n + n of the partner)``; so ``reach = 180 |cross| - 80 n`` bounds 80 times the
+    partner's size, in both directions. A token that no class within reach has in another component can't be common, so
+    it goes, and classes left with under 80 % of their tokens go as well. A passage that makes up most of many texts so
+    costs nothing as long as the rest of these texts differs too much.
     """
-    spread = classes.select("rep", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    spread = classes.select("rep", "comp", "n", F.explode("tokens").alias("token"))
     crossing = spread.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
     kept = spread.join(crossing, "token").groupBy("rep", "comp", "n").agg(F.collect_list("token").alias("cross"))
-    own = F.col("n") - F.size("cross")
-    factor = PERCENT // (100 - PERCENT)
-    enough = cut(kept.where(F.size("cross") >= _needed("n")).withColumn("own", own).withColumn("reach", F.floor(F.size("cross") / factor) - own))
-    tokens = enough.select("rep", "comp", "n", "own", "reach", F.explode("cross").alias("token"))
-    # The least ``own`` by token and slot of components; a slot with several components stands for all of them.
-    slots = tokens.groupBy("token", F.pmod(F.xxhash64("comp"), F.lit(16)).alias("slot")).agg(
-        F.min("own").alias("own"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    enough = cut(kept.where(F.size("cross") >= _needed("n")).withColumn("reach", _reach()))
+    tokens = enough.select("rep", "comp", "n", "reach", F.explode("cross").alias("token"))
+    # Sizes and reaches by token, slot of components and class of sizes; a slot with several components stands for all of them.
+    slots = tokens.groupBy("token", F.pmod(F.xxhash64("comp"), F.lit(16)).alias("slot"), F.floor(8 * F.log2("n")).alias("sizes")).agg(
+        F.min("n").alias("n"), F.max("reach").alias("reach"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
-    options = slots.groupBy("token").agg(F.collect_list(F.struct("own", "low", "high")).alias("options"))
-    partner = F.exists("options", lambda x: (x["own"] <= F.col("reach")) & ((x["low"] != F.col("comp")) | (x["high"] != F.col("comp"))))
-    usable = tokens.join(options, "token").where(partner).groupBy("rep", "comp", "n", "own", "reach").agg(F.collect_list("token").alias("cross"))
-    return cut(usable.where(F.size("cross") >= _needed("n")))
+    options = slots.groupBy("token").agg(F.collect_list(F.struct("n", "reach", "low", "high")).alias("options"))
+    near = lambda x: (PERCENT * x["n"] <= F.col("reach")) & (PERCENT * F.col("n") <= x["reach"])
+    partner = F.exists("options", lambda x: near(x) & ((x["low"] != F.col("comp")) | (x["high"] != F.col("comp"))))
+    usable = tokens.join(options, "token").where(partner).groupBy("rep", "comp", "n").agg(F.collect_list("token").alias("cross"))
+    return cut(usable.where(F.size("cross") >= _needed("n")).withColumn("reach", _reach()))
+
+
+def _reach() -> Column:
+    return (100 + PERCENT) * F.size("cross") - PERCENT * F.col("n")
+
+
+def _centres(active: DataFrame) -> DataFrame:
+    """(src, dst): each class and the centre, in another component, that it has most tokens in common with.
+
+    The centre of a token is the class with the fewest tokens of its own, the most likely partner of all that have the
+    token; a class of the centre's component gets the best class of another component in its place. One row per class
+    and token before the count, one per class after it.
+    """
+    tokens = active.select("rep", "comp", "n", F.explode("cross").alias("token"), F.struct((F.col("n") - F.size("cross")).alias("own"), "rep", "comp").alias("one"))
+    first = tokens.groupBy("token").agg(F.min("one").alias("first"))
+    marked = tokens.join(first, "token")
+    second = marked.where("comp != first.comp").groupBy("token").agg(F.min("one").alias("second"))
+    offered = marked.join(second, "token")
+    centre = F.when(F.col("comp") != F.col("first.comp"), F.col("first.rep")).otherwise(F.col("second.rep"))
+    counts = offered.select("rep", "n", centre.alias("dst")).groupBy("rep", "n", "dst").agg(F.count("*").alias("common"))
+    best = counts.groupBy("rep").agg(F.max_by("dst", F.struct("common", "dst")).alias("dst"))
+    return best.select(F.col("rep").alias("src"), "dst")
+
+
+def _contracted(active: DataFrame, links: DataFrame) -> DataFrame:
+    """``active`` with the components that ``links`` connect made one."""
+    comp = active.select("rep", "comp")
+    edges = links.join(comp.select(F.col("rep").alias("src"), F.col("comp").alias("a")), "src").join(comp.select(F.col("rep").alias("dst"), F.col("comp").alias("b")), "dst")
+    merged = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "comp")
+    return active.join(merged, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"), "n", F.col("cross").alias("tokens"))
 
 
 def _opened(classes: DataFrame) -> DataFrame:
-    """All links between classes (rep, comp, tokens) of different components, by the token-group matrix."""
-    active = _crossing(classes)
+    """All links that connect classes (rep, comp, tokens) of different components.
+
+    First rounds of centres: what they link becomes one component, whose tokens then cross no more. What is left, classes
+    that hold tokens of others without a link to their centre, goes through the token-group matrix.
+    """
+    active = _crossing(classes.select("rep", "comp", F.size("tokens").alias("n"), "tokens"))
+    active = _crossing(active.withColumnRenamed("cross", "tokens"))  # what went gives fewer tokens that cross
+    found = None
+    while True:
+        links = cut(_verified(_centres(active), active.withColumnRenamed("cross", "tokens")))
+        if links.isEmpty():
+            break
+        found = links if found is None else found.unionByName(links)
+        active = _crossing(_contracted(active, links))
+    last = _matrix_links(active)
+    return last if found is None else found.unionByName(last)
+
+
+def _matrix_links(active: DataFrame) -> DataFrame:
+    """Links between classes of different components: a query meets groups by tokens that are among the rarest of both.
+
+    Two sets of a link have the rarest of their common tokens among the first ``|cross| - needed + 1`` of either, in one
+    order of all tokens; so a group shows those of its members to queries, and its union only to the bound. Classes of the
+    smaller of two components are the queries.
+    """
     sizes = active.groupBy("comp").agg(F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / PART))
-    grouped = active.join(sizes, "comp").withColumn("part", part)
-    least = grouped.groupBy("comp", "part").agg(F.min("own").alias("least"))
-    matrix = cut(grouped.select("comp", "part", F.explode("cross").alias("token")).distinct().join(least, ["comp", "part"]))
+    grouped = cut(active.join(sizes, "comp").withColumn("part", part))
+    exploded = grouped.select("rep", "comp", "part", F.explode("cross").alias("token"))
+    matrix = cut(exploded.select("comp", "part", "token").distinct())
     rarity = matrix.groupBy("token").agg(F.count("*").alias("groups"))
-    query = active.select("rep", "comp", "n", "reach", F.explode("cross").alias("token")).join(rarity, "token")
-    ranked = query.groupBy("rep", "comp", "n", "reach").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("cross"))
-    probes = ranked.select(
-        "rep", "comp", "reach", F.explode(F.slice("cross", F.lit(1), (F.size("cross") - _needed("n") + 1).cast("int"))).alias("probe")
-    ).select("rep", "comp", "reach", F.col("probe.token").alias("token"))
-    groups = matrix.select(F.col("comp").alias("other"), "part", "least", F.col("token").alias("held"))
-    meets = (F.col("token") == F.col("held")) & (F.col("comp") != F.col("other")) & (F.col("least") <= F.col("reach"))
-    met = probes.join(groups, meets).select("rep", "other", "part").distinct()
-    unions = matrix.groupBy(F.col("comp").alias("other"), "part").agg(F.collect_list("token").alias("held"))
-    bound = met.join(active.select("rep", "n", "cross"), "rep").join(unions, ["other", "part"])
-    open_ = bound.where(F.size(F.array_intersect("cross", "held")) >= _needed("n")).select("rep", "other", "part")
-    members = grouped.select(F.col("comp").alias("other"), "part", F.col("rep").alias("dst"))
-    pairs = open_.join(members, ["other", "part"]).select(F.col("rep").alias("src"), "dst")
-    return _verified(pairs, classes)
+    ranked = exploded.join(rarity, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("order"))
+    shown = F.slice("order", F.lit(1), (F.size("order") - _needed("n") + 1).cast("int"))
+    probes = cut(
+        grouped.join(ranked, "rep")
+        .select("rep", "comp", "part", "members", "n", "reach", F.explode(shown).alias("probe"))
+        .select("rep", "comp", "part", "members", "n", "reach", F.col("probe.token").alias("token"))
+    )
+    groups = probes.groupBy(F.col("token").alias("held"), F.col("members").alias("of"), F.col("comp").alias("other"), F.col("part").alias("place")).agg(
+        F.min("n").alias("least"), F.max("reach").alias("most")
+    )
+    smaller = F.struct("members", "comp") < F.struct(F.col("of").alias("members"), F.col("other").alias("comp"))
+    near = (PERCENT * F.col("least") <= F.col("reach")) & (PERCENT * F.col("n") <= F.col("most"))
+    met = probes.join(groups, (F.col("token") == F.col("held")) & smaller & near).select("rep", "other", "place").distinct()
+    unions = matrix.groupBy(F.col("comp").alias("other"), F.col("part").alias("place")).agg(F.collect_list("token").alias("held"))
+    bound = met.join(active.select("rep", "n", "cross"), "rep").join(unions, ["other", "place"])
+    open_ = bound.where(F.size(F.array_intersect("cross", "held")) >= _needed("n")).select("rep", "other", "place")
+    members = grouped.select(F.col("comp").alias("other"), F.col("part").alias("place"), F.col("rep").alias("dst"))
+    pairs = open_.join(members, ["other", "place"]).select(F.col("rep").alias("src"), "dst")
+    return _verified(pairs, active.withColumnRenamed("cross", "tokens"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,12 +264,13 @@ def representatives(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> Da
     Ids that go are broadcast if there are at most ``most_broadcast``, so texts aren't shuffled again; else they are joined.
     """
     found = cut(near_duplicates(docs))
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct()
     side = F.broadcast(gone) if gone.count() <= most_broadcast else gone
-    kept = docs.join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if repeated_ids(found).isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    inner = ["doc_id" if c == "doc_id" else f"c{i}" for i, c in enumerate(docs.columns)]
+    kept = docs.toDF(*inner).join(side, F.col("doc_id") == F.col("gone"), "left_anti")
+    if not repeated_ids(found).isEmpty():
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    return kept.toDF(*docs.columns)
 
 
 def repeated_ids(sets: DataFrame) -> DataFrame:
