@@ -33,17 +33,18 @@ class Chunks:
     bits: int
 
 
-def chunked(docs: DataFrame, carried: tuple[str, ...] = ()) -> Chunks:
-    """Whole texts of ``docs`` (doc_id, text and ``carried``), dealt by hash to chunks of about ``CHUNK_BYTES``.
+def chunked(docs: DataFrame, carried: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES) -> Chunks:
+    """Whole texts of ``docs`` (doc_id, text and ``carried``), dealt by hash to chunks of about ``chunk_bytes``.
 
     The number of chunks follows the bytes of the table, so a chunk is as large at any scale; one text is never split.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(2 * partitions, -(-size // CHUNK_BYTES))
+    count = max(2 * partitions, -(-size // chunk_bytes))
+    buckets = max(2 * partitions, -(-size // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("chunk")
     df = docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
-    return Chunks(df, max(1, (count - 1).bit_length() - 2))
+    return Chunks(df, max(1, (buckets - 1).bit_length() - 2))
 
 
 def in_batches(docs: DataFrame, function: Callable, extra: str = "") -> DataFrame:

@@ -30,6 +30,8 @@ from siteledger.llm import chunks as C
 from siteledger.llm.hashing import PLACE, SLICE, doubling, mix, sliding_min
 
 LENGTH = 50
+#: A worker holds a few arrays of 8 bytes for every position of a chunk.
+CHUNK_BYTES = 2 << 20
 _RANK = np.dtype("<u4")
 _SEGMENT = np.dtype([("k", "<u4"), ("s", "<u8"), ("d", "<i8")])
 _STRING = np.dtype([("k", "<u8"), ("d", "<i8")])
@@ -178,6 +180,18 @@ class _Chunk:
         return which, each, _reduce((self.string[self.low[which] + each],), self.doc[which])
 
 
+def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` positions a run covers; overlapping runs are joined first, so one byte a position is enough."""
+    edges = np.zeros(n + 1, np.int8)
+    if len(begin):
+        order = np.argsort(begin, kind="stable")
+        begin, reach = begin[order], np.maximum.accumulate(end[order])
+        new = np.concatenate(([True], begin[1:] > reach[:-1]))
+        edges[begin[new]] = 1
+        edges[reach[np.append(new[1:], True)]] = -1
+    return np.cumsum(edges, dtype=np.int8)[:n].astype(bool)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Each text without the bytes that a ``LENGTH``-byte string of a document with a smaller doc_id covers.
 
@@ -219,7 +233,7 @@ def _whole_characters(text: bytes, removed: np.ndarray) -> bytes:
 
 def _removed(docs: DataFrame, carried: tuple[str, ...]) -> DataFrame:
     """The rows of ``remove_repeats``; with ``carried``, that column as it is and kept in whole characters."""
-    chunks = C.chunked(docs, carried)
+    chunks = C.chunked(docs, carried, CHUNK_BYTES)
     shift = 64 - chunks.bits - 32
     schema = SCHEMA + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
 
@@ -250,9 +264,7 @@ def _removed(docs: DataFrame, carried: tuple[str, ...]) -> DataFrame:
         lost = (said[place] == 1) | (chunk.doc[which] > least[place]) if len(place) else np.empty(0, bool)
         begin = np.concatenate((chunk.low[gone], (chunk.low[which] + each)[lost])).astype(np.int64)
         end = np.concatenate((chunk.high[gone], (chunk.low[which] + each)[lost])).astype(np.int64) + LENGTH
-        n = len(chunk.runs.data)
-        depth = np.bincount(begin, minlength=n + 1)[: n + 1] - np.bincount(end, minlength=n + 1)[: n + 1]
-        removed = np.cumsum(depth)[:n] > 0
+        removed = _covered(begin, end, len(chunk.runs.data))
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "alive")}
         nulls = rows.column("text").is_null().to_pylist()
         for a, b, text, null in zip(chunk.runs.offsets[:-1], chunk.runs.offsets[1:], chunk.texts, nulls, strict=True):
@@ -269,9 +281,10 @@ def _removed(docs: DataFrame, carried: tuple[str, ...]) -> DataFrame:
         plain = pa.table({"doc_id": rows.column("doc_id"), **out}).cast(_ARROW)
         return plain.append_column("carried", rows.column("carried")) if carried else plain
 
-    one = C.exchange(chunks, 1, ranks, _shared, _RANK)
-    two = C.exchange(chunks, 2, segments, _settle_segments, _SEGMENT, one)
-    three = C.exchange(chunks, 3, strings, _settle_strings, _STRING, one.unionByName(two))
+    plain = C.Chunks(chunks.df.drop(*carried), chunks.bits)
+    one = C.exchange(plain, 1, ranks, _shared, _RANK)
+    two = C.exchange(plain, 2, segments, _settle_segments, _SEGMENT, one)
+    three = C.exchange(plain, 3, strings, _settle_strings, _STRING, one.unionByName(two))
     return C.with_answers(chunks, one.unionByName(two).unionByName(three), finish, schema)
 
 
