@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from siteledger.llm import chunks as C
 from siteledger.llm.hashing import PLACE, mix, shingles
 from siteledger.operators.components import connected_components
-from siteledger.session import cut
+from siteledger.session import cut, release
 
 WIDTH = 5
 PERCENT = 80
@@ -140,7 +140,9 @@ def _crossing(classes: DataFrame) -> DataFrame:
     near = lambda x: (PERCENT * x["n"] <= F.col("reach")) & (PERCENT * F.col("n") <= x["reach"])
     partner = F.exists("options", lambda x: near(x) & ((x["low"] != F.col("comp")) | (x["high"] != F.col("comp"))))
     usable = tokens.join(options, "token").where(partner).groupBy("rep", "comp", "n").agg(F.collect_list("token").alias("cross"))
-    return cut(usable.where(F.size("cross") >= _needed("n")).withColumn("reach", _reach()))
+    left = cut(usable.where(F.size("cross") >= _needed("n")).withColumn("reach", _reach()))
+    release(enough)
+    return left
 
 
 def _reach() -> Column:
@@ -179,16 +181,19 @@ def _opened(classes: DataFrame) -> DataFrame:
     First rounds of centres: what they link becomes one component, whose tokens then cross no more. What is left, classes
     that hold tokens of others without a link to their centre, goes through the token-group matrix.
     """
-    active = _crossing(classes.select("rep", "comp", F.size("tokens").alias("n"), "tokens"))
-    active = _crossing(active.withColumnRenamed("cross", "tokens"))  # what went gives fewer tokens that cross
+    first = _crossing(classes.select("rep", "comp", F.size("tokens").alias("n"), "tokens"))
+    active = _crossing(first.withColumnRenamed("cross", "tokens"))  # what went gives fewer tokens that cross
+    release(first)
     found = None
     while True:
         links = cut(_verified(_centres(active), active.withColumnRenamed("cross", "tokens")))
         if links.isEmpty():
             break
         found = links if found is None else found.unionByName(links)
-        active = _crossing(_contracted(active, links))
-    last = _matrix_links(active)
+        before, active = active, _crossing(_contracted(active, links))
+        release(before)
+    last = cut(_matrix_links(active))
+    release(active)
     return last if found is None else found.unionByName(last)
 
 
@@ -233,25 +238,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blank text has an empty set and no link. component_id is the smallest doc_id reachable by links. Rows of one doc_id
     are one node. A row without doc_id takes part in no link and has no component_id. Other columns are ignored.
     """
-    sets = cut(_sets(docs.select("doc_id", "text")))
-    alive = sets.where("tokens IS NOT NULL AND doc_id IS NOT NULL")
+    whole = cut(_sets(docs.select("doc_id", "text")))
     signature = ["sig_a", "sig_b", "n_shingles"]
-    classes = cut(
-        alive.groupBy(*signature).agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("hashes").alias("hashes"))
+    full = cut(
+        whole.where("tokens IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy(*signature)
+        .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("hashes").alias("hashes"))
     )
+    # Tokens are most of the bytes: they stay on disk only as long as they are read.
+    sets = cut(whole.select("doc_id", *signature, (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("alive")))
+    release(whole)
+    alive = sets.where("alive")
+    classes = cut(full.select(*signature, "rep"))
     # Rows of one doc_id with different texts are one node.
-    twins = alive.join(classes.select(*signature, "rep"), signature).where("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    twins = alive.join(classes, signature).where("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     repeated = alive.groupBy("doc_id").agg(F.min("sig_a").alias("low"), F.max("sig_a").alias("high")).where("low != high").select(F.col("doc_id").alias("src"))
     twins = twins.join(repeated, "src", "left_semi")
-    stars = cut(_stars(classes))
+    stars = cut(_stars(full))
     first = connected_components(stars).withColumnRenamed("node", "rep")
-    placed = cut(classes.join(first, "rep", "left").select("rep", "tokens", F.coalesce("component", "rep").alias("comp")))
+    placed = cut(full.join(first, "rep", "left").select("rep", "tokens", F.coalesce("component", "rep").alias("comp")))
+    release(full)
     links = stars.unionByName(_opened(placed)).unionByName(twins)
+    release(placed)
     final = connected_components(links)
-    named = classes.select(*signature, F.col("rep").alias("node")).join(final, "node", "left").select(*signature, F.coalesce("component", "node").alias("component_id"))
+    named = classes.withColumnRenamed("rep", "node").join(final, "node", "left").select(*signature, F.coalesce("component", "node").alias("component_id"))
     found = alive.join(named, signature).select("doc_id", "n_shingles", "component_id")
     # A repeated doc_id belongs to one component, also for rows whose own text has no partner.
-    rest = sets.where("tokens IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles")
+    rest = sets.where("NOT alive").select("doc_id", "n_shingles")
     same = repeated_ids(sets)
     moved = found.join(same, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     rest = rest.join(moved, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
