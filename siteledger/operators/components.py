@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.session import cut
+from siteledger.session import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if summary == seen or summary[0] == 0:
             break
         seen = summary
-        current = cut(_small_star(_large_star(current)))
+        before, current = current, cut(_small_star(_large_star(current)))
+        release(before)
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
