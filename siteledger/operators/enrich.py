@@ -12,6 +12,7 @@ from siteledger.functions.contacts import clean_phone, normalize_license
 from siteledger.functions.html import page_parts
 from siteledger.functions.text import company_key, join_parts, null_if_empty
 from siteledger.operators.leads import enrichment_targets
+from siteledger.operators.page_filter import possibly_wanted
 from siteledger.operators.upsert import merge_companies
 from siteledger.schemas import RESULT, conform
 from siteledger.session import cut
@@ -163,20 +164,29 @@ def discover_sites(companies: DataFrame, pages: DataFrame, max_candidates: int =
 
 
 def wanted_pages(companies: DataFrame, crawl: DataFrame, max_candidates: int = 6, min_token_len: int = 4) -> DataFrame:
-    """Parsed pages of a crawl (url, html) that ``companies`` can ask for; no other page is parsed or shuffled.
+    """Parsed pages of a crawl (url, html) that ``companies`` can ask for.
 
-    First the home pages and standard paths of known and guessed sites, then what the home pages link to.
+    First the home pages and standard paths of known and guessed sites, then what the home pages link to. A filter of the
+    wanted addresses decides beside the scan which pages are parsed, so html is never shuffled; what it lets through by
+    chance goes after parsing.
     """
     keyed = keyed_pages(crawl)
     known = companies.select(W.normalize_website(F.col("website")).alias("site")).where("site is not null")
     guesses = companies.select(F.explode(W.site_candidates(F.col("name"), max_candidates, min_token_len)).alias("site"))
     sites = known.unionByName(guesses.select(W.normalize_website(F.col("site")).alias("site"))).distinct()
     tries = sites.select(F.explode(W.candidate_urls(F.col("site"))).alias("url"))
-    first = tries.select(W.normalize_website(F.col("url")).alias("page_url")).distinct()
-    home = cut(unique_pages(_parsed(keyed.join(first, "page_url", "left_semi"))))
-    links = home.select(F.explode("links").alias("url")).select(W.normalize_website(F.col("url")).alias("page_url")).distinct()
-    more = keyed.join(links.join(first, "page_url", "left_anti"), "page_url", "left_semi")
-    return cut(home.unionByName(unique_pages(_parsed(more))))
+    first = cut(tries.select(W.normalize_website(F.col("url")).alias("page_url")).where("page_url is not null").distinct())
+    home = _looked_up(keyed, first)
+    links = home.select(F.explode("links").alias("url")).select(W.normalize_website(F.col("url")).alias("page_url")).where("page_url is not null").distinct()
+    more = cut(links.join(first, "page_url", "left_anti"))
+    return cut(home.unionByName(_looked_up(keyed, more)))
+
+
+def _looked_up(keyed: DataFrame, addresses: DataFrame) -> DataFrame:
+    """The newest parsed page of each of ``addresses`` (a written table). Parsed pages are written before they are joined:
+    a join that is pushed below the parser would shuffle html."""
+    parsed = cut(_parsed(possibly_wanted(keyed, addresses)))
+    return unique_pages(parsed.join(addresses, "page_url", "left_semi"))
 
 
 def web_result(companies: DataFrame, crawl: DataFrame, max_candidates: int = 6, min_token_len: int = 4) -> DataFrame:

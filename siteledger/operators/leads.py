@@ -159,6 +159,26 @@ def cities(web: DataFrame) -> DataFrame:
     return web.where(F.length("city") > 0).select("city").distinct().orderBy("city")
 
 
+def web_facets(web: DataFrame) -> DataFrame:
+    """Totals, categories, weeks and cities in one pass over the leads: kind, key, label, monday, n, n_new, with_contact.
+
+    The four groupings are one expand and one aggregate, so the leads are read once however many facets there are.
+    """
+    week = ["week", "week_label", "week_start"]
+    sets = web.groupingSets([[], ["category"], week, ["city"]], "category", *week, "city")
+    by = lambda c: F.grouping(c) == 0
+    kind = F.when(by("category"), "category").when(by("week"), "week").when(by("city"), "city").otherwise("total")
+    counted = sets.agg(
+        kind.alias("kind"),
+        F.count("*").alias("n"),
+        F.count_if("is_new").alias("n_new"),
+        F.count_if(has_contact(F.col("email"), F.col("phone"))).alias("with_contact"),
+    )
+    key = F.coalesce("category", "week", "city")
+    facets = counted.select("kind", key.alias("key"), F.col("week_label").alias("label"), F.col("week_start").alias("monday"), "n", "n_new", "with_contact")
+    return facets.where("kind <> 'city' OR length(key) > 0")
+
+
 def latest_week(web: DataFrame) -> DataFrame:
     """Leads of the newest cohort, found by one tiny aggregate that is joined back."""
     newest = web.agg(F.max_by("week", "week_start").alias("week"))

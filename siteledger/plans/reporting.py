@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siteledger.operators import leads as L
 from siteledger.operators import profile as P
 from siteledger.plans.tables import TODAY, lead_cte, leads, table
+from siteledger.session import scratch_path
+from siteledger.sources import sinks
 
 QUERIES = {}
 ORACLES = {}
@@ -233,3 +235,45 @@ QUERIES["dataset_relevance"] = dataset_relevance
 ORACLES["dataset_relevance"] = """SELECT doc_id, lang FROM documents
     WHERE (contains(lower(text), 'on the') OR contains(replace(lower(text), ' ', ''), 'onthe'))
       AND (contains(lower(text), 'ing the') OR contains(lower(text), 'der'))"""
+
+
+def web_document(spark, sf_dir):
+    """The facet tables of the viewer document, written and read back."""
+    path = scratch_path(spark, "web")
+    target = sinks.write_web_document(_web(spark, sf_dir), path, "1", TODAY)
+    read = lambda name, schema: spark.read.schema(schema).json(f"{target}/{name}")
+    none = F.lit(None)
+    totals = read("totals", "total long, with_contact long, new_count long").select(F.lit("total").alias("kind"), none.cast("string").alias("key"), none.cast("string").alias("label"), F.col("total").alias("n"), F.col("new_count").alias("n_new"), "with_contact")
+    categories = read("categories", "category string, n long, n_new long").select(F.lit("category"), "category", none, "n", "n_new", none)
+    weeks = read("weeks", "week string, label string, monday string, n long").select(F.lit("week"), "week", F.concat_ws(" ", "label", "monday"), "n", none, none)
+    cities = read("cities", "city string").select(F.lit("city"), "city", none, none, none, none)
+    leads_ = read("leads", "category string").select(F.lit("leads"), none, none, F.lit(1), none, none).groupBy().agg(F.count("*").alias("n"))
+    rows = leads_.select(F.lit("leads"), none, none, "n", none, none)
+    return totals.union(categories).union(weeks).union(cities).union(rows)
+
+
+QUERIES["web_document"] = web_document
+ORACLES["web_document"] = _with(
+    """SELECT 'total' AS kind, NULL AS key, NULL AS label, count(*) AS n, count(*) FILTER (WHERE is_new) AS n_new, count(*) FILTER (WHERE email <> '' OR phone <> '') AS with_contact FROM web
+    UNION ALL SELECT 'category', category, NULL, count(*), count(*) FILTER (WHERE is_new), NULL FROM web GROUP BY category
+    UNION ALL SELECT 'week', week, trim(week_label || ' ' || week_start, ' ') || CASE WHEN week_start = '' THEN ' ' ELSE '' END, count(*), NULL, NULL FROM web GROUP BY week, week_label, week_start
+    UNION ALL SELECT DISTINCT 'city', city, NULL, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM web WHERE city <> ''
+    UNION ALL SELECT 'leads', NULL, NULL, count(*), NULL, NULL FROM web""",
+    web=True,
+)
+
+
+def web_facets(spark, sf_dir):
+    """Totals, categories, weeks and cities by grouping sets."""
+    return L.web_facets(_web(spark, sf_dir))
+
+
+QUERIES["web_facets"] = web_facets
+_COUNTS = "count(*) AS n, count(*) FILTER (WHERE is_new) AS n_new, count(*) FILTER (WHERE email <> '' OR phone <> '') AS with_contact FROM web"
+ORACLES["web_facets"] = _with(
+    f"""SELECT 'total' AS kind, NULL AS key, NULL AS label, NULL AS monday, {_COUNTS}
+    UNION ALL SELECT 'category', category, NULL, NULL, {_COUNTS} GROUP BY category
+    UNION ALL SELECT 'week', week, week_label, week_start, {_COUNTS} GROUP BY week, week_label, week_start
+    UNION ALL SELECT 'city', city, NULL, NULL, {_COUNTS} WHERE city <> '' GROUP BY city""",
+    web=True,
+)

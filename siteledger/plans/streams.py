@@ -20,7 +20,7 @@ def stream_week_counts(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = cohorts.run_weekly_counts(spark, stream, "ts", ["event_type"], scratch_path(spark, "weeks"))
+    counts = cohorts.run_weekly_counts(spark, stream, "ts", ["event_type"], scratch_path(spark, "weeks"), None).counts
     return counts.select(F.col("monday").cast("string").alias("monday"), "event_type", "n")
 
 
@@ -28,6 +28,25 @@ QUERIES["stream_week_counts"] = stream_week_counts
 ORACLES["stream_week_counts"] = """SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS monday, event_type, count(*) AS n FROM events GROUP BY 1, 2"""
 
 
+def stream_late(spark, sf_dir):
+    """Events in three deliveries, the last with days that the first two have passed by more than the delay."""
+    schema = table(spark, sf_dir, "events").schema
+    root, events = scratch_path(spark, "late"), table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(schema).parquet(f"{root}/in/*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    for name, part in (("a", "day(ts) BETWEEN 8 AND 15"), ("b", "day(ts) > 15 AND event_id % 3 <> 0"), ("c", "day(ts) < 8 OR (day(ts) > 15 AND event_id % 3 = 0)")):
+        events.where(part).write.parquet(f"{root}/in/{name}")
+        found = cohorts.run_weekly_counts(spark, stream, "ts", ["event_type"], f"{root}/state", "10 days")
+    return found.counts.select(F.col("monday").cast("string").alias("monday"), "event_type", "n", F.lit(found.arrived).alias("arrived"), F.lit(found.late).alias("late"))
+
+
+QUERIES["stream_late"] = stream_late
+ORACLES["stream_late"] = """WITH e AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS monday, day(ts) < 8 OR (day(ts) > 15 AND event_id % 3 = 0) AS third FROM events),
+ mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 DAY AS passed FROM e WHERE NOT third),
+ k AS (SELECT e.*, third AND monday + INTERVAL 7 DAY <= passed AS late FROM e, mark)
+ SELECT CAST(monday AS VARCHAR) AS monday, event_type, count(*) AS n, (SELECT count(*) FROM k)::BIGINT AS arrived, (SELECT count(*) FROM k WHERE late)::BIGINT AS late
+ FROM k WHERE NOT late GROUP BY monday, event_type"""
+
+
 def stream_distinct(spark, sf_dir):
     """Two deliveries of the events, streamed; repeats are dropped with bounded state."""
     schema = table(spark, sf_dir, "events").schema

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.operators import leads as L
+from siteledger.session import cut
 
 
 def write_export(rows: DataFrame, path: str, run: str, formats: tuple[str, ...] = ("parquet",)) -> str:
@@ -24,14 +25,16 @@ def write_export(rows: DataFrame, path: str, run: str, formats: tuple[str, ...]
 
 
 def write_web_document(web: DataFrame, path: str, run: str, today: str, window_days: int = 7) -> str:
-    """The viewer document: leads as JSON lines in their order, facets as small tables."""
+    """The viewer document: leads as JSON lines in their order, facets as small tables from one pass over the leads."""
     target = f"{path.rstrip('/')}/run={run}"
     L.new_first(web).write.mode("overwrite").json(f"{target}/leads")
+    found = cut(L.web_facets(web))
+    of = lambda kind: found.where(F.col("kind") == kind)
     facets = {
-        "totals": L.web_totals(web).withColumns({"generated_at": F.lit(today), "new_window_days": F.lit(window_days)}),
-        "categories": L.category_facets(web),
-        "weeks": L.week_cohorts(web),
-        "cities": L.cities(web),
+        "totals": of("total").select(F.col("n").alias("total"), "with_contact", F.col("n_new").alias("new_count"), F.lit(today).alias("generated_at"), F.lit(window_days).alias("new_window_days")),
+        "categories": of("category").select(F.col("key").alias("category"), "n", "n_new").orderBy("category"),
+        "weeks": of("week").select(F.col("key").alias("week"), "label", "monday", "n").orderBy(F.desc("monday")),
+        "cities": of("city").select(F.col("key").alias("city")).orderBy("city"),
     }
     for name, frame in facets.items():
         frame.write.mode("overwrite").json(f"{target}/{name}")
