@@ -32,6 +32,21 @@ def enrichment_targets(leads: DataFrame, category: str | None = None) -> DataFra
     return exportable(leads, category).where("company_name is null or (email is null and phone is null)")
 
 
+def _batch(rows: DataFrame, limit: int | None) -> DataFrame:
+    ordered = rows.orderBy(*LEAD_ORDER)
+    return ordered.limit(limit) if limit else ordered
+
+
+def unclassified(projects: DataFrame, limit: int | None = None) -> DataFrame:
+    """Projects without a category by id, at most ``limit`` of them where one is given."""
+    return _batch(projects.where("category is null"), limit)
+
+
+def enrichment_batch(leads: DataFrame, limit: int | None = None, category: str | None = None) -> DataFrame:
+    """Enrichment targets by id, at most ``limit`` of them where one is given."""
+    return _batch(enrichment_targets(leads, category), limit)
+
+
 def lead_order(leads: DataFrame) -> DataFrame:
     """Category, newest project date first, newest record first."""
     return leads.orderBy(
@@ -127,11 +142,14 @@ def web_leads(leads: DataFrame, today: str, window_days: int = 7, cap: int | Non
     )
 
 
+def newness() -> list[Column]:
+    """New leads first, then by project date and first-seen day, newest first; a total order."""
+    return [F.desc("is_new"), F.desc("date"), F.desc("first_seen"), F.asc("category"), *[F.desc(c) for c in LEAD_ORDER]]
+
+
 def new_first(web: DataFrame) -> DataFrame:
-    """New leads first, then by project date and first-seen day, newest first."""
-    return web.orderBy(
-        F.desc("is_new"), F.desc("date"), F.desc("first_seen"), F.asc("category"), *[F.desc(c) for c in LEAD_ORDER]
-    )
+    """Leads by ``newness``."""
+    return web.orderBy(*newness())
 
 
 def web_totals(web: DataFrame) -> DataFrame:

@@ -58,6 +58,74 @@ def dataset_verdicts(columns: DataFrame, **words) -> DataFrame:
     )
 
 
+# The lines of the discovery report.
+REPORT_TITLE = "# Source Discovery Report"
+SOME_CONTRACTOR = "**Has contractor-shaped fields — promote to sources.yaml after manual review.**"
+NO_CONTRACTOR = "_No contractor-shaped dataset found._"
+
+
+def findings_rows(findings: DataFrame) -> DataFrame:
+    """Findings with their verdict, as the rows of the JSON report.
+
+    ``findings`` has city, county, source_kind, title, dataset_url, api_url, domain, contractor_fields, owner_fields and
+    notes (arrays), sample_field_count and latest_date.
+    """
+    has = F.coalesce(F.size("contractor_fields") > 0, F.lit(False))
+    verdict = F.when(has, "candidate").when(F.size("owner_fields") > 0, "owner-only").otherwise("no-contact-fields")
+    return findings.withColumn("has_contractor", has).withColumn("verdict", verdict)
+
+
+def findings_lines(findings: DataFrame) -> DataFrame:
+    """The markdown report as rows: city, part, source_kind, title, dataset_url, line_no (which order them) and line.
+
+    Cities follow each other by name, findings of a city by kind, title and address. A finding makes its own lines, a city
+    its heading from one aggregate, so no city is gathered. Part -1 is the title, 0 a heading, 1 a finding, 2 a city's end.
+    """
+    rows = findings_rows(findings)
+    name = F.coalesce("city", F.lit(""))
+    place = ["city", "part", "source_kind", "title", "dataset_url"]
+    none = F.lit(None).cast("string")
+
+    def lines(*made: Column) -> list[Column]:
+        return [F.posexplode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("line_no", "line")]
+
+    def listed(label: str, column: str, between: str) -> Column:
+        return F.when(F.size(column) > 0, F.concat(F.lit(f"  - {label}: "), F.array_join(column, between)))
+
+    def said(label: str, column: str) -> Column:
+        return F.when(F.length(column) > 0, F.concat(F.lit(f"  - {label}: "), column))
+
+    cities = rows.groupBy(name.alias("city")).agg(
+        F.min_by("county", F.struct("source_kind", "title", "dataset_url")).alias("county"), F.max("has_contractor").alias("some")
+    )
+    county = F.when(F.length("county") > 0, F.concat(F.lit(" ("), "county", F.lit(")"))).otherwise("")
+    fixed = lambda part: ["city", F.lit(part).alias("part"), *[none.alias(c) for c in place[2:]]]
+    heads = cities.select(
+        *fixed(0),
+        *lines(F.concat(F.lit("## "), "city", county), F.when(F.col("some"), SOME_CONTRACTOR).otherwise(NO_CONTRACTOR), F.when(F.col("some"), "")),
+    )
+    ends = cities.select(*fixed(2), *lines(F.lit("")))
+    title = F.concat(F.lit("- **"), F.coalesce("source_kind", F.lit("")), F.lit("** · "), "verdict", F.lit(" · "), F.coalesce("title", F.lit("")))
+    items = rows.select(
+        name.alias("city"), F.lit(1).alias("part"), *place[2:],
+        *lines(
+            title,
+            said("API", "api_url"),
+            listed("contractor fields", "contractor_fields", ", "),
+            listed("owner/applicant fields", "owner_fields", ", "),
+            said("latest record date", "latest_date"),
+            listed("notes", "notes", "; "),
+        ),
+    )
+    top = rows.groupBy().agg(F.lit("").alias("city")).select(*fixed(-1), *lines(F.lit(REPORT_TITLE), F.lit("")))
+    return top.unionAll(heads).unionAll(items).unionAll(ends)
+
+
+def report_order() -> list[Column]:
+    """The order of ``findings_lines``: the title first, then city by city."""
+    return [F.asc(F.col("part") >= 0), *[F.asc(c) for c in ("city", "part", "source_kind", "title", "dataset_url", "line_no")]]
+
+
 def is_relevant(city: Column, haystack: Column, terms: tuple[str, ...] = PERMIT_TERMS) -> Column:
     """The text names the city (spaces do not count) and a permit term."""
     text, place = F.lower(haystack), F.lower(city)

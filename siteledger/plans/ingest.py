@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger import config as C
-from siteledger.functions import dates
+from siteledger.functions import dates, geo
 from siteledger.functions.payload import flat_fields
 from siteledger.operators import contacts as K
+from siteledger.operators import regions
 from siteledger.operators.normalize import normalize
 from siteledger.plans.tables import ORDERS_SQL, orders_with_customers, table, wide_table
 from siteledger.sources import files, records
@@ -421,3 +422,37 @@ QUERIES["recent_records"] = recent_records
 ORACLES["recent_records"] = f"""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'soon' WHEN o_orderpriority = '5-LOW' THEN NULL
     ELSE CAST({_DAY} AS VARCHAR) END AS d FROM orders)
     SELECT * FROM r WHERE d IS NULL OR d = 'soon' OR d >= '2000-01-01'"""
+
+
+# Places of customers: most name a city of a region, some another state, some a ZIP only.
+_PLACE_SQL = {
+    "city": "CASE WHEN c_custkey % 5 = 0 THEN 'San  Jose!' WHEN c_custkey % 5 = 1 THEN 'St. Helena' WHEN c_custkey % 5 = 2 THEN 'Aptos' WHEN c_custkey % 5 = 3 THEN c_mktsegment END",
+    "zip": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat(CAST(90000 + (c_custkey * 37) % 9000 AS STRING), '-1234') END",
+    "state": "CASE WHEN c_nationkey % 4 = 0 THEN 'ca' WHEN c_nationkey % 4 = 1 THEN 'NV' WHEN c_nationkey % 4 = 2 THEN '' END",
+}
+_LOW = "CAST(90000 + (s_suppkey * 91) % 9000 AS INT)"
+_HIGH = f"CAST({_LOW} + s_suppkey % 120 - 3 AS INT)"
+_OWN_REGION = "concat('district-', CAST(s_nationkey AS STRING))"
+_OWN_STATE = "CASE WHEN s_nationkey % 2 = 0 THEN 'CA' ELSE 'NV' END"
+
+
+def region_table(spark, sf_dir):
+    """Customers in the two named regions and in districts of ZIP ranges, one range a supplier."""
+    named = {n: geo.REGIONS[n] for n in ("bay_area", "san_jose_50mi")}
+    cities, ranges = regions.named_regions(spark, named)
+    districts = table(spark, sf_dir, "supplier").selectExpr(f"{_OWN_REGION} AS region", f"{_OWN_STATE} AS state", f"{_LOW} AS low", f"{_HIGH} AS high")
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", *[f"{e} AS {n}" for n, e in _PLACE_SQL.items()])
+    return regions.with_regions(rows, cities, ranges.unionByName(districts)).select("c_custkey", "region")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+
+
+QUERIES["region_table"] = region_table
+ORACLES["region_table"] = f"""WITH p AS (SELECT c_custkey, {', '.join(f'{e} AS {n}' for n, e in _PLACE_SQL.items())} FROM customer),
+ r(region, state, low, high) AS (VALUES {_values((n, 'CA', a, b) for n in ('bay_area', 'san_jose_50mi') for a, b in geo.REGIONS[n].zip_ranges)}
+   UNION ALL SELECT {_OWN_REGION}, {_OWN_STATE}, {_LOW}, {_HIGH} FROM supplier),
+ c(region, city) AS (VALUES {_values((n, c) for n in ('bay_area', 'san_jose_50mi') for c in geo.REGIONS[n].cities)})
+ SELECT c_custkey, region FROM p JOIN r ON CAST(left(zip, 5) AS INT) BETWEEN low AND high AND (coalesce(p.state, '') = '' OR upper(p.state) = r.state)
+ UNION SELECT c_custkey, region FROM p JOIN c ON trim(regexp_replace(lower(p.city), '[^a-z0-9 ]', '', 'g')) = c.city AND (coalesce(p.state, '') = '' OR upper(p.state) = 'CA')"""

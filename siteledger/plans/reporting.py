@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteledger.operators import leads as L
+from siteledger.operators import paging
 from siteledger.operators import profile as P
 from siteledger.plans.tables import TODAY, lead_cte, leads, table
 from siteledger.session import scratch_path
@@ -277,3 +278,100 @@ ORACLES["web_facets"] = _with(
     UNION ALL SELECT 'city', city, NULL, NULL, {_COUNTS} WHERE city <> '' GROUP BY city""",
     web=True,
 )
+
+
+def unclassified_batch(spark, sf_dir):
+    """The first 500 (the batch is the feature) leads without a category, by id."""
+    return L.unclassified(leads(spark, sf_dir), 500).select("source", "source_record_id", "category")
+
+
+QUERIES["unclassified_batch"] = unclassified_batch
+ORACLES["unclassified_batch"] = _with(
+    "SELECT source, source_record_id, category FROM leads WHERE category IS NULL ORDER BY source, source_record_id LIMIT 500"
+)
+
+
+def enrichment_batch(spark, sf_dir):
+    """The first 200 (the batch is the feature) office leads that need contacts, by id."""
+    return L.enrichment_batch(leads(spark, sf_dir), 200, "OFFICE_LAB").select("source", "source_record_id", "company_key")
+
+
+QUERIES["enrichment_batch"] = enrichment_batch
+ORACLES["enrichment_batch"] = _with(
+    f"""SELECT source, source_record_id, company_key FROM leads WHERE {_TARGETS} AND category = 'OFFICE_LAB'
+    ORDER BY source, source_record_id LIMIT 200"""
+)
+
+_PAGE = ("source_record_id", "company", "category", "city", "date", "first_seen", "is_new", "week")
+
+
+def lead_page_directory(spark, sf_dir):
+    """The middle page (a page is the feature) of all leads, new ones first, by a directory of ranges."""
+    directory = paging.write_directory(_web(spark, sf_dir), L.newness(), scratch_path(spark, "pages"), 16)
+    return paging.read_page(spark, directory, directory.pages(50) // 2, 50).select("row_no", *_PAGE)
+
+
+QUERIES["lead_page_directory"] = lead_page_directory
+ORACLES["lead_page_directory"] = _with(
+    f"""SELECT row_no, {', '.join(_PAGE)} FROM (SELECT *, row_number() OVER (ORDER BY is_new DESC, date DESC, first_seen DESC, category,
+      source DESC, source_record_id DESC) - 1 AS row_no, (SELECT greatest(1, ceil(count(*) / 50.0) // 2) FROM web) AS page FROM web)
+    WHERE row_no // 50 = page - 1""",
+    web=True,
+)
+
+
+def _findings(spark, sf_dir):
+    """Brands as data sets of a city (the part type), part names as their columns, prices as their dates."""
+    part = table(spark, sf_dir, "part")
+    named = part.select(F.concat_ws("/", "p_type", "p_brand").alias("dataset"), F.col("p_name").alias("column")).distinct()
+    verdicts = P.dataset_verdicts(named, contractor=("red widget", "hot bolt"), owner=("cold gear",))
+    fields = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+    city, brand = F.split_part("dataset", F.lit("/"), F.lit(1)), F.split_part("dataset", F.lit("/"), F.lit(2))
+    return verdicts.select(
+        city.alias("city"), F.when(city != "ECONOMY", F.lower(city)).otherwise("").alias("county"), F.lit("catalog").alias("source_kind"),
+        brand.alias("title"), F.concat(F.lit("https://data.example.gov/"), "dataset").alias("dataset_url"),
+        F.when(brand != "Brand#7", F.concat(F.lit("https://data.example.gov/api/"), "dataset")).alias("api_url"), F.lit("data.example.gov").alias("domain"),
+        fields(F.replace("contractor_fields", F.lit(" "), F.lit("_"))).alias("contractor_fields"), fields(F.replace("owner_fields", F.lit(" "), F.lit("_"))).alias("owner_fields"),
+        F.col("field_count").alias("sample_field_count"), F.when(brand == "Brand#3", "2001-01-01").alias("latest_date"),
+        F.when(brand == "Brand#5", F.array(F.lit("slow"), F.lit("old"))).otherwise(F.array().cast("array<string>")).alias("notes"),
+    )
+
+
+def discovery_report(spark, sf_dir):
+    """The lines of the markdown report with what orders them."""
+    return P.findings_lines(_findings(spark, sf_dir))
+
+
+_FOUND = """n AS (SELECT p_type AS city, p_brand AS title, replace(p_name, ' ', '_') AS c FROM part),
+ v AS (SELECT city, title, coalesce(list_sort(list(DISTINCT c) FILTER (c IN ('red_widget', 'hot_bolt'))), []) AS cf,
+   coalesce(list_sort(list(DISTINCT c) FILTER (c = 'cold_gear')), []) AS ow, count(DISTINCT c) AS n,
+   CASE WHEN city <> 'ECONOMY' THEN lower(city) ELSE '' END AS county, 'https://data.example.gov/' || city || '/' || title AS url,
+   CASE WHEN title <> 'Brand#7' THEN 'https://data.example.gov/api/' || city || '/' || title END AS api,
+   CASE WHEN title = 'Brand#3' THEN '2001-01-01' END AS latest, CASE WHEN title = 'Brand#5' THEN ['slow', 'old'] ELSE [] END AS notes FROM n GROUP BY 1, 2),
+ f AS (SELECT *, CASE WHEN len(cf) > 0 THEN 'candidate' WHEN len(ow) > 0 THEN 'owner-only' ELSE 'no-contact-fields' END AS verdict FROM v)"""
+_NO_ITEM = "NULL AS source_kind, NULL AS title, NULL AS dataset_url"
+QUERIES["discovery_report"] = discovery_report
+ORACLES["discovery_report"] = f"""WITH {_FOUND},
+ c AS (SELECT city, min(county) AS county, max(len(cf)) > 0 AS has_some FROM f GROUP BY 1),
+ l AS (SELECT '' AS city, -1 AS part, {_NO_ITEM}, ['# Source Discovery Report', ''] AS lines
+  UNION ALL SELECT city, 0, {_NO_ITEM}, ['## ' || city || CASE WHEN county <> '' THEN ' (' || county || ')' ELSE '' END] ||
+    CASE WHEN has_some THEN ['**Has contractor-shaped fields — promote to sources.yaml after manual review.**', ''] ELSE ['_No contractor-shaped dataset found._'] END FROM c
+  UNION ALL SELECT city, 1, 'catalog', title, url, list_filter(['- **catalog** · ' || verdict || ' · ' || title, '  - API: ' || api,
+    CASE WHEN len(cf) > 0 THEN '  - contractor fields: ' || array_to_string(cf, ', ') END, CASE WHEN len(ow) > 0 THEN '  - owner/applicant fields: ' || array_to_string(ow, ', ') END,
+    '  - latest record date: ' || latest, CASE WHEN len(notes) > 0 THEN '  - notes: ' || array_to_string(notes, '; ') END], lambda x: x IS NOT NULL) FROM f
+  UNION ALL SELECT city, 2, {_NO_ITEM}, [''] FROM c)
+ SELECT city, part, source_kind, title, dataset_url, i - 1 AS line_no, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)"""
+
+
+def discovery_rows(spark, sf_dir):
+    """The JSON rows of the discovery report, written and read back."""
+    target = sinks.write_findings(_findings(spark, sf_dir), scratch_path(spark, "findings"), "1")
+    schema = "city string, county string, source_kind string, title string, dataset_url string, api_url string, has_contractor boolean, contractor_fields array<string>, owner_fields array<string>, sample_field_count long, latest_date string, verdict string, notes array<string>"
+    joined = {c: F.array_join(c, ",") for c in ("contractor_fields", "owner_fields", "notes")}
+    return spark.read.schema(schema).json(f"{target}/rows").withColumns(joined)
+
+
+QUERIES["discovery_rows"] = discovery_rows
+ORACLES["discovery_rows"] = f"""WITH {_FOUND} SELECT city, county, 'catalog' AS source_kind, title, url AS dataset_url, api AS api_url, len(cf) > 0 AS has_contractor,
+  coalesce(array_to_string(cf, ','), '') AS contractor_fields, coalesce(array_to_string(ow, ','), '') AS owner_fields, n AS sample_field_count, latest AS latest_date, verdict,
+  coalesce(array_to_string(notes, ','), '') AS notes FROM f"""

@@ -10,6 +10,7 @@ from siteledger import schemas as S
 from siteledger.functions.payload import content_hash
 from siteledger.functions.rules import classify
 from siteledger.operators import classify as CL
+from siteledger.operators import rule_table as RT
 from siteledger.operators import upsert as U
 from siteledger.plans.tables import ORDERS_SQL, orders_with_customers, table, wide_table
 
@@ -324,3 +325,28 @@ ORACLES["refine_other"] = f"""WITH c AS ({ORACLES['classify_rules'].replace('SEL
     CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') AND NOT contains(p_name, 'hot') THEN 'GC_SUBCONTRACT' ELSE category END AS category,
     CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') AND NOT contains(p_name, 'hot') THEN 0.7 ELSE confidence END AS confidence,
     CASE WHEN category = 'OTHER' AND contains(p_name, 'bolt') AND NOT contains(p_name, 'hot') THEN 'judge' ELSE reason END AS reason FROM c"""
+
+
+# Rules of the corpus itself: the first two words of a text are a phrase, its language the category.
+_OPENING = "^([A-Za-z]+ [A-Za-z]+)"
+
+
+def classify_rule_table(spark, sf_dir):
+    """Whole document texts by a table of as many phrases as there are opening words."""
+    docs = table(spark, sf_dir, "documents")
+    opening = F.regexp_extract(F.substring("text", 1, 80), _OPENING, 1)
+    rules = docs.select(
+        (F.col("doc_id") % 97).alias("rule_no"), F.col("doc_id").alias("phrase_no"), F.coalesce("lang", F.lit("OTHER")).alias("category"),
+        (F.lit(0.5) + (F.col("doc_id") % 4) / 8).alias("confidence"), opening.alias("phrase"),
+    ).where("phrase <> ''")
+    return RT.classify_by_table(docs, ["doc_id"], "text", rules)
+
+
+QUERIES["classify_rule_table"] = classify_rule_table
+ORACLES["classify_rule_table"] = r"""WITH o AS (SELECT doc_id % 97 AS rule_no, doc_id AS phrase_no, coalesce(lang, 'OTHER') AS category, 0.5 + (doc_id % 4) / 8.0 AS confidence,
+    lower(regexp_extract(left(text, 80), '^([A-Za-z]+ [A-Za-z]+)', 1)) AS phrase FROM documents),
+ p AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+') AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, w[i] || w[i + 1] || w[i + 2] AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
+ h AS (SELECT g.doc_id, arg_min({'c': category, 'f': confidence, 'p': o.phrase}, (rule_no, phrase_no)) AS r FROM g JOIN o ON g.phrase = o.phrase AND o.phrase <> '' GROUP BY 1)
+ SELECT d.doc_id, coalesce(r.c, 'OTHER') AS category, CAST(coalesce(r.f, 0.55) AS DOUBLE) AS confidence,
+   coalesce('Matched \b' || r.p || '\b', 'No high-confidence rule matched') AS reason FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.operators import leads as L
+from siteledger.operators import profile as P
 from siteledger.session import cut
 
 
@@ -41,6 +42,14 @@ def write_web_document(web: DataFrame, path: str, run: str, today: str, window_d
     return target
 
 
+def write_findings(findings: DataFrame, path: str, run: str) -> str:
+    """The discovery report: markdown lines in order, part files by name, and the findings as JSON rows."""
+    target = f"{path.rstrip('/')}/run={run}"
+    P.findings_lines(findings).orderBy(*P.report_order()).select("line").write.mode("overwrite").text(f"{target}/markdown")
+    P.findings_rows(findings).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{target}/rows")
+    return target
+
+
 def point_latest(spark, path: str, run: str) -> None:
     """Record ``run`` as the newest one under ``path``; readers follow ``latest``."""
     spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/latest")
