@@ -239,7 +239,8 @@ def blocks(html: str) -> Iterator[Block]:
 
 #: Features of a block, in the order of the table's columns.
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "furniture")
-# The labelled table: features as above, then 1 for content. Blocks of pages with and without an article element.
+# The labelled table: features as above, then 1 for content. Blocks of pages with and without an article element; where no
+# mark speaks, words and link density of a block and its neighbours have to tell.
 LABELLED = (
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0), (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0), (14, 0.0, 20, 0.0, 60, 0.0, 0, 1, 0),
     (40, 0.0, 80, 0.0, 30, 0.0, 0, 1, 0), (120, 0.0, 60, 0.0, 90, 0.0, 0, 1, 0), (25, 0.1, 90, 0.0, 0, 0.0, 0, 1, 0), (6, 0.3, 50, 0.0, 0, 0.0, 0, 1, 0),
@@ -250,12 +251,33 @@ LABELLED = (
     (2, 0.0, 4, 1.0, 3, 1.0, 1, 0, 1), (7, 0.5, 2, 1.0, 2, 1.0, 1, 0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1), (12, 0.0, 25, 0.6, 9, 0.4, 1, 0, 1),
     (5, 1.0, 6, 0.9, 30, 0.3, 1, 0, 1), (18, 0.2, 3, 0.8, 4, 0.7, 1, 0, 1), (90, 0.0, 2, 1.0, 5, 0.9, 1, 0, 1), (3, 0.0, 70, 0.2, 14, 0.5, 1, 0, 1),
     (10, 0.9, 60, 0.0, 3, 1.0, 1, 0, 1), (28, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1), (6, 0.7, 8, 0.6, 0, 0.0, 1, 0, 1), (15, 0.0, 15, 1.0, 22, 0.2, 1, 0, 1),
-    (45, 0.0, 12, 0.0, 60, 0.0, 0, 0, 1), (80, 0.1, 30, 0.0, 40, 0.1, 0, 0, 1), (130, 0.0, 5, 0.0, 100, 0.0, 0, 0, 1), (25, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1),
-    (18, 0.1, 50, 0.0, 35, 0.0, 0, 0, 1), (12, 0.0, 70, 0.0, 80, 0.0, 0, 0, 1), (9, 0.0, 30, 0.0, 45, 0.0, 0, 0, 1), (7, 0.0, 6, 0.0, 55, 0.0, 0, 0, 1),
-    (16, 0.0, 40, 0.1, 25, 0.0, 0, 0, 1), (22, 0.2, 25, 0.0, 90, 0.0, 0, 0, 1), (60, 0.2, 90, 0.0, 3, 0.8, 0, 0, 1), (33, 0.0, 2, 1.0, 41, 0.0, 0, 0, 1),
-    (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (5, 0.9, 2, 1.0, 40, 0.0, 0, 0, 0), (12, 0.8, 70, 0.0, 10, 0.9, 0, 0, 0), (40, 0.7, 4, 1.0, 6, 1.0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (4, 0.0, 3, 0.9, 5, 0.0, 0, 0, 0), (2, 0.0, 4, 0.0, 3, 0.5, 0, 0, 0), (5, 0.5, 90, 0.0, 6, 0.7, 0, 0, 0),
-    (25, 0.6, 30, 0.0, 8, 0.8, 0, 0, 0), (6, 0.0, 3, 0.4, 4, 0.2, 0, 0, 0), (15, 0.5, 12, 0.6, 20, 0.5, 0, 0, 0), (4, 0.4, 60, 0.0, 2, 1.0, 0, 0, 0),
+    # Blocks of pages without an article element, as they stand: headings, first, middle, last and the shortest ones.
+    (10, 0.0, 8, 0.0, 51, 0.0, 0, 0, 1), (51, 0.0, 10, 0.0, 8, 0.0, 0, 0, 1), (8, 0.0, 51, 0.0, 11, 0.0, 0, 0, 1), (36, 0.0, 11, 0.0, 32, 0.0, 0, 0, 1),
+    (25, 0.0, 52, 0.0, 11, 0.0, 0, 0, 1), (9, 0.0, 8, 0.0, 12, 0.0, 0, 0, 1), (12, 0.0, 9, 0.0, 9, 0.0, 0, 0, 1), (39, 0.0, 9, 0.0, 8, 0.0, 0, 0, 1),
+    (8, 0.0, 39, 0.0, 20, 0.0, 0, 0, 1), (8, 0.0, 20, 0.0, 8, 0.0, 0, 0, 1), (2, 0.0, 5, 0.0, 2, 0.0, 0, 0, 1), (2, 0.0, 2, 0.0, 11, 0.0, 0, 0, 1),
+    (11, 0.0, 8, 0.0, 17, 0.0, 0, 0, 1), (17, 0.0, 11, 0.0, 143, 0.0, 0, 0, 1), (189, 0.0, 31, 0.0, 43, 0.0, 0, 0, 1), (22, 0.0, 51, 0.0, 11, 0.0, 0, 0, 1),
+    (8, 0.0, 8, 0.0, 8, 0.0, 0, 0, 1), (8, 0.0, 8, 0.0, 45, 0.0, 0, 0, 1), (1, 0.0, 45, 0.0, 30, 0.0, 0, 0, 1), (47, 0.0, 37, 0.0, 2, 0.0, 0, 0, 1),
+    (1, 0.0, 2, 0.0, 15, 0.0, 0, 0, 1), (8, 0.0, 3, 0.0, 14, 0.0, 0, 0, 1), (11, 0.0, 11, 0.0, 65, 0.0, 0, 0, 1), (65, 0.0, 11, 0.0, 57, 0.0, 0, 0, 1),
+    (3, 0.0, 21, 0.0, 82, 0.0, 0, 0, 1), (61, 0.0, 31, 0.0, 38, 0.0, 0, 0, 1), (1, 0.0, 41, 0.0, 91, 0.0, 0, 0, 1), (64, 0.0, 102, 0.0, 12, 0.0, 0, 0, 1),
+    (7, 0.0, 9, 0.0, 968, 0.0, 0, 0, 1), (968, 0.0, 7, 0.0, 9, 0.0, 0, 0, 1), (9, 0.0, 968, 0.0, 7, 0.0, 0, 0, 1), (6, 0.0, 4, 0.0, 6, 0.0, 0, 0, 1),
+    (6, 0.0, 6, 0.0, 10, 0.0, 0, 0, 1), (10, 0.0, 6, 0.0, 15, 0.0, 0, 0, 1), (11, 0.0, 12, 0.0, 149, 0.0, 0, 0, 1), (149, 0.0, 11, 0.0, 46, 0.0, 0, 0, 1),
+    (46, 0.0, 149, 0.0, 1, 0.0, 0, 0, 1), (1, 0.0, 46, 0.0, 76, 0.0, 0, 0, 1), (76, 0.0, 1, 0.0, 9, 0.0, 0, 0, 1), (8, 0.0, 6, 0.0, 12, 0.0, 0, 0, 1),
+    (12, 0.0, 8, 0.0, 8, 0.0, 0, 0, 1), (3, 0.0, 8, 0.0, 38, 0.0, 0, 0, 1), (36, 0.0, 38, 0.0, 28, 0.0, 0, 0, 1), (6, 0.0, 28, 0.0, 25, 0.0, 0, 0, 1),
+    (32, 0.0, 25, 0.0, 13, 0.0, 0, 0, 1), (4, 0.0, 10, 0.0, 4, 0.0, 0, 0, 1), (4, 0.0, 4, 0.0, 47, 0.0, 0, 0, 1), (43, 0.0, 75, 0.0, 95, 0.0, 0, 0, 1),
+    (178, 0.0, 49, 0.0, 10, 0.0, 0, 0, 1), (5, 0.0, 7, 0.0, 5, 0.0, 0, 0, 1), (5, 0.0, 5, 0.0, 15, 0.0, 0, 0, 1),
+    # Lists, captions, linked passages and whole pages of one or two blocks, without an article element.
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (1, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (3, 0.0, 1, 0.0, 40, 0.0, 0, 0, 1), (1, 0.0, 40, 0.0, 40, 0.0, 0, 0, 1),
+    (5, 0.0, 6, 0.0, 4, 0.0, 0, 0, 1), (4, 0.0, 30, 0.0, 5, 0.0, 0, 0, 1), (3, 0.0, 4, 0.0, 0, 0.0, 0, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1),
+    (6, 0.0, 1, 1.0, 45, 0.0, 0, 0, 1), (9, 0.0, 60, 0.0, 1, 1.0, 0, 0, 1), (18, 0.1, 50, 0.0, 35, 0.0, 0, 0, 1), (22, 0.2, 25, 0.0, 90, 0.0, 0, 0, 1),
+    (33, 0.3, 2, 1.0, 41, 0.0, 0, 0, 1), (60, 0.2, 90, 0.0, 3, 0.8, 0, 0, 1), (80, 0.4, 30, 0.0, 40, 0.1, 0, 0, 1), (12, 0.3, 70, 0.0, 80, 0.0, 0, 0, 1),
+    (45, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1), (25, 0.1, 1, 1.0, 2, 1.0, 0, 0, 1), (14, 0.4, 55, 0.1, 30, 0.0, 0, 0, 1), (28, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
+    (3, 0.0, 60, 0.0, 2, 1.0, 0, 0, 1), (2, 0.0, 40, 0.0, 1, 1.0, 0, 0, 1), (5, 0.0, 12, 0.0, 3, 1.0, 0, 0, 1), (2, 0.0, 4, 0.0, 1, 1.0, 0, 0, 1),
+    # What isn't content where no mark says so: linked blocks, and short ones among linked blocks.
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0),
+    (5, 0.9, 2, 1.0, 40, 0.0, 0, 0, 0), (12, 0.8, 70, 0.0, 10, 0.9, 0, 0, 0), (40, 0.7, 4, 1.0, 6, 1.0, 0, 0, 0), (4, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0),
+    (25, 0.6, 30, 0.0, 8, 0.8, 0, 0, 0), (7, 0.6, 90, 0.0, 6, 0.7, 0, 0, 0), (15, 0.7, 12, 0.6, 20, 0.7, 0, 0, 0), (2, 1.0, 2, 0.0, 2, 1.0, 0, 0, 0),
+    (1, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 0.0, 3, 0.9, 4, 0.9, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
+    (6, 0.2, 3, 1.0, 2, 0.8, 0, 0, 0), (3, 0.3, 5, 0.9, 1, 1.0, 0, 0, 0), (60, 0.8, 20, 0.0, 35, 0.0, 0, 0, 0), (3, 0.7, 50, 0.0, 50, 0.0, 0, 0, 0),
 )
 
 

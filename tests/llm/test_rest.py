@@ -197,6 +197,51 @@ def test_page_without_article():
     assert kept.count("\n\n") == 3 and "Home" not in kept and "Next page" not in kept
 
 
+def grown_plainly(rows, x, depth=6):
+    """The decision for ``x`` by a tree written out anew: at every step all splits of all features are tried."""
+    labels = [r[-1] for r in rows]
+    if depth == 0 or len(set(labels)) == 1:
+        return 2 * sum(labels) > len(labels)
+    scored = []
+    for f in range(len(x)):
+        values = sorted({r[f] for r in rows})
+        for at in [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]:
+            parts = [[r[-1] for r in rows if (r[f] > at) == side] for side in (False, True)]
+            scored.append((sum(sum(p) * (len(p) - sum(p)) / len(p) for p in parts), -f, -at))
+    if not scored:
+        return 2 * sum(labels) > len(labels)
+    _, f, at = min((round(g, 9), f, at) for g, f, at in scored)
+    return grown_plainly([r for r in rows if (r[-f] > -at) == (x[-f] > -at)], x, depth - 1)
+
+
+def test_tree_agrees_with_a_plain_one():
+    tree, rnd = html_blocks.grow(html_blocks.LABELLED), random.Random(8)
+    for row in html_blocks.LABELLED:
+        assert tree.content(row[:-1]) == bool(row[-1])
+    for _ in range(60):
+        x = tuple(v for _ in range(3) for v in (rnd.randrange(80), rnd.choice((0.0, 0.2, 0.5, 0.7, 1.0)))) + (rnd.randrange(2), rnd.randrange(2))
+        assert tree.content(x) == grown_plainly(html_blocks.LABELLED, x), x
+
+
+def test_short_blocks_without_article():
+    tree, long = html_blocks.grow(html_blocks.LABELLED), sentence(random.Random(4), 40)
+    kept = lambda page: html_blocks.main_text(page, tree)
+    assert kept("<p>Hello world</p>") == "Hello world"
+    assert kept(f"<body><h1>Head</h1><p>One two three.</p><p>{long}</p><p>Four.</p><p>{long}</p>").split("\n\n") == ["Head", "One two three.", long, "Four.", long]
+    assert kept(f"<h2>Steps</h2><p>{long}</p><ul><li>One</li><li>Two more</li></ul><p>The end.</p>").split("\n\n") == ["Steps", long, "One", "Two more", "The end."]
+    menu = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News of today</a></li></ul>'
+    assert kept(f"<div>{menu}</div><div>Topics</div><div>{menu}</div><p>{long}</p><p>The end.</p><div>{menu}</div>").split("\n\n") == [long, "The end."]
+
+
+def test_given_pages_without_their_article_element(spark):
+    tree = html_blocks.grow(html_blocks.LABELLED)
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    whole = [html_blocks.main_text(h, tree) for h in pages]
+    bare = [html_blocks.main_text(re.sub(r"<(/?)article\b", r"<\1div", h), tree) for h in pages]
+    same = sum(len(a) for a, b in zip(whole, bare, strict=True) if a == b)
+    assert same >= 0.98 * sum(map(len, whole)) > 0
+
+
 def test_wrappers_of_an_article_are_not_furniture():
     tree = html_blocks.grow(html_blocks.LABELLED)
     kept = lambda page: html_blocks.main_text(page, tree)

@@ -25,7 +25,7 @@ def test_pages_by_directory(spark, tmp_path):
     whole = paging.read_page(spark, directory, 1, 2000).collect()
     assert [r["k"] for r in whole] == list(range(1002, -1, -1))
     plan = paging.read_page(spark, directory, 10, 50)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [range_no" in plan and "PartitionFilters: []" not in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*range_no", plan)
     empty = paging.write_directory(rows.where("false"), [F.desc("k")], str(tmp_path / "e"), 3)
     assert empty.total == 0 and empty.pages(50) == 1
 
