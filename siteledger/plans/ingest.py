@@ -456,3 +456,30 @@ ORACLES["region_table"] = f"""WITH p AS (SELECT c_custkey, {', '.join(f'{e} AS {
  c(region, city) AS (VALUES {_values((n, c) for n in ('bay_area', 'san_jose_50mi') for c in geo.REGIONS[n].cities)})
  SELECT c_custkey, region FROM p JOIN r ON CAST(left(zip, 5) AS INT) BETWEEN low AND high AND (coalesce(p.state, '') = '' OR upper(p.state) = r.state)
  UNION SELECT c_custkey, region FROM p JOIN c ON trim(regexp_replace(lower(p.city), '[^a-z0-9 ]', '', 'g')) = c.city AND (coalesce(p.state, '') = '' OR upper(p.state) = 'CA')"""
+
+
+def typed_details(spark, sf_dir):
+    """Search results with numbers and nested contacts merged with nested details: types and inner values of what comes out."""
+    orders = table(spark, sf_dir, "orders")
+    found = orders.selectExpr(
+        """to_json(named_struct('CaseId', o_orderkey, 'Total', CAST(o_orderkey % 100 AS DOUBLE) + 0.5, '_contacts',
+        array(named_struct('name', o_orderpriority, 'main', o_orderstatus = 'F')), 'detail_Priority', 'old')) AS payload"""
+    )
+    details = orders.where("o_orderstatus <> 'P'").selectExpr(
+        "o_orderkey AS case_id", "to_json(named_struct('Result', named_struct('Priority', o_orderpriority, 'Place', named_struct('Zip', o_custkey, 'Open', o_orderstatus = 'O')))) AS response"
+    )
+    merged = records.merge_details(found, details).select(F.try_parse_json("payload").alias("v"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    return merged.select(
+        get("$.CaseId", "long").alias("case_id"), get("$.Total", "double").alias("total"), get("$._contacts[0].name", "string").alias("contact"),
+        get("$._contacts[0].main", "boolean").alias("main"), get("$.detail_Priority", "string").alias("priority"), get("$.detail_Place.Zip", "long").alias("place_zip"),
+        get("$.detail_Place.Open", "boolean").alias("place_open"),
+        *[F.regexp_extract(F.schema_of_variant(get(f"$.{k}", "variant")), "^[A-Z]+", 0).alias(n) for k, n in (("CaseId", "id_type"), ("_contacts", "contact_type"), ("detail_Place", "place_type"))],
+    )
+
+
+QUERIES["typed_details"] = typed_details
+ORACLES["typed_details"] = """SELECT o_orderkey AS case_id, CAST(o_orderkey % 100 AS DOUBLE) + 0.5 AS total, o_orderpriority AS contact, o_orderstatus = 'F' AS main,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority ELSE 'old' END AS priority, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS place_zip,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'O' END AS place_open, 'BIGINT' AS id_type, 'ARRAY' AS contact_type,
+    CASE WHEN o_orderstatus <> 'P' THEN 'OBJECT' END AS place_type FROM orders"""

@@ -25,6 +25,9 @@ PLACE = (
     .add("streetAddress2", T.StringType())
 )
 
+#: An object whose values keep their types.
+TYPED = "map<string,variant>"
+
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Whole response documents, one per landed file (a response page is small by construction)."""
@@ -101,13 +104,22 @@ def permit_array(
     return _identified(joined, name, cfg, cfg.source_url_template, contact=True)
 
 
+def _day_value(value: Column) -> Column:
+    """The day of an epoch number in a variant, as a variant; a number that is none stays as text."""
+    day = dates.epoch_ms_day(F.try_variant_get(value, "$", "string"))
+    return F.try_parse_json(F.concat(F.lit('"'), day, F.lit('"')))
+
+
 def feature_layer(name: str, cfg: C.SourceConfig, responses: DataFrame, since: str | None = None) -> DataFrame:
-    """Feature responses: attributes flattened, numeric project dates turned from epoch ms to ISO days; from ``since`` on."""
+    """Feature responses: attributes flattened, numeric project dates turned from epoch ms to ISO days; from ``since`` on.
+
+    Other values keep their types: numbers, booleans, lists and objects stay what they are in the payload.
+    """
     parsed = responses.select(F.try_parse_json("response").alias("doc"))
     features = parsed.select(
         F.explode(F.try_variant_get("doc", "$.features", "array<variant>")).alias("feature")
     ).select(F.try_variant_get("feature", "$.attributes", "variant").alias("attributes"))
-    values = F.from_json(F.to_json("attributes"), T.MapType(T.StringType(), T.StringType()))
+    values = F.try_variant_get("attributes", "$", TYPED)
     numeric = [
         F.when(
             F.schema_of_variant(F.try_variant_get("attributes", f"$['{field}']", "variant")).rlike(
@@ -120,7 +132,7 @@ def feature_layer(name: str, cfg: C.SourceConfig, responses: DataFrame, since: s
     converted = features.withColumn("_dates", F.array_compact(F.array(*numeric))).withColumn(
         "_map",
         F.transform_values(
-            values, lambda k, v: F.when(F.array_contains(F.col("_dates"), k), dates.epoch_ms_day(v)).otherwise(v)
+            values, lambda k, v: F.when(F.array_contains(F.col("_dates"), k), _day_value(v)).otherwise(v)
         ),
     )
     records = converted.select(P.canonical_json(F.to_json("_map", {"ignoreNullFields": "false"})).alias("payload"))
@@ -141,9 +153,9 @@ def portal(name: str, cfg: C.SourceConfig, responses: DataFrame, since: str | No
 def merge_details(records: DataFrame, details: DataFrame) -> DataFrame:
     """Records left-joined with their detail document, whose keys get the prefix ``detail_``.
 
-    ``details`` holds ``case_id`` and ``response``; the detail object sits under ``Result``.
+    ``details`` holds ``case_id`` and ``response``; the detail object sits under ``Result``. Values of both sides keep
+    their types, nested ones too; a detail key replaces a record's key of the same name.
     """
-    flat = T.MapType(T.StringType(), T.StringType())
     case = P.flat_fields(F.col("payload"), ["CaseId", "PermitId"])
     left = records.withColumn("_case", first_present(case["CaseId"], case["PermitId"]))
     result = F.to_json(F.try_variant_get(F.try_parse_json("response"), "$.Result", "map<string,variant>"))
@@ -155,8 +167,8 @@ def merge_details(records: DataFrame, details: DataFrame) -> DataFrame:
     )
     joined = left.join(right, "_case", "left").withColumns(
         {
-            "_base": F.from_json("payload", flat),
-            "_more": F.transform_keys(F.from_json("_detail", flat), lambda k, v: F.concat(F.lit("detail_"), k)),
+            "_base": F.try_variant_get(F.try_parse_json("payload"), "$", TYPED),
+            "_more": F.transform_keys(F.try_variant_get(F.try_parse_json("_detail"), "$", TYPED), lambda k, v: F.concat(F.lit("detail_"), k)),
         }
     )
     kept = F.map_filter("_base", lambda k, v: ~F.map_contains_key(F.col("_more"), k))

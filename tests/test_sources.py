@@ -190,3 +190,19 @@ def test_batch_can_run_again(spark, tmp_path):
     assert [(r["category"], r["company_key"]) for r in projects.collect()] == [("HOSPITALITY_REMODEL", "a and b")]
     assert incremental.Snapshots(spark, f"{root}/watermarks", S.WATERMARK).before().first()["watermark"] == "1"
     assert incremental.Snapshots(spark, f"{root}/raw", S.RAW).before().where("changed").count() == 0
+
+
+def test_values_keep_their_types(spark):
+    found = [('{"CaseId": 7, "n": 1.5, "_contacts": [{"name": "A", "main": true}], "detail_x": "old"}',), ('{"PermitId": "p", "none": null}',)]
+    details = [(7, '{"Result": {"x": {"deep": [1, 2]}, "ok": false, "nothing": null}}'), (9, '{"Result": {"x": 1}}'), (8, "broken")]
+    merged = records.merge_details(spark.createDataFrame(found, "payload string"), spark.createDataFrame(details, "case_id int, response string"))
+    got = sorted((json.loads(r["payload"]) for r in merged.collect()), key=len)
+    assert got == [
+        {"PermitId": "p", "none": None},
+        {"CaseId": 7, "n": 1.5, "_contacts": [{"name": "A", "main": True}], "detail_x": {"deep": [1, 2]}, "detail_ok": False, "detail_nothing": None},
+    ]
+    cfg = C.SourceConfig(type=C.FEATURE_LAYER, name="x", jurisdiction="y", field_map=C.FieldMap(record_id="id", permit_number=None, project_date=("day", "other")))
+    response = '{"features": [{"attributes": {"id": 5, "day": 1704067200000, "other": "soon", "size": 2.5, "open": true, "tags": ["a"], "none": null}}]}'
+    raw = records.feature_layer("x", cfg, spark.createDataFrame([(response,)], "response string")).first()
+    assert json.loads(raw["payload"]) == {"id": 5, "day": "2024-01-01", "other": "soon", "size": 2.5, "open": True, "tags": ["a"], "none": None}
+    assert raw["source_record_id"] == "5"
