@@ -14,7 +14,8 @@ from siteledger.operators import contacts as K
 from siteledger.operators import regions
 from siteledger.operators.normalize import normalize
 from siteledger.plans.tables import ORDERS_SQL, orders_with_customers, table, wide_table
-from siteledger.sources import files, records
+from siteledger.session import scratch_path
+from siteledger.sources import files, landing, records
 
 QUERIES = {}
 ORACLES = {}
@@ -483,3 +484,53 @@ ORACLES["typed_details"] = """SELECT o_orderkey AS case_id, CAST(o_orderkey % 10
     CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority ELSE 'old' END AS priority, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS place_zip,
     CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'O' END AS place_open, 'BIGINT' AS id_type, 'ARRAY' AS contact_type,
     CASE WHEN o_orderstatus <> 'P' THEN 'OBJECT' END AS place_type FROM orders"""
+
+
+_PLAIN = C.FieldMap(record_id="id", permit_number="no", description=("work",), address=("place",), project_date=("on",), city="town")
+
+
+def _plain(kind: str, name: str, **more) -> C.SourceConfig:
+    return C.SourceConfig(type=kind, name=name, jurisdiction="Springfield", field_map=_PLAIN, **more)
+
+
+# Source -> (configuration, table, id, text of the work, response around the record, day after which it is read).
+_KINDS = {
+    "array": (_plain(C.PERMIT_ARRAY, "array"), "customer", "c_custkey", "c_name", "array({})", "2001-07-01"),
+    "catalog": (_plain(C.PORTAL, "catalog", record_path="result.records"), "supplier", "s_suppkey", "s_name", "named_struct('result', named_struct('records', array({})))", None),
+    "civic": (_plain(C.PORTAL_ACCELA, "civic", record_path="result"), "part", "p_partkey", "p_name", "named_struct('result', array({}))", "2001-07-02"),
+    "search": (
+        replace(_plain(C.PORTAL_DETAIL, "search", detail_url_template="https://search.example.gov/{CaseId}"), field_map=replace(_PLAIN, record_id="CaseId", description=("detail_Work", "work"))),
+        "orders", "o_orderkey", "o_orderpriority", "named_struct('Result', named_struct('EntityResults', array({})))", "2001-07-01",
+    ),
+}
+
+
+def all_sources(spark, sf_dir):
+    """All six kinds of sources landed in one table, each read from its own day on, as one project table."""
+    path = scratch_path(spark, "landing")
+    configs = {"features": FEATURE_CONFIG, "notices": NOTICE_CONFIG} | {n: k[0] for n, k in _KINDS.items()}
+    landing.land(_feature_responses(spark, sf_dir), path, "features", F.lit("2001-07-01"))
+    landing.land(notice_responses(spark, sf_dir), path, "notices", F.lit("2001-07-01"))
+    for name, (_, of, key, work, around, _) in _KINDS.items():
+        record = f"named_struct('id', {key}, 'CaseId', {key}, 'no', concat('N-', {key}), 'work', {work}, 'place', concat({key}, ' Main'), 'on', '2001-07-04', 'town', 'lake side')"
+        rows = table(spark, sf_dir, of).selectExpr(f"to_json({around.format(record)}) AS response", f"date_add(DATE'2001-07-01', CAST({key} % 3 AS INT)) AS day")
+        landing.land(rows, path, name, F.col("day"))
+    details = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS case_id", "to_json(named_struct('Result', named_struct('Work', CASE WHEN o_orderstatus = 'F' THEN concat('Detail ', o_orderstatus) END))) AS response"
+    )
+    after = {n: k[-1] for n, k in _KINDS.items() if k[-1]}
+    return landing.read_projects(spark, path, configs, after, {"search": {"details": details}}).select(
+        "source", "source_record_id", "description", "project_date", "address", "city"
+    )
+
+
+def _kind_sql(name: str, of: str, key: str, work: str, after: str | None) -> str:
+    text = f"CASE WHEN o_orderstatus = 'F' THEN 'Detail F' ELSE {work} END" if name == "search" else work
+    later = f" WHERE {key} % 3 >= {int(after[-1])}" if after else ""
+    return f"SELECT '{name}', CAST({key} AS VARCHAR), {text}, '2001-07-04', concat({key}, ' Main'), 'Lake Side' FROM {of}{later}"
+
+
+QUERIES["all_sources"] = all_sources
+ORACLES["all_sources"] = f"""SELECT 'features' AS source, source_record_id, description, project_date, address, city FROM ({ORACLES['feature_layer_permits']})
+    UNION ALL SELECT 'notices', source_record_id, description, project_date, address, city FROM ({ORACLES['normalize_notices']})
+    UNION ALL {' UNION ALL '.join(_kind_sql(n, k[1], k[2], k[3], k[5]) for n, k in _KINDS.items())}"""

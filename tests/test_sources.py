@@ -9,7 +9,7 @@ from siteledger import schemas as S
 from siteledger.operators import contacts as K
 from siteledger.operators import upsert as U
 from siteledger.operators.normalize import companies_of, normalize
-from siteledger.sources import files, records
+from siteledger.sources import files, landing, records
 from siteledger.streaming import incremental
 
 
@@ -206,3 +206,26 @@ def test_values_keep_their_types(spark):
     raw = records.feature_layer("x", cfg, spark.createDataFrame([(response,)], "response string")).first()
     assert json.loads(raw["payload"]) == {"id": 5, "day": "2024-01-01", "other": "soon", "size": 2.5, "open": True, "tags": ["a"], "none": None}
     assert raw["source_record_id"] == "5"
+
+
+def test_landing_reads_new_folders_only(spark, tmp_path):
+    path, one_day = str(tmp_path / "landing"), lambda *texts: spark.createDataFrame([(t,) for t in texts], "response string")
+    landing.land(one_day("a1", "a2"), path, "a", F.lit("2024-01-01"))
+    landing.land(one_day("b1"), path, "b", F.lit("2024-01-03"))
+    counted = []
+
+    def run():
+        query = landing.landed_stream(spark, path).writeStream.foreachBatch(lambda df, n: counted.append(sorted(r["response"] for r in df.collect())))
+        query.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    landing.land(one_day("a3"), path, "a", F.lit("2024-01-02"))
+    new = landing.landed(spark, path, "a", "2024-01-01")
+    assert [r["response"] for r in new.collect()] == ["a3"]
+    assert sorted(r["response"] for r in landing.landed(spark, path, "a").collect()) == ["a1", "a2", "a3"]
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "Location: InMemoryFileIndex" in plan and "(day#" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    run()
+    run()
+    assert [x for x in counted if x] == [["a1", "a2", "b1"], ["a3"]]
+    assert {r["source"]: str(r["day"]) for r in landing.watermarks(spark, path).collect()} == {"a": "2024-01-02", "b": "2024-01-03"}
