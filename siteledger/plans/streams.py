@@ -8,8 +8,8 @@ from siteledger import config as C
 from siteledger import schemas as S
 from siteledger.plans.tables import table
 from siteledger.session import scratch_path
-from siteledger.sources import records
-from siteledger.streaming import cohorts, incremental
+from siteledger.sources import landing, records
+from siteledger.streaming import cohorts, incremental, keyed_state
 
 QUERIES = {}
 ORACLES = {}
@@ -113,3 +113,49 @@ ORACLES["stream_upsert"] = """SELECT CAST(c_custkey AS VARCHAR) AS source_record
     CASE WHEN c_acctbal < 0 AND c_mktsegment <> 'BUILDING' THEN 'hotel for ' ELSE 'office for ' END || c_name AS description, 'OFFICE_LAB' AS category,
     lower(c_name) AS company_key, c_mktsegment AS address, '2001-07-01 00:00:00' AS first_seen,
     CASE WHEN c_acctbal < 0 AND c_mktsegment <> 'BUILDING' THEN '2001-07-02 00:00:00' ELSE '2001-07-01 00:00:00' END AS last_seen FROM customer"""
+
+
+_SUPPLIERS = C.SourceConfig(
+    type=C.PERMIT_ARRAY,
+    name="suppliers",
+    jurisdiction="Lake City",
+    field_map=C.FieldMap(record_id="id", permit_number="id", description=("what",), address=("where",), project_date=("day",), company_name="who"),
+)
+
+
+def stream_state(spark, sf_dir):
+    """Two kinds of sources in three deliveries: revisions and sightings of every record, its project and category."""
+    root = scratch_path(spark, "state")
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    customers = "to_json(named_struct('items', array(named_struct('id', c_custkey, 'what', concat({}, ' for ', c_name), 'where', c_mktsegment, 'day', '2001-07-01', 'who', c_name))))"
+    suppliers = "to_json(array(named_struct('id', s_suppkey, 'what', concat({}, ' for ', s_name), 'where', s_name, 'day', '2001-07-01', 'who', s_name)))"
+    moved = "CASE WHEN c_acctbal < 0 THEN 'hotel' ELSE 'office' END"
+    deliveries = {
+        "2001-07-01": [("customers", customer, customers.format("'office'"))],
+        "2001-07-02": [("customers", customer.where("c_mktsegment <> 'BUILDING'"), customers.format(moved)), ("suppliers", supplier, suppliers.format("'office'"))],
+        "2001-07-03": [("customers", customer.where("c_custkey % 2 = 0"), customers.format("'office'")), ("suppliers", supplier.where("s_suppkey % 2 = 0"), suppliers.format("'hotel'"))],
+    }
+    configs = {"customers": _CONFIG}
+    for day, parts in deliveries.items():
+        for source, rows, response in parts:
+            landing.land(rows.selectExpr(f"{response} AS response"), f"{root}/in", source, F.lit(day))
+        if any(source == "suppliers" for source, _, _ in parts):  # a source that comes later
+            configs["suppliers"] = _SUPPLIERS
+        keyed_state.run_sources(spark, f"{root}/in", configs, f"{root}/out", F.lit(day).cast("timestamp"))
+    key = ["source", "source_record_id"]
+    sightings = spark.read.parquet(f"{root}/out/records/*/*").groupBy(*key).agg(F.count("*").alias("sightings"))
+    known = keyed_state.records_table(spark, f"{root}/out").join(sightings, key)
+    known = known.select(*key, "revision", "sightings", *[F.col(c).cast("string").alias(c) for c in ("first_seen", "last_seen")])
+    return known.join(keyed_state.projects_table(spark, f"{root}/out").select(*key, "description", "category", "company_key"), key)
+
+
+QUERIES["stream_state"] = stream_state
+ORACLES["stream_state"] = """WITH c AS (SELECT *, c_mktsegment <> 'BUILDING' AS second, c_custkey % 2 = 0 AS third FROM customer),
+ k AS (SELECT *, second AND c_acctbal < 0 AS moved, third AND second AND c_acctbal < 0 AS back FROM c)
+ SELECT 'customers' AS source, CAST(c_custkey AS VARCHAR) AS source_record_id, CAST(1 + moved::INT + back::INT AS BIGINT) AS revision,
+  CAST(1 + second::INT + third::INT AS BIGINT) AS sightings, '2001-07-01 00:00:00' AS first_seen,
+  CASE WHEN third THEN '2001-07-03' WHEN second THEN '2001-07-02' ELSE '2001-07-01' END || ' 00:00:00' AS last_seen,
+  CASE WHEN moved AND NOT back THEN 'hotel for ' ELSE 'office for ' END || c_name AS description, 'OFFICE_LAB' AS category, lower(c_name) AS company_key FROM k
+ UNION ALL SELECT 'suppliers', CAST(s_suppkey AS VARCHAR), 1 + (s_suppkey % 2 = 0)::INT, 1 + (s_suppkey % 2 = 0)::INT, '2001-07-02 00:00:00',
+  CASE WHEN s_suppkey % 2 = 0 THEN '2001-07-03' ELSE '2001-07-02' END || ' 00:00:00',
+  CASE WHEN s_suppkey % 2 = 0 THEN 'hotel for ' ELSE 'office for ' END || s_name, 'OFFICE_LAB', lower(s_name) FROM supplier"""

@@ -31,12 +31,29 @@ def landed(spark: SparkSession, path: str, source: str, after: str | None = None
     return (rows.where(F.col("day") > F.lit(after).cast("date")) if after else rows).select("response", "day")
 
 
-def landed_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """The table as a stream of (response, source, day); a restart from its checkpoint reads new files only."""
-    reader = spark.readStream.schema(SCHEMA)
+def landed_stream(spark: SparkSession, path: str, files_per_batch: int | None = None, source: str | None = None) -> DataFrame:
+    """The table as a stream of (response, source, day); a restart from its checkpoint reads new files only.
+
+    Of one ``source`` only its own folder is listed.
+    """
+    reader = spark.readStream.schema(SCHEMA if source is None else "response string, day date")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    if source is None:
+        return reader.parquet(path)
+    return reader.parquet(f"{path}/{folder(spark, source)}").select("response", F.lit(source).alias("source"), "day")
+
+
+def folder(spark: SparkSession, source: str) -> str:
+    """The folder of one source, named as Spark names it."""
+    names = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return f"source={names.escapePathName(source)}"
+
+
+def has_landed(spark: SparkSession, path: str, source: str) -> bool:
+    """Whether anything of ``source`` ever landed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder(spark, source)}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def watermarks(spark: SparkSession, path: str) -> DataFrame:

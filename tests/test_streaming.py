@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from siteledger import config as C
 from siteledger.operators import page_filter
 from siteledger.operators import leads as L
 from siteledger.session import cut, scratch_path
-from siteledger.streaming import cohorts
+from siteledger.sources import landing
+from siteledger.streaming import cohorts, keyed_state
 
 
 @pytest.mark.parametrize(("delay", "late"), [(None, 0), ("7 days", 3)])
@@ -66,3 +70,78 @@ def test_facets_read_the_leads_once(spark, tmp_path):
         ("total", None): (3, 1, 2), ("category", "A"): (2, 1, 1), ("category", "B"): (1, 0, 1), ("week", "w1"): (2, 1, 2), ("week", "w2"): (1, 0, 0),
         ("city", "x"): (1, 1, 1), ("city", "y"): (1, 0, 1),
     }
+
+
+def _config(kind, name, **more):
+    fields = C.FieldMap(record_id="id", permit_number="id", description=("what",), address=("where",), project_date=("day",), company_name="who", company_phone="tel")
+    return C.SourceConfig(type=kind, name=name, jurisdiction="Lake City", field_map=fields, **more)
+
+
+def test_state_costs_what_a_delivery_brings(spark):
+    root = scratch_path(spark, "state")
+    configs = {"a b": _config(C.PERMIT_ARRAY, "a b"), "portal": _config(C.PORTAL, "portal", record_path="items"), "silent": _config(C.PORTAL, "silent")}
+
+    def deliver(day, source, *records):
+        bodies = [json.dumps([r] if source == "a b" else {"items": [r]}) for r in records]
+        landing.land(spark.createDataFrame([(b,) for b in bodies], "response string").coalesce(1), f"{root}/in", source, F.lit(day))
+
+    def run(day):
+        keyed_state.run_sources(spark, f"{root}/in", configs, f"{root}/out", F.lit(day).cast("timestamp"))
+
+    def record(number, what, **more):
+        return {"id": number, "what": what, "where": f"{number} Main", "day": "2001-07-01"} | more
+
+    def written():
+        rows = spark.read.parquet(f"{root}/out/records/*/*").collect()
+        return sorted((str(r.last_seen.date()), r.source, r.source_record_id, r.revision, r.changed, r.payload is not None) for r in rows)
+
+    def category(**options):
+        return keyed_state.projects_table(spark, f"{root}/out", **options).where("source_record_id = '3' AND source = 'a b'").first().category
+
+    # A key that most rows of a delivery carry is one row of the log.
+    deliver("2001-07-01", "a b", *[record(1, f"office {k}") for k in range(300)], record(2, "hotel", who="Ann Co", tel="415-555-1234"), record(3, "shop"))
+    run("2001-07-01")
+    first = written()
+    assert [r[1:] for r in first] == [("a b", k, 1, True, True) for k in ("1", "2", "3")]
+    run("2001-07-01")
+    assert written() == first
+    shop = category()
+    # Content that stays is a sighting without values, content that changes a revision; another source comes.
+    deliver("2001-07-02", "a b", record(2, "hotel", who="Ann Co", tel="415-555-1234"), record(3, "restaurant"))
+    deliver("2001-07-02", "portal", record(3, "office", who="Ann Co"))
+    run("2001-07-02")
+    second = [r[1:] for r in written() if r[0] == "2001-07-02"]
+    assert second == [("a b", "2", 1, False, False), ("a b", "3", 2, True, True), ("portal", "3", 1, True, True)]
+    # A changed project keeps its category unless asked otherwise.
+    assert category() == shop != category(reclassify_changed=True) == "RESTAURANT_RETAIL"
+    # Content that returns is a revision as well.
+    deliver("2001-07-03", "a b", record(3, "shop"))
+    run("2001-07-03")
+    known = {(r.source, r.source_record_id): r for r in keyed_state.records_table(spark, f"{root}/out").collect()}
+    assert {k: (r.revision, r.first_seen.day, r.last_seen.day) for k, r in known.items()} == {
+        ("a b", "1"): (1, 1, 1), ("a b", "2"): (1, 1, 2), ("a b", "3"): (3, 1, 3), ("portal", "3"): (1, 2, 2),
+    }
+    assert json.loads(known["a b", "2"].payload)["what"] == "hotel" and json.loads(known["a b", "3"].payload)["what"] == "shop"
+    projects = {(r.source, r.source_record_id): r for r in keyed_state.projects_table(spark, f"{root}/out").collect()}
+    assert projects.keys() == known.keys() and projects["a b", "3"].description == "shop" and projects["a b", "3"].first_seen.day == 1
+    company = keyed_state.companies_table(spark, f"{root}/out", F.lit("2001-07-03").cast("timestamp")).collect()
+    assert [(c.name, c.phone is not None) for c in company] == [("Ann Co", True)]
+
+
+def test_a_failing_source_holds_up_no_other(spark):
+    root = scratch_path(spark, "state")
+    configs = {n: _config(C.PERMIT_ARRAY, n) for n in ("bad", "good")}
+    for name in configs:
+        landing.land(spark.createDataFrame([(json.dumps([{"id": 1, "what": "x"}]),)], "response string"), f"{root}/in", name, F.lit("2001-07-01"))
+    now = F.lit("2001-07-01").cast("timestamp")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out/projects/source=bad")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.create(path).close()  # a file where the log of one source should be
+    with pytest.raises(StreamingQueryException):
+        keyed_state.run_sources(spark, f"{root}/in", configs, f"{root}/out", now)
+    assert spark.read.parquet(f"{root}/out/projects/source=good/*").count() == 1
+    fs.delete(path, True)
+    # The batch that failed comes again, with the state as it was.
+    keyed_state.run_sources(spark, f"{root}/in", configs, f"{root}/out", now)
+    assert {(r.source, r.revision) for r in keyed_state.records_table(spark, f"{root}/out").collect()} == {("bad", 1), ("good", 1)}
+    assert keyed_state.projects_table(spark, f"{root}/out").count() == 2
