@@ -34,8 +34,11 @@ CHANGE = T.StructType(
     [S.RAW[c] for c in [*U.KEY, *_VALUES, "first_seen", "last_seen"]] + [T.StructField("revision", T.LongType()), T.StructField("changed", T.BooleanType())]
 )
 _STATE = "content_hash string, first_seen timestamp, revision long"
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB; a batch commits what it changed, not the whole store.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 class _LastSeen(StatefulProcessor):
@@ -93,8 +96,9 @@ def run_sources(
     """
     names = [n for n in configs if L.has_landed(spark, landing, n)]
     stamp = F.current_timestamp() if now is None else now
-    before, failed = spark.conf.get(_STORE), []
-    spark.conf.set(_STORE, _ROCKSDB)
+    before, failed = {k: spark.conf.get(k, None) for k in _STORE}, []
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         for k in range(0, len(names), at_once):
             for query in [_start(spark, landing, n, configs[n], root, stamp) for n in names[k : k + at_once]]:
@@ -103,7 +107,11 @@ def run_sources(
                 except StreamingQueryException as error:
                     failed.append(error)
     finally:
-        spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     if failed:
         raise failed[0]
 
