@@ -174,3 +174,13 @@ def test_delivery_reads_touched_folders_only(spark):
     S.deliver(spark.createDataFrame(more, SCHEMA), root, buckets=8)
     kept = spark.read.parquet(f"{root}/plan/bucket={block_bucket}").where("block = '100:oak'")
     assert {r["id"]: r["canonical_id"] for r in kept.collect()} == {0: 1000, 1: 1000}
+
+
+def test_titles_too_short_to_prove_are_joined_by_neighbours(spark):
+    """Titles that differ in one long word: no part proves a score of 90, so all pairs went through tiles."""
+    titles = [f"lot {900 + k / 10} nut red small" for k in range(60)]
+    reps = spark.createDataFrame([(f"n{k:03d}", "7:smal", "7 small st", t) for k, t in enumerate(titles)], "node string, block string, address string, title string")
+    links = D._hub_links(reps, 90.0).collect()
+    assert all(token_set_score(titles[int(r.src[1:])], titles[int(r.dst[1:])]) >= 90 for r in links)
+    found = connected_components(spark.createDataFrame(links, "src string, dst string")).collect()
+    assert len(found) == 60 and {r.component for r in found} == {"n000"}
