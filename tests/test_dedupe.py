@@ -184,3 +184,12 @@ def test_titles_too_short_to_prove_are_joined_by_neighbours(spark):
     assert all(token_set_score(titles[int(r.src[1:])], titles[int(r.dst[1:])]) >= 90 for r in links)
     found = connected_components(spark.createDataFrame(links, "src string, dst string")).collect()
     assert len(found) == 60 and {r.component for r in found} == {"n000"}
+
+
+def test_small_blocks_go_to_python_in_batches(spark):
+    """One call for many blocks, not one group each."""
+    rows = [(f"n{b:03d}{k}", f"{b}:oak", f"{b} oak st", title) for b in range(50) for k, title in enumerate(("new roof", "new roofs", "pool"))]
+    reps = spark.createDataFrame(rows, "node string, block string, address string, title string")
+    found = D._block_components(reps, 92.0, 72.0)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((f"n{b:03d}{k}", f"n{b:03d}0") for b in range(50) for k in (0, 1))
