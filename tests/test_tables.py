@@ -120,3 +120,13 @@ def test_page_probe_keeps_pages_that_were_crawled_twice(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = sorted(enrichment.page_probe(spark, str(tmp_path)).select("url", "email", "matches_company").collect(), key=str)
     assert [tuple(r) for r in found] == [("http://acme.example.com/en/1", "a@b.com", True), ("http://acme.example.com/en/1", None, False)]
+
+
+def test_addresses_of_pages_are_computed_once(spark):
+    """The filter on the normal address used to compute it again."""
+    from siteledger.operators import enrich as E
+
+    pages = spark.createDataFrame([("HTTP://A.com/x/?q=1", "a"), (None, "b"), (" b.com", "c")], "url string, html string")
+    keyed = E.keyed_pages(pages)
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    assert sorted((r.page_url, r.html) for r in keyed.collect()) == [("http://a.com/x", "a"), ("https://b.com", "c")]
