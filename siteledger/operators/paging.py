@@ -2,7 +2,7 @@
 
 The rows are written once in range partitions, each numbered from 0, with one directory row a range. A page then reads
 the one range that holds it (two at a border), whatever its number: nothing is skipped row by row and no top-k grows with
-the page. ``ranges`` is a parameter; it should follow the rows, so that a range is what one task reads comfortably.
+the page. The number of ranges follows the rows, so that a range is what one task sorts and reads comfortably.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+ROWS_PER_RANGE = 1 << 18
+
+
 @dataclass(frozen=True)
 class Directory:
     """Where the ordered rows and their directory (range_no, first_row, n_rows) lie, and how many rows there are."""
@@ -24,9 +27,13 @@ class Directory:
         return max(1, -(-self.total // size))
 
 
-def write_directory(rows: DataFrame, order: list[Column], path: str, ranges: int = 64) -> Directory:
-    """Write ``rows`` by ``order``, which has to be total, as range partitions with positions, and their directory."""
+def write_directory(rows: DataFrame, order: list[Column], path: str, ranges: int = 64, rows_per_range: int = ROWS_PER_RANGE) -> Directory:
+    """Write ``rows`` by ``order``, which has to be total, as range partitions with positions, and their directory.
+
+    There are at least ``ranges`` of them, and more where one would get over ``rows_per_range`` rows or so.
+    """
     path = path.rstrip("/")
+    ranges = max(ranges, -(-rows.count() // rows_per_range))
     # The low 33 bits of the running id are the row's place within its task, and a task is one range.
     placed = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
         "*",
