@@ -89,12 +89,13 @@ def exchange(
     record: np.dtype,
     known: DataFrame | None = None,
     facts: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Answers (chunk, step, bucket, reply) to what every chunk asks.
 
     ``emit(rows, known)`` gives a chunk's ascending 64-bit routing keys and one record for each; ``settle`` gets the
     records of a bucket from all chunks and gives an array of answers, one for each record. With ``facts`` (bucket and
-    more columns), ``settle`` gets the bucket's rows of it as well.
+    more columns), ``settle`` gets the bucket's rows of it as well. Few chunks may ask in as few ``tasks``.
     """
     shift, kind = np.uint64(64 - chunks.bits), np.dtype(record)
 
@@ -134,9 +135,10 @@ def exchange(
         asked = own.applyInArrow(lambda rows: send(rows), sent)
     else:
         asked = own.cogroup(known.groupBy("chunk")).applyInArrow(lambda rows, told: send(rows, told), sent)
-    by_bucket = asked.groupBy("bucket")
+    by_bucket = (asked if tasks is None else asked.coalesce(tasks)).groupBy("bucket")
     if facts is None:
-        return by_bucket.applyInArrow(lambda rows: answer(rows), REPLY)
+        answers = by_bucket.applyInArrow(lambda rows: answer(rows), REPLY)
+        return answers if tasks is None else answers.coalesce(tasks)
     return by_bucket.cogroup(facts.groupBy("bucket")).applyInArrow(lambda rows, told: answer(rows, told), REPLY)
 
 

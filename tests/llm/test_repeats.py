@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+
 from siteledger.llm import jaccard, suffix_dedup
 from tests.llm.fixtures import SCHEMA, documents, texts, words
 
@@ -132,3 +134,40 @@ def test_one_row_stays_of_each_group(spark):
     assert kept.columns == docs.columns
     want = sorted(str(c) for d, _, c in set(_components(rows)) if d == c and d is not None) + ["None", "None"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(want)
+
+
+def test_tokens_with_partners():
+    """A token is usable wherever a class of another component within reach has it; a hot token is one record a slot."""
+    rng = np.random.default_rng(3)
+    classes = np.empty(3000, jaccard._RECORD)
+    classes["token"] = rng.integers(0, 400, 3000)
+    classes["n"] = rng.integers(5, 200, 3000)
+    classes["reach"] = 80 * classes["n"] * rng.uniform(0.9, 1.25, 3000)
+    classes["low"] = classes["high"] = rng.integers(0, 40, 3000)
+    got = jaccard._partners(classes)
+    sums, place = jaccard._slots(classes)
+    summed = jaccard._partners(sums)[place]
+    for i, c in enumerate(classes):
+        same = classes[classes["token"] == c["token"]]
+        near = (80 * same["n"] <= c["reach"]) & (80 * c["n"] <= same["reach"]) & (same["low"] != c["low"])
+        assert got[i] >= near.any() and summed[i] >= near.any()
+    assert 0 < got.sum() < len(classes)
+    alone = classes[classes["low"] == 7]
+    assert not jaccard._partners(alone).any() and len(jaccard._partners(classes[:0])) == 0
+    hot = np.repeat(classes[:1], 5000)
+    hot["low"] = hot["high"] = np.arange(5000)
+    assert len(jaccard._slots(hot)[0]) <= 16
+
+
+def test_crossing_joins_no_tokens(spark):
+    """Classes that share a passage meet through packed chunks: no plan joins a row for each class and token."""
+    rows = [(k, k, 40, list(range(30)) + [1000 + 40 * (k % 5) + i for i in range(10)]) for k in range(50)]
+    classes = spark.createDataFrame(rows, "rep long, comp long, n long, tokens array<long>")
+    plans = []
+    keep, jaccard.cut = jaccard.cut, lambda df: plans.append(df._jdf.queryExecution().toString()) or keep(df)
+    try:
+        got = {r.rep: sorted(r.cross) for r in jaccard._crossing(classes, 8).collect()}
+    finally:
+        jaccard.cut = keep
+    assert got == {k: sorted(t) for k, _, _, t in rows}
+    assert plans and not any("Join" in p or "Generate" in p for p in plans)
