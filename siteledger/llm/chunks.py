@@ -10,6 +10,7 @@ when an executor is lost: the same chunk always yields the same sorted keys.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -81,6 +82,26 @@ def replies(table: pa.Table | None, step: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts[int(i)].as_py() for i in order), kind)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from stage to stage, and the allocators would keep it all."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others have their own ways
+    if trim is not None:
+        trim(0)
+
+
+def _lean(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``function`` of a group, whose arrays are given back before the next group's are made."""
+
+    def of_group(*tables: pa.Table) -> pa.Table:
+        give_back()  # what another stage has left in this worker
+        out = function(*tables)
+        give_back()
+        return out
+
+    return of_group
+
+
 def exchange(
     chunks: Chunks,
     step: int,
@@ -129,19 +150,21 @@ def exchange(
             }
         )
 
+    asking, answering = _lean(send), _lean(answer)
     sent = "bucket long, chunk long, records binary"
     own = chunks.df.groupBy("chunk")
     if known is None:
-        asked = own.applyInArrow(lambda rows: send(rows), sent)
+        asked = own.applyInArrow(lambda rows: asking(rows), sent)
     else:
-        asked = own.cogroup(known.groupBy("chunk")).applyInArrow(lambda rows, told: send(rows, told), sent)
+        asked = own.cogroup(known.groupBy("chunk")).applyInArrow(lambda rows, told: asking(rows, told), sent)
     by_bucket = (asked if tasks is None else asked.coalesce(tasks)).groupBy("bucket")
     if facts is None:
-        answers = by_bucket.applyInArrow(lambda rows: answer(rows), REPLY)
+        answers = by_bucket.applyInArrow(lambda rows: answering(rows), REPLY)
         return answers if tasks is None else answers.coalesce(tasks)
-    return by_bucket.cogroup(facts.groupBy("bucket")).applyInArrow(lambda rows, told: answer(rows, told), REPLY)
+    return by_bucket.cogroup(facts.groupBy("bucket")).applyInArrow(lambda rows, told: answering(rows, told), REPLY)
 
 
 def with_answers(chunks: Chunks, known: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``finish`` over every chunk's rows and the answers it got."""
-    return chunks.df.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(lambda rows, told: finish(ordered(rows), told), schema)
+    finishing = _lean(lambda rows, told: finish(ordered(rows), told))
+    return chunks.df.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(lambda rows, told: finishing(rows, told), schema)

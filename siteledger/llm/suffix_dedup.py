@@ -137,7 +137,8 @@ def _reduce(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[tuple[np.nda
     new = np.zeros(len(ids), bool)
     new[0] = True
     for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+        sorted_ = k[order]
+        new[1:] |= sorted_[1:] != sorted_[:-1]
     place = np.empty(len(ids), np.int64)
     place[order] = np.cumsum(new) - 1
     at = order[new]
@@ -175,9 +176,12 @@ class _Chunk:
     def open_strings(self, open_: np.ndarray):
         at = np.flatnonzero(open_)
         n = self.size[at]
-        each = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        each = np.arange(int(n.sum()))
+        each -= np.repeat(np.cumsum(n) - n, n)
         which = np.repeat(at, n)
-        return which, each, _reduce((self.string[self.low[which] + each],), self.doc[which])
+        place = self.low[which]
+        place += each
+        return which, each, _reduce((self.string[place],), self.doc[which])
 
 
 def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 
-from siteledger.llm import jaccard, suffix_dedup
+from siteledger.llm import chunks, jaccard, suffix_dedup
 from tests.llm.fixtures import SCHEMA, documents, texts, words
 
 
@@ -171,3 +171,25 @@ def test_crossing_joins_no_tokens(spark):
         jaccard.cut = keep
     assert got == {k: sorted(t) for k, _, _, t in rows}
     assert plans and not any("Join" in p or "Generate" in p for p in plans)
+
+
+def test_groups_give_their_memory_back():
+    """What a group had between arrays that stay is the system's again before the next group."""
+
+    def resident():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("VmRSS")) // 1024
+
+    stays = []
+
+    def group(rows):
+        made = []
+        for _ in range(4000):
+            made.append(np.ones(8000))
+            stays.append(np.ones(4))  # small, between the large ones
+            stays.append(bytes(2000))
+        return rows
+
+    before = resident()
+    chunks._lean(group)(None)
+    assert resident() - before < 100
