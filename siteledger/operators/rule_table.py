@@ -57,7 +57,9 @@ def rule_hits(rows: DataFrame, key: list[str], text: str, rules: DataFrame) -> D
     # One entry a phrase, the best rule that has it, so a phrase in many rules makes no more rows.
     order = F.struct("rule_no", "phrase_no", "category", "confidence", "phrase")
     best = known.groupBy("phrase").agg(F.min(order).alias("_rule"))
-    hits = likely.join(best, "phrase").groupBy(*key).agg(F.min("_rule").alias("_rule"))
+    # The runs of a phrase that every text has pass by the table of phrases unsorted, and are sorted by row, dealt evenly.
+    met = likely.join(best.hint("shuffle_hash"), "phrase").select(*key, "_rule").repartition(*key)
+    hits = met.groupBy(*key).agg(F.min("_rule").alias("_rule"))
     return hits.select(*key, "_rule.category", "_rule.confidence", "_rule.phrase")
 
 

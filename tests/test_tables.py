@@ -130,3 +130,13 @@ def test_addresses_of_pages_are_computed_once(spark):
     keyed = E.keyed_pages(pages)
     assert keyed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
     assert sorted((r.page_url, r.html) for r in keyed.collect()) == [("http://a.com/x", "a"), ("https://b.com", "c")]
+
+
+def test_runs_meet_phrases_unsorted(spark):
+    """Runs are the many rows: they pass by the phrases without a sort, then rows are dealt by their own key."""
+    rows = spark.createDataFrame([(k, "new roof and new deck") for k in range(20)], "id long, note string")
+    rules = spark.createDataFrame([(1, 1, "ROOF", 0.9, "new roof"), (0, 2, "DECK", 0.8, "new deck")], "rule_no long, phrase_no long, category string, confidence double, phrase string")
+    hits = rule_table.rule_hits(rows, ["id"], "note", rules)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ShuffledHashJoin \[phrase", plan) and not re.search(r"SortMergeJoin \[phrase", plan)
+    assert {(r["id"], r["category"]) for r in hits.collect()} == {(k, "DECK") for k in range(20)}
