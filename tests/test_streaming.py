@@ -145,3 +145,44 @@ def test_a_failing_source_holds_up_no_other(spark):
     keyed_state.run_sources(spark, f"{root}/in", configs, f"{root}/out", now)
     assert {(r.source, r.revision) for r in keyed_state.records_table(spark, f"{root}/out").collect()} == {("bad", 1), ("good", 1)}
     assert keyed_state.projects_table(spark, f"{root}/out").count() == 2
+
+
+def test_keys_share_state_values(spark, monkeypatch):
+    monkeypatch.setattr(keyed_state, "_BUCKETS", 16, raising=False)
+    root = scratch_path(spark, "shared")
+    columns = "source string, source_record_id string, payload string, contact struct<name:string,license_number:string,email:string,phone:string>, content_hash string, fetched_at timestamp"
+
+    def deliver(day, ids, content):
+        at = dt.datetime(2001, 7, day, 1, 2, 3, 456789)
+        rows = [(s, str(k), f"{content} {k}", (f"Ann {k}", None, "", "1") if k % 2 else None, content, at) for s in ("a", "b") for k in ids]
+        spark.createDataFrame(rows, columns).write.mode("append").parquet(f"{root}/in")
+        stream = keyed_state.changes(spark.readStream.schema(columns).parquet(f"{root}/in"))
+        query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/_stream")
+        query = query.foreachBatch(lambda df, number: df.write.parquet(f"{root}/out/{day}")).start()
+        query.awaitTermination()
+        found = {(r.source, r.source_record_id): r for r in spark.read.parquet(f"{root}/out/{day}").collect()}
+        assert len(found) == 2 * len(ids)
+        assert {r.last_seen for r in found.values()} == {at}
+        return found, max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+
+    for k, v in keyed_state._STORE.items():
+        spark.conf.set(k, v)
+    try:
+        first, second, third = deliver(1, range(500), "x"), deliver(2, range(0, 500, 3), "y"), deliver(3, range(502), "x")
+    finally:
+        for k in keyed_state._STORE:
+            spark.conf.unset(k)
+    found, values = first
+    # 1,000 keys of two sources, sixteen values each.
+    assert values <= 2 * 16
+    assert {(r.revision, r.changed, r.content_hash) for r in found.values()} == {(1, True, "x")}
+    assert all(r.payload == f"x {r.source_record_id}" and r.fetched_at == r.first_seen == r.last_seen for r in found.values())
+    assert found["a", "3"].contact.asDict() == {"name": "Ann 3", "license_number": None, "email": "", "phone": "1"} and found["a", "4"].contact is None
+    assert {r.revision for r in second[0].values()} == {2}
+    # Neighbours of a changed key stay as they were, new ones begin.
+    found, values = third
+    assert values <= 2 * 16
+    for (_, record), r in found.items():
+        revision = 1 if int(record) >= 500 else 3 if int(record) % 3 == 0 else 1
+        assert (r.revision, r.changed, r.first_seen.day) == (revision, int(record) % 3 == 0 or int(record) >= 500, 3 if int(record) >= 500 else 1)
+        assert (r.payload, r.contact is None) == ((f"x {record}", int(record) % 2 == 0) if r.changed else (None, True))
