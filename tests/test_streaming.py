@@ -186,3 +186,14 @@ def test_keys_share_state_values(spark, monkeypatch):
         revision = 1 if int(record) >= 500 else 3 if int(record) % 3 == 0 else 1
         assert (r.revision, r.changed, r.first_seen.day) == (revision, int(record) % 3 == 0 or int(record) >= 500, 3 if int(record) >= 500 else 1)
         assert (r.payload, r.contact is None) == ((f"x {record}", int(record) % 2 == 0) if r.changed else (None, True))
+
+
+def test_responses_of_one_file_are_dealt_out(spark, monkeypatch):
+    root, read = scratch_path(spark, "dealt"), keyed_state.read_source
+    bodies = [(json.dumps([{"id": k, "what": "office at"}]),) for k in range(64)]
+    landing.land(spark.createDataFrame(bodies, "response string").coalesce(1), f"{root}/in", "one", F.lit("2001-07-01"))
+    marked = F.replace("response", F.lit("office at"), F.concat(F.lit("office at "), F.spark_partition_id().cast("string"))).alias("response")
+    monkeypatch.setattr(keyed_state, "read_source", lambda name, cfg, responses: read(name, cfg, responses.select(marked)))
+    keyed_state.run_sources(spark, f"{root}/in", {"one": _config(C.PERMIT_ARRAY, "one")}, f"{root}/out")
+    projects = keyed_state.projects_table(spark, f"{root}/out").select("description").collect()
+    assert len(projects) == 64 and len(set(projects)) > 1
