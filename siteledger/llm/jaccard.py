@@ -90,20 +90,29 @@ def _tasks(classes: DataFrame) -> int:
     return max(8, (classes.agg(F.sum(F.size("tokens"))).first()[0] or 0) // TASK)
 
 
+def _large(table: DataFrame) -> DataFrame:
+    """``table``, which grows with the corpus, for joins that shuffle and sort whatever size they are planned with.
+
+    A plan knows the bytes of files. Ids and tokens that many classes share take far less there than as rows, so a table
+    that looks small enough would go through the driver as a broadcast many times that size.
+    """
+    return table.hint("merge")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
     """The pairs (src, dst) whose sets are alike; ``classes`` has (rep, n, tokens).
 
     ``tokens`` may leave out what no partner of another component has; a set has ``n`` tokens in all.
     """
-    left = pairs.join(classes.select(F.col("rep").alias("src"), F.col("n").alias("na"), F.col("tokens").alias("a")), "src")
-    both = left.coalesce(tasks).join(classes.select(F.col("rep").alias("dst"), F.col("n").alias("nb"), F.col("tokens").alias("b")), "dst")
+    left = pairs.join(_large(classes.select(F.col("rep").alias("src"), F.col("n").alias("na"), F.col("tokens").alias("a"))), "src")
+    both = left.coalesce(tasks).join(_large(classes.select(F.col("rep").alias("dst"), F.col("n").alias("nb"), F.col("tokens").alias("b"))), "dst")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("src", "dst")
 
 
 def _commonness(classes: DataFrame, tasks: int) -> DataFrame:
     """(rep, common): how widespread the tokens of a class are on average, in thousandths of powers of two."""
-    tokens = classes.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    tokens = _large(classes.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
     spread = tokens.groupBy("token").agg(F.floor(F.log2(F.count("*"))).alias("power"))
     sums = tokens.join(spread, "token").coalesce(tasks).groupBy("rep", "n").agg(F.sum("power").alias("power"))
     return sums.select("rep", F.floor(1000 * F.col("power") / F.col("n")).alias("common"))
@@ -118,7 +127,7 @@ def _stars(classes: DataFrame, tasks: int) -> DataFrame:
     keys = classes.join(_commonness(classes, tasks), "rep").select("rep", "common", F.posexplode("hashes").alias("k", "hash"))
     keys = cut(keys.coalesce(tasks))
     centre = keys.groupBy("k", "hash").agg(F.max_by("rep", F.struct("common", F.bitwise_not("rep"))).alias("dst"))
-    pairs = keys.join(centre, ["k", "hash"]).where("rep != dst").select(F.col("rep").alias("src"), "dst").coalesce(tasks).distinct()
+    pairs = _large(keys).join(centre, ["k", "hash"]).where("rep != dst").select(F.col("rep").alias("src"), "dst").coalesce(tasks).distinct()
     links = cut(_verified(pairs.coalesce(tasks), classes.select("rep", F.size("tokens").alias("n"), "tokens"), tasks).coalesce(tasks))
     release(keys)
     return links
@@ -240,11 +249,11 @@ def _centres(active: DataFrame, tasks: int) -> DataFrame:
     token; a class of the centre's component gets the best class of another component in its place. One row per class
     and token before the count, one per class after it.
     """
-    tokens = active.select("rep", "comp", "n", F.explode("cross").alias("token"), F.struct((F.col("n") - F.size("cross")).alias("own"), "rep", "comp").alias("one"))
+    tokens = _large(active.select("rep", "comp", "n", F.explode("cross").alias("token"), F.struct((F.col("n") - F.size("cross")).alias("own"), "rep", "comp").alias("one")))
     first = tokens.groupBy("token").agg(F.min("one").alias("first"))
     marked = tokens.join(first, "token")
     second = marked.where("comp != first.comp").groupBy("token").agg(F.min("one").alias("second"))
-    offered = marked.join(second, "token")
+    offered = _large(marked).join(second, "token")
     centre = F.when(F.col("comp") != F.col("first.comp"), F.col("first.rep")).otherwise(F.col("second.rep"))
     counts = offered.select("rep", "n", centre.alias("dst")).coalesce(tasks).groupBy("rep", "n", "dst").agg(F.count("*").alias("common"))
     best = counts.coalesce(tasks).groupBy("rep").agg(F.max_by("dst", F.struct("common", "dst")).alias("dst"))
@@ -289,14 +298,14 @@ def _matrix_links(active: DataFrame, tasks: int) -> DataFrame:
     """
     sizes = active.groupBy("comp").agg(F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / PART))
-    grouped = cut(active.join(sizes, "comp").withColumn("part", part).coalesce(tasks))
+    grouped = cut(_large(active).join(sizes, "comp").withColumn("part", part).coalesce(tasks))
     exploded = grouped.select("rep", "comp", "part", F.explode("cross").alias("token"))
     matrix = cut(exploded.select("comp", "part", "token").distinct().coalesce(tasks))
     rarity = matrix.groupBy("token").agg(F.count("*").alias("groups"))
-    ranked = exploded.join(rarity, "token").coalesce(tasks).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("order"))
+    ranked = _large(exploded).join(rarity, "token").coalesce(tasks).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("order"))
     shown = F.slice("order", F.lit(1), (F.size("order") - _needed("n") + 1).cast("int"))
     probes = cut(
-        grouped.join(ranked, "rep")
+        _large(grouped).join(ranked, "rep")
         .select("rep", "comp", "part", "members", "n", "reach", F.explode(shown).alias("probe"))
         .select("rep", "comp", "part", "members", "n", "reach", F.col("probe.token").alias("token"))
         .coalesce(tasks)
@@ -306,9 +315,9 @@ def _matrix_links(active: DataFrame, tasks: int) -> DataFrame:
     )
     smaller = F.struct("members", "comp") < F.struct(F.col("of").alias("members"), F.col("other").alias("comp"))
     near = (PERCENT * F.col("least") <= F.col("reach")) & (PERCENT * F.col("n") <= F.col("most"))
-    met = probes.join(groups, (F.col("token") == F.col("held")) & smaller & near).select("rep", "other", "place").coalesce(tasks).distinct()
+    met = _large(probes).join(groups, (F.col("token") == F.col("held")) & smaller & near).select("rep", "other", "place").coalesce(tasks).distinct()
     unions = matrix.groupBy(F.col("comp").alias("other"), F.col("part").alias("place")).agg(F.collect_list("token").alias("held"))
-    bound = met.join(active.select("rep", "n", "cross"), "rep").coalesce(tasks).join(unions, ["other", "place"])
+    bound = met.join(_large(active.select("rep", "n", "cross")), "rep").coalesce(tasks).join(_large(unions), ["other", "place"])
     open_ = bound.where(F.size(F.array_intersect("cross", "held")) >= _needed("n")).select("rep", "other", "place").coalesce(tasks)
     members = grouped.select(F.col("comp").alias("other"), F.col("part").alias("place"), F.col("rep").alias("dst"))
     pairs = open_.join(members, ["other", "place"]).select(F.col("rep").alias("src"), "dst")
@@ -341,12 +350,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tasks = _tasks(full)
     stars = _stars(full, tasks)
     first = connected_components(stars, tasks).withColumnRenamed("node", "rep")
-    placed = cut(full.join(first, "rep", "left").select("rep", "tokens", F.coalesce("component", "rep").alias("comp")).coalesce(tasks))
+    placed = cut(full.join(_large(first), "rep", "left").select("rep", "tokens", F.coalesce("component", "rep").alias("comp")).coalesce(tasks))
     release(full)
     links = stars.unionByName(_opened(placed, tasks)).unionByName(twins)
     release(placed)
     final = connected_components(links, tasks)
-    named = classes.withColumnRenamed("rep", "node").join(final, "node", "left").select(*signature, F.coalesce("component", "node").alias("component_id"))
+    named = classes.withColumnRenamed("rep", "node").join(_large(final), "node", "left").select(*signature, F.coalesce("component", "node").alias("component_id"))
     found = alive.join(named, signature).select("doc_id", "n_shingles", "component_id")
     # A repeated doc_id belongs to one component, also for rows whose own text has no partner.
     rest = sets.where("NOT alive").select("doc_id", "n_shingles")

@@ -173,6 +173,32 @@ def test_crossing_joins_no_tokens(spark):
     assert plans and not any("Join" in p or "Generate" in p for p in plans)
 
 
+def _broadcast(spark, seen: int) -> int:
+    """Rows of the largest broadcast of all queries but the first ``seen``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    for i in range(seen, runs.size()):
+        values, nodes = store.executionMetrics(runs.apply(i).executionId()), store.planGraph(runs.apply(i).executionId()).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(j) for j in range(metrics.size())):
+                if node.name() == "BroadcastExchange" and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_tokens_stay_off_the_driver(spark):
+    """Classes of common passages are small files and many rows: none of these goes through the driver as a broadcast."""
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}x{i}" for i in range(50)) for k in range(40)]
+    rows = [(k, " ".join(rng.sample(passages, 20))) for k in range(240)]
+    rows += [(1000 + k, f"{rows[k][1]} more") for k in range(3)]
+    seen = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {**{k: k for k in range(240)}, **{1000 + k: k for k in range(3)}}
+    assert _broadcast(spark, seen) <= len(rows)
+
+
 def test_groups_give_their_memory_back():
     """What a group had between arrays that stay is the system's again before the next group."""
 
